@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmat.llm import chat, mixing, sharding, warc
+from quillmat.llm import chat, fingerprint, mixing, neardup, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,7 @@ u AS (
   SELECT *, fetched + CASE WHEN kind = '3' THEN -86400 ELSE 3600 + wait * 40 END AS seen_at,
          regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^[^@]*@', ''), '^www[0-9]*\.', ''), ':(80|443)$', '') AS host,
          regexp_replace(regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/index\.(html?|php)$', '/'), '/+$', '') AS path,
-         list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), x -> x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|fbclid|gclid|ref|sessionid|sid|phpsessid)(=|$)'))) AS params
+         list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|fbclid|gclid|ref|sessionid|sid|phpsessid)(=|$)'))) AS params
   FROM p),
 c AS (
   SELECT *, host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS url_key,
@@ -104,6 +104,16 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 """
 
 
+def op5_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+    printed = lambda c: fingerprint.text_form(F.col(c))
+    return found.select("doc_id", "n_chars", "edited_sha256", printed("sketch").alias("fingerprint"), printed("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op6_chosen_path_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -118,6 +128,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc_revisits": op2_warc_revisits,
     "op3_source_mixing": op3_source_mixing,
+    "op5_scaled_fingerprints": op5_scaled_fingerprints,
+    "op6_chosen_path_near_dups": op6_chosen_path_near_dups,
     "op8_hash_tree_shards": op8_hash_tree_shards,
     "op10_chat_format": op10_chat_format,
 }

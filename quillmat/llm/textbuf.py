@@ -22,7 +22,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         n = max(n, 2 * SEGMENT)
         for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
-            _powers[k] = np.concatenate([[1], np.full(n - 1, base, np.uint64)]).astype(np.uint64).cumprod(dtype=np.uint64)
+            factors = np.full(n, base, np.uint64)
+            factors[0] = 1
+            _powers[k] = np.cumprod(factors, dtype=np.uint64)
     return _powers[0], _powers[1]
 
 
@@ -89,7 +91,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         firsts.append(starts + at)
         at = end
     firsts_all = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate([[0], np.searchsorted(firsts_all, lengths)]).astype(np.int64) if texts else np.zeros(1, np.int64)
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate([[0], np.searchsorted(firsts_all, lengths)]).astype(np.int64)
 
 
 _STEP = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25)]
