@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmat.llm import chat, fingerprint, mixing, neardup, sharding, warc
+from quillmat.llm import chat, fingerprint, language, mixing, neardup, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,10 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 """
 
 
+def op4_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
     printed = lambda c: fingerprint.text_form(F.col(c))
@@ -114,6 +118,10 @@ def op6_chosen_path_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op7_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -128,8 +136,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc_revisits": op2_warc_revisits,
     "op3_source_mixing": op3_source_mixing,
+    "op4_crf_language": op4_crf_language,
     "op5_scaled_fingerprints": op5_scaled_fingerprints,
     "op6_chosen_path_near_dups": op6_chosen_path_near_dups,
+    "op7_boosted_quality": op7_boosted_quality,
     "op8_hash_tree_shards": op8_hash_tree_shards,
     "op10_chat_format": op10_chat_format,
 }
