@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmat.llm import textbuf
 from quillmat.llm.quality import remainder
@@ -224,8 +225,9 @@ def lexicon(docs: DataFrame, langs: list[str]) -> np.ndarray:
     return out.reshape(size, len(langs))
 
 
-def identify(docs: DataFrame, *, learns: Column | None = None, per_lang: int = 800, window: int = 1500) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score; other columns are ignored.
+def identify(docs: DataFrame, *, learns: Column | None = None, per_lang: int = 800, window: int = 1500, whole_rows: bool = False) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score; other columns are ignored,
+    or with ``whole_rows`` all of ``docs`` comes back as a struct ``doc`` with held_out, lang_pred and score beside it.
 
     Learned from the text and non-null lang of the documents that ``learns``, a condition on doc_id, admits (default: crc32 of doc_id
     modulo 3 is not 1; held_out is its opposite): the lexicon from all of them, the weights from about ``per_lang`` documents of each
@@ -251,8 +253,8 @@ def identify(docs: DataFrame, *, learns: Column | None = None, per_lang: int = 8
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = held.value
-        for b in textbuf.chunks(batches, 2, 1 << 20):
-            texts = [t or "" for t in b.column(2).to_pylist()]
+        for b in textbuf.chunks(batches, 1, 1 << 20):
+            texts = [t or "" for t in b.column(1).to_pylist()]
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
             if f is not None:
                 w = words_of(texts)
@@ -263,6 +265,16 @@ def identify(docs: DataFrame, *, learns: Column | None = None, per_lang: int = 8
                 for i, t in enumerate(texts):
                     if LETTER.search(t):
                         names[i], scores[i] = f.langs[best[i]], min(1.0, share[i, best[i]] / whole[i]) if whole[i] > 0 else 0.0
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names), pa.array(scores)], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names), pa.array(scores), *b.columns[2:]], ["held_out", "lang_pred", "score", "carried"])
 
-    return own.select("doc_id", (~may).alias("held_out"), "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    carried = F.struct(*[docs[c] for c in docs.columns]) if whole_rows else F.col("doc_id").cast("long")
+    rows = docs.select((~may).alias("held_out"), F.col("text").cast("string").alias("text"), carried.alias("carried"))
+    schema = T.StructType([T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("carried", rows.schema["carried"].dataType)])
+    out = rows.mapInArrow(predict, schema)
+    return out.select(F.col("carried").alias("doc" if whole_rows else "doc_id"), "held_out", "lang_pred", "score")
+
+
+def identified_documents(docs: DataFrame, *, least_score: float = 0.35, **options) -> DataFrame:
+    """The rows of ``docs`` but those without a letter or whose best language has less than ``least_score`` of the letters."""
+    found = identify(docs, whole_rows=True, **options)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("doc.*")

@@ -85,16 +85,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Rows without words are kept once, since they cost nothing and no budget speaks of them.
     """
     taken = mix(docs, whole=True, **options)
+    same_row = lambda text_key: F.unhex(F.md5(F.concat_ws("|", *[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in ("doc_id", "source")], text_key)))
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
-    # rows that repeat in every column share one key: their copies are added up and dealt out again by a number
-    plan = taken.groupBy("doc_id", "source", "text_key").agg(F.sum(copies).alias("_copies"), F.count(F.lit(1)).alias("_same"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_text"), "_copies", "_same")
-    joined = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")))).join(
-        plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_key") == F.col("_text"))
-    )
-    one = joined.filter("_same = 1").withColumn("_n", F.col("_copies"))
-    order = Window.partitionBy("_id", "_source", "_text").orderBy("_key")
-    many = joined.filter("_same > 1").withColumn("_row", F.row_number().over(order))
-    many = many.withColumn("_n", F.floor(F.col("_copies") / F.col("_same")) + F.when(F.col("_row") <= F.col("_copies") % F.col("_same"), 1).otherwise(0)).drop("_row")
-    out = one.unionByName(many.select(one.columns)).filter("_n > 0")
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))).alias("_again")).select(*docs.columns)
+    plan = taken.select(same_row(F.col("text_key")).alias("_row"), copies.alias("_copies"))
+    # rows alike in doc_id, source and text are told apart by number only
+    plan = plan.groupBy("_row").agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_same"))
+    keyed = docs.withColumn("_row", same_row(F.md5(F.coalesce("text", F.lit("")))))
+    alike = Window.partitionBy("_row").orderBy("_row")
+    number = F.when(F.col("_same") > 1, F.row_number().over(alike)).otherwise(1)
+    times = F.floor(F.col("_copies") / F.col("_same")) + F.when(number <= F.col("_copies") % F.col("_same"), 1).otherwise(0)
+    out = keyed.join(plan.filter("_copies > 0"), "_row").withColumn("_times", times.cast("int"))
+    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_again")).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmat.llm import chat, fingerprint, language, mixing, neardup, quality, sharding, warc
+from quillmat.llm import chat, decontaminate, fingerprint, language, mixing, neardup, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def crawl_log(pages: DataFrame) -> DataFrame:
     )).alias("r")).select("page_id", "url", "r.*")
 
 
+def op1_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(crawl_log(table(spark, sf_dir, "pages")))
     page = lambda c: F.floor(F.col(c) / 2).cast("long")
@@ -134,6 +138,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bm25_decontamination": op1_bm25_decontamination,
     "op2_warc_revisits": op2_warc_revisits,
     "op3_source_mixing": op3_source_mixing,
     "op4_crf_language": op4_crf_language,

@@ -74,3 +74,9 @@ def assign(docs: DataFrame, *, tree: Tree | None = None, grown: Tree | None = No
     slim = cut(slim)
     out = exclusive_sums(slim, "shard", "_key", ["doc_id", "text_crc32", "size"], {"_one": "slot"}, bucket_bits(slim.count()))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long"), "grown_shard")
+
+
+def sharded_documents(docs: DataFrame, *, tree: Tree | None = None, grown: Tree | None = None, shards: int = 8) -> DataFrame:
+    """``docs`` with the columns shard and grown_shard (in place of any so named), by the rules of :func:`assign`; no row moves."""
+    tree, grown = tree or topology(shards), grown or topology(shards + 1)
+    return docs.withColumns({"shard": descend("doc_id", tree).cast("int"), "grown_shard": descend("doc_id", grown).cast("int")})

@@ -97,20 +97,26 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 _STEP = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25)]
 
 
+def short_runs(rows: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words fewer than a shingle, one run a row; runs of different lengths differ."""
+    k = rows.shape[1]
+    steps = np.array([_STEP[j % 8] for j in range(k)], np.uint64)
+    return mix((rows * steps + np.arange(k, dtype=np.uint64)).sum(1, dtype=np.uint64) + np.uint64(k))
+
+
 def shingle_sets(hashes: np.ndarray, begins: np.ndarray, k: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of ``k`` words; with fewer words its whole sequence as one."""
     n = max(0, len(hashes) - k + 1)
     rolled = np.zeros(n, np.uint64)
     for j in range(k):
         rolled += hashes[j : j + n] * _STEP[j % 8] + np.uint64(j)
-    rolled, steps = mix(rolled), np.array([_STEP[j % 8] for j in range(k)], np.uint64)
+    rolled = mix(rolled)
     out = []
     for a, b in zip(begins[:-1], begins[1:], strict=True):
         if b - a >= k:
             out.append(np.unique(rolled[a : b - k + 1]))
         elif b > a:
-            own = hashes[a:b] * steps[: b - a] + np.arange(b - a, dtype=np.uint64)
-            out.append(mix(own.sum(keepdims=True) + np.uint64(b - a)))
+            out.append(short_runs(hashes[a:b][None]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
