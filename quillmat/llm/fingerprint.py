@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from quillmat.llm.common import cut
 
-LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+#: The hash space: 32 bits, so that of two texts of n shingles about n / 2^32 of the kept ones agree by accident.
+BITS = 32
+LOWEST, HIGHEST = -(1 << BITS - 1), (1 << BITS - 1) - 1
 
 
 def with_sketch(df: DataFrame, text: str, to: str, *, shingle: int = 5, fraction: int = 16, floor: int = 32) -> DataFrame:
@@ -24,10 +26,11 @@ def with_sketch(df: DataFrame, text: str, to: str, *, shingle: int = 5, fraction
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     df = df.withColumn("_w", F.transform(words, lambda w: F.xxhash64(w)))
     w = F.col("_w")
-    runs = F.transform(F.sequence(F.lit(0), F.size(w) - shingle), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(shingle)]))
-    every = F.when(F.size(w) >= shingle, runs).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+    narrow = lambda h: F.shiftright(h, 64 - BITS).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.size(w) - shingle), lambda i: narrow(F.xxhash64(*[F.get(w, i + j) for j in range(shingle)])))
+    every = F.when(F.size(w) >= shingle, runs).when(F.size(w) > 0, F.array(narrow(F.xxhash64(w)))).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("_h", F.sort_array(F.array_distinct(every)))
-    height = LOWEST + (1 << 64) // fraction - 1
+    height = LOWEST + (1 << BITS) // fraction - 1
     bound = F.when(F.size("_h") <= floor, F.lit(HIGHEST)).otherwise(F.greatest(F.lit(height), F.get("_h", F.lit(floor - 1))))
     df = df.withColumn("_b", bound)
     kept = F.filter("_h", lambda h: h <= F.col("_b"))
@@ -57,27 +60,28 @@ def merge(a: Column, b: Column) -> Column:
     """The sketch of both texts' shingles together; ``total`` is an estimate unless both were whole."""
     height = F.least(a["bound"], b["bound"])
     kept = F.sort_array(F.filter(F.array_union(a["hashes"], b["hashes"]), lambda h: h <= height))
-    share = (height.cast("double") - LOWEST) / float(1 << 64)
+    share = (height.cast("double") - LOWEST + 1) / float(1 << BITS)
     return F.struct(kept.alias("hashes"), height.alias("bound"), F.round(F.size(kept) / share).cast("int").alias("total"))
 
 
 def text_form(sketch: Column) -> Column:
     """``total:bound:`` and the kept hashes in hexadecimal."""
-    return F.concat_ws(":", sketch["total"].cast("string"), F.hex(sketch["bound"]), F.array_join(F.transform(sketch["hashes"], lambda h: F.hex(h)), ","))
+    return F.concat_ws(":", sketch["total"].cast("string"), F.hex(sketch["bound"].cast("long") - LOWEST), F.array_join(F.transform(sketch["hashes"], lambda h: F.hex(h.cast("long") - LOWEST)), ","))
 
 
 def successors(ids: DataFrame) -> tuple[DataFrame, int]:
-    """(key, next_key, n) of every distinct document in ``ids(key, doc_id, tie, n)``, in ascending order of doc_id, the first after the last.
+    """(key, next_key, n) of every distinct document in ``ids(key, doc_id, n)``, in ascending order of doc_id, then key, the first after the last.
 
     The order comes from a range sort; ranks are positions in a partition plus the partitions' offsets.
     """
-    ordered = ids.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("tie").alias("tie"), F.max("n").alias("n"))
-    ordered = cut(ordered.orderBy(F.col("doc_id").asc_nulls_first(), "tie").select("key", "n", F.monotonically_increasing_id().alias("at")))
+    ordered = ids.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    ordered = cut(ordered.orderBy(F.col("doc_id").asc_nulls_first(), "key").select("key", "n", F.monotonically_increasing_id().alias("at")))
     part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     parts = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
     offsets = parts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    ranked = cut(ordered.withColumn("part", part).join(F.broadcast(offsets), "part").select("key", "n", (F.col("offset") + within).alias("rank")))
-    count = ranked.count()
+    # the offsets are as many rows as the sort had partitions
+    ranked = ordered.withColumn("part", part).join(F.broadcast(offsets), "part").select("key", "n", (F.col("offset") + within).alias("rank"))
+    count = ordered.count()
     after = ranked.select(F.pmod(F.col("rank") - 1, F.lit(max(count, 1))).alias("rank"), F.col("key").alias("next_key"))
     return ranked.join(after, "rank").select("key", "next_key", "n"), count
 
@@ -88,7 +92,7 @@ def edited_fingerprints(docs: DataFrame, **options) -> DataFrame:
 
     The edited text is the text with its last half (rounded down, in code points) replaced by as many from the start of
     the next document, or by all of it.  Null text: empty.  Null doc_ids come first in the order; equal doc_ids are
-    ordered by a digest of their texts; rows with equal doc_id and text count as one document of the order, and each gets its row.
+    ordered by a digest; rows with equal doc_id and text count as one document of the order, and each gets its row.
     A lone document follows itself.  Empty table: empty result.
 
     Texts are dealt twice: to meet their predecessor's key, and, cut to the halves that are needed, to meet each other.
@@ -96,11 +100,11 @@ def edited_fingerprints(docs: DataFrame, **options) -> DataFrame:
     tie = F.md5(F.col("text"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("key", F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), tie))))
-    chain, _ = successors(own.select("key", "doc_id", tie.alias("tie"), F.char_length("text").cast("long").alias("n")))
+    chain, _ = successors(own.select("key", "doc_id", F.char_length("text").cast("long").alias("n")))
     before = chain.select(F.col("next_key").alias("key"), F.col("key").alias("prior"), F.floor(F.col("n") / 2).cast("int").alias("needed"))
     met = own.join(before.hint("shuffle_hash"), "key")
     met = with_sketch(met.withColumn("n", F.char_length("text")), "text", "sketch", **options)
-    no_text, no_sketch = F.lit(None).cast("string"), F.lit(None).cast("struct<hashes:array<bigint>,bound:bigint,total:int>")
+    no_text, no_sketch = F.lit(None).cast("string"), F.lit(None).cast("struct<hashes:array<int>,bound:int,total:int>")
     first = F.struct("key", "doc_id", "n", F.expr("substring(text, 1, n - cast(floor(n / 2) as int))").alias("start"), F.col("sketch"), no_text.alias("tail"), no_sketch.alias("next_sketch"), F.lit(1).alias("copies"))
     second = F.struct(F.col("prior").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("n"), no_text.alias("start"), no_sketch.alias("sketch"), F.expr("substring(text, 1, needed)").alias("tail"), F.col("sketch").alias("next_sketch"), F.lit(0).alias("copies"))
     halves = met.select(F.inline(F.array(first, second))).repartition("key")
