@@ -172,7 +172,7 @@ def concat(first: DataFrame, *others: DataFrame) -> DataFrame:
     out = first.withColumn("_t", F.lit(0))
     for i, o in enumerate(others, 1):
         out = out.unionByName(o.withColumn("_t", F.lit(i)), allowMissingColumns=True)
-    return numbered(out.drop("ord").withColumn("ord", out["ord"]), "_t", "ord", to="_n").drop("ord", "_t").withColumnRenamed("_n", "ord")
+    return numbered(out, "_t", "ord", to="_n").drop("ord", "_t").withColumnRenamed("_n", "ord")
 
 
 def id_intersection(left: DataFrame, right: DataFrame) -> DataFrame:
