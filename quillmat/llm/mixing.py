@@ -90,9 +90,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = taken.select(same_row(F.col("text_key")).alias("_row"), copies.alias("_copies"))
     # rows alike in doc_id, source and text are told apart by number only
     plan = plan.groupBy("_row").agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_same"))
-    keyed = docs.withColumn("_row", same_row(F.md5(F.coalesce("text", F.lit("")))))
+    keyed = docs.select(same_row(F.md5(F.coalesce("text", F.lit("")))).alias("_row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     alike = Window.partitionBy("_row").orderBy("_row")
     number = F.when(F.col("_same") > 1, F.row_number().over(alike)).otherwise(1)
     times = F.floor(F.col("_copies") / F.col("_same")) + F.when(number <= F.col("_copies") % F.col("_same"), 1).otherwise(0)
     out = keyed.join(plan.filter("_copies > 0"), "_row").withColumn("_times", times.cast("int"))
-    return out.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_again")).select(*docs.columns)
+    return out.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("doc.*")
