@@ -202,7 +202,7 @@ def lexicon(docs: DataFrame, langs: list[str]) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((size, len(langs)), np.int64)
-        for b in textbuf.chunks(batches, 0):
+        for b in textbuf.chunks(batches, 0, 1 << 18):
             w = words_of([t or "" for t in b.column(0).to_pylist()])
             of = np.repeat([number[x] for x in b.column(1).to_pylist()], np.diff(w.begins))
             table += np.bincount(w.lexicon * len(langs) + of, minlength=table.size).reshape(table.shape)
@@ -225,7 +225,7 @@ def lexicon(docs: DataFrame, langs: list[str]) -> np.ndarray:
     return out.reshape(size, len(langs))
 
 
-def identify(docs: DataFrame, *, learns: Column | None = None, per_lang: int = 800, window: int = 1500, whole_rows: bool = False) -> DataFrame:
+def identify(docs: DataFrame, *, learns: Column | None = None, per_lang: int = 600, window: int = 1000, whole_rows: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score; other columns are ignored,
     or with ``whole_rows`` all of ``docs`` comes back as a struct ``doc`` with held_out, lang_pred and score beside it.
 
@@ -253,7 +253,7 @@ def identify(docs: DataFrame, *, learns: Column | None = None, per_lang: int = 8
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = held.value
-        for b in textbuf.chunks(batches, 1, 1 << 20):
+        for b in textbuf.chunks(batches, 1, 1 << 18):
             texts = [t or "" for t in b.column(1).to_pylist()]
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
             if f is not None:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -41,10 +42,10 @@ def texts_of(column: pa.Array, lower: bool = True) -> list[bytes]:
     return [x.lower() for x in out] if lower else out
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds at most so many bytes of text, or one row."""
     for batch in batches:
-        sizes = np.asarray([len(x) if x else 0 for x in batch.column(column).cast(pa.binary()).to_pylist()], np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = 0
         while at < batch.num_rows:
             n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most_bytes, "right")))
