@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmat.datamatrix import DataMatrix
+from quillmat.datamatrix import DataMatrix, LowRank
 from quillmat.operators.design import normalize
 from quillmat.operators.filters import Where, filter_var
 
@@ -23,14 +23,15 @@ class Factors:
     v: DataFrame
 
 
-def _combine(x: Column, m: np.ndarray) -> Column:
-    """xᵗM for an array column and a small matrix."""
-    return F.array(*[sum((F.lit(float(m[i, j])) * x[i] for i in range(m.shape[0]) if m[i, j]), F.lit(0.0)) for j in range(m.shape[1])])
+def _combine(c: str, m: np.ndarray) -> Column:
+    """xᵗM for an array column and a small matrix; as SQL text, since building so many nodes one by one takes longer than the query."""
+    sums = [" + ".join(f"({float(m[i, j])!r}D * {c}[{i}])" for i in range(m.shape[0]) if m[i, j]) or "0D" for j in range(m.shape[1])]
+    return F.expr(f"array({', '.join(sums)})")
 
 
 def _gram(t: DataFrame, c: str, k: int) -> np.ndarray:
-    row = t.agg(*[F.sum(F.col(c)[i] * F.col(c)[j]) for i in range(k) for j in range(i, k)]).first()
-    out, at = np.zeros((k, k)), 0
+    cells = ", ".join(f"sum({c}[{i}] * {c}[{j}])" for i in range(k) for j in range(i, k))
+    row, out, at = t.agg(F.expr(f"array({cells})").alias("g")).first()["g"], np.zeros((k, k)), 0
     for i in range(k):
         for j in range(i, k):
             out[i, j] = out[j, i] = float(row[at] or 0.0)
@@ -47,15 +48,16 @@ def _orthonormal(gram: np.ndarray) -> np.ndarray:
 
 def times(data: DataMatrix, right: DataFrame, c: str, k: int) -> DataFrame:
     """(var_id, y): the whole matrix, symbolic terms included, times ``right(obs_id, c)``."""
-    sums = data.mat.join(right, "obs_id").groupBy("var_id").agg(*[F.sum(F.col("value") * F.col(c)[i]).alias(f"_{i}") for i in range(k)])
-    out = data.var_ids().join(sums, "var_id", "left").select("var_id", *[F.coalesce(F.col(f"_{i}"), F.lit(0.0)).alias(f"_{i}") for i in range(k)])
+    sums = data.mat.join(right, "obs_id").groupBy("var_id").agg(F.expr("array(" + ", ".join(f"sum(value * {c}[{i}])" for i in range(k)) + ")").alias("y"))
+    none = F.array_repeat(F.lit(0.0), k)
+    out = data.var_ids().join(sums, "var_id", "left").select("var_id", F.coalesce("y", none).alias("y"))
     for t in data.terms:
-        both = t.right.join(right, "obs_id")
-        row = both.agg(*[F.sum(F.col("x")[p] * F.col(c)[i]) for p in range(t.rank) for i in range(k)]).first()
+        cells = ", ".join(f"sum(x[{p}] * {c}[{i}])" for p in range(t.rank) for i in range(k))
+        row = t.right.join(right, "obs_id").agg(F.expr(f"array({cells})").alias("g")).first()["g"]
         m = np.array([float(v or 0.0) for v in row]).reshape(t.rank, k)
-        part = t.left.select("var_id", *[sum((F.lit(float(m[p, i])) * F.col("b")[p] for p in range(t.rank)), F.lit(0.0)).alias(f"_t{i}") for i in range(k)])
-        out = out.join(part, "var_id").select("var_id", *[(F.col(f"_{i}") + F.col(f"_t{i}")).alias(f"_{i}") for i in range(k)])
-    return out.select("var_id", F.array(*[F.col(f"_{i}") for i in range(k)]).alias("y"))
+        part = t.left.select("var_id", _combine("b", m).alias("_t"))
+        out = out.join(part, "var_id").select("var_id", F.zip_with("y", "_t", lambda a, b: a + b).alias("y"))
+    return out
 
 
 def _flipped_times(data: DataMatrix, left: DataFrame, c: str, k: int) -> DataFrame:
@@ -73,6 +75,8 @@ def svd(data: DataMatrix, *, nsv: int, seed: int = 1234, subspace: int | None =
     Starting vectors are Gaussian numbers hashed from the observations' identifiers, so a seed means the same on any cluster.
     """
     n, p = data.obs.count(), data.var.count()
+    # every pass reads the cells and the terms, so what they come from is worked out once
+    data = replace(data, mat=_settled(data.mat), terms=tuple(LowRank(_settled(t.left), _settled(t.right), t.rank) for t in data.terms))
     nsv = min(nsv, n, p)
     k = min(subspace or 4 * nsv, n, p)
     u = lambda i, s: (F.pmod(F.xxhash64("obs_id", F.lit(i), F.lit(s), F.lit(seed)), F.lit(1 << 40)) + 1) / float(1 << 40)
@@ -81,27 +85,27 @@ def svd(data: DataMatrix, *, nsv: int, seed: int = 1234, subspace: int | None =
     for it in range(niter + 1):
         if it:
             w = _orthonormal(_gram(omega, "z", kk))
-            omega, kk = omega.select("obs_id", _combine(F.col("z"), w).alias("z")), w.shape[1]
+            omega, kk = omega.select("obs_id", _combine("z", w).alias("z")), w.shape[1]
         y = _settled(times(data, omega, "z", kk))
         w = _orthonormal(_gram(y, "y", kk))
-        q, kk = y.select("var_id", _combine(F.col("y"), w).alias("q")), w.shape[1]
+        q, kk = y.select("var_id", _combine("y", w).alias("q")), w.shape[1]
         omega = _settled(_flipped_times(data, q, "q", kk).select("obs_id", F.col("y").alias("z")))
     values, vectors = np.linalg.eigh(_gram(omega, "z", kk))
     order = np.argsort(-values)[: min(nsv, kk)]
     s, m = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
-    u_t = q.select("var_id", _combine(F.col("q"), m).alias("u"))
+    u_t = q.select("var_id", _combine("q", m).alias("u"))
     if stabilize_sign:
         row = u_t.agg(*[F.sum(F.col("u")[i] * F.abs(F.col("u")[i])) for i in range(len(order))]).first()
         m = m * np.where(np.array([float(v or 0) for v in row]) < 0, -1.0, 1.0)
-        u_t = q.select("var_id", _combine(F.col("q"), m).alias("u"))
-    v_t = omega.select("obs_id", _combine(F.col("z"), m / np.maximum(s, 1e-100)).alias("v"))
+        u_t = q.select("var_id", _combine("q", m).alias("u"))
+    v_t = omega.select("obs_id", _combine("z", m / np.maximum(s, 1e-100)).alias("v"))
     return Factors(u_t, s, v_t)
 
 
 def pca(data: DataMatrix, *, nsv: int, **options) -> DataFrame:
     """(obs_id, x): scores diag(s)Vᵗ."""
     f = svd(data, nsv=nsv, **options)
-    return f.v.select("obs_id", _combine(F.col("v"), np.diag(f.s)).alias("x"))
+    return f.v.select("obs_id", _combine("v", np.diag(f.s)).alias("x"))
 
 
 def loadings(data: DataMatrix, *, nsv: int, **options) -> DataFrame:

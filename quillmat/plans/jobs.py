@@ -144,7 +144,7 @@ design_matrix = step("design_matrix", lambda s, data, covariates=(), **_: s.rows
 def _pca(state, data, **_):
     factors, base = state
     if data is base:
-        return factors.v.select("obs_id", reduce._combine(F.col("v"), np.diag(factors.s)).alias("x"))
+        return factors.v.select("obs_id", reduce._combine("v", np.diag(factors.s)).alias("x"))
     return reduce.project_scores(factors, data)
 
 
