@@ -638,6 +638,13 @@ def g6(spark, d):
     return out.select("obs_id", r6(F.col("x")[0], "x0"), r6(F.col("x")[1], "x1"))
 
 
+@query("g7_umap")
+def g7(spark, d):
+    rows = points(spark, d).filter("obs_id < 150").select("obs_id", "x").orderBy("obs_id").collect()
+    y = neighbors.umap(neighbors.np.array([r["x"] for r in rows]), epochs=60)
+    return spark.createDataFrame([(r["obs_id"], *map(float, v)) for r, v in zip(rows, y, strict=True)], "obs_id long, x double, y double")
+
+
 @query("g8_tsne")
 def g8(spark, d):
     rows = points(spark, d).filter("obs_id < 150").select("obs_id", "x").orderBy("obs_id").collect()

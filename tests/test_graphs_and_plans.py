@@ -61,6 +61,11 @@ def test_transfer_and_layouts(spark):
     y = neighbors.tsne(np.vstack([np.zeros((20, 3)), np.full((20, 3), 9.0)]) + np.random.default_rng(0).normal(size=(40, 3)) * 0.1, perplexity=5, max_iter=250)
     between = np.linalg.norm(y[:20].mean(0) - y[20:].mean(0))
     assert between > 2 * y[:20].std()
+    two = np.vstack([np.zeros((20, 3)), np.full((20, 3), 9.0)]) + np.random.default_rng(0).normal(size=(40, 3)) * 0.1
+    u = neighbors.umap(two, k=5, epochs=100)
+    assert np.linalg.norm(u[:20].mean(0) - u[20:].mean(0)) > 2 * u[:20].std()
+    added = neighbors.umap(two[:1] + 0.01, k=5, epochs=20, base=two, place=u)
+    assert np.linalg.norm(added[0] - u[:20].mean(0)) < np.linalg.norm(added[0] - u[20:].mean(0))
     base = jobs.source(df)
     job = jobs.force_layout(base, k=3, k_projection=2, dims=2, niter=10)
     placed = {r.obs_id: r.x for r in job.fetch().collect()}
