@@ -69,32 +69,24 @@ def resolve_revisits(captures: DataFrame, *, bucket: int = 21_600) -> DataFrame:
     own headers) or ``changed`` (a validator that both have disagrees, the entity tag before
     the date, or they have none in common; the source is named, but headers are the revisit's own).
     Equal times are not earlier; of responses with one time the largest record_id counts.  Rows with a null
-    url, ts or both are orphans.  Null headers: none.  Repeated revisits resolve each.  Empty table: empty result.
+    url, ts or both are orphans.  Null headers: none; fields without a value are dropped.  Repeated revisits resolve each.  Empty table: empty result.
     """
-    none = F.create_map().cast("map<string,string>")
-    rows = captures.filter(F.col("status").isin(200, 304)).select(
-        "record_id", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), "status",
-        F.coalesce("headers", none).alias("headers"),
-    )
-    rows = rows.select("*", *[F.col("headers")[n].alias(n) for n in ("etag", "last-modified")])
-    slim = rows.select("record_id", "url_key", "ts", "status", "etag", "last-modified")
-    source = F.struct("ts", F.col("record_id").alias("id"), "etag", "last-modified")
-    found = as_of(slim, "url_key", "ts", F.col("status") == 200, source, bucket).filter("status = 304")
-    stored, said = F.col("found"), F.struct("etag", "last-modified")
-    both_tag, equal_tag = _same(stored, said, "etag")
-    both_date, equal_date = _same(stored, said, "last-modified")
+    said = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull())
+    rows = captures.filter(F.col("status").isin(200, 304)).select("record_id", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), "status", said.alias("headers"))
+    validators = ("etag", "last-modified")
+    rows = rows.select("*", *[F.col("headers")[n].alias(n) for n in validators])
+    # headers travel with their response through the as-of join, as text since maps have no order
+    source = F.struct("ts", F.col("record_id").alias("id"), *validators, F.to_json("headers").alias("headers"))
+    found = as_of(rows, "url_key", "ts", F.col("status") == 200, source, bucket).filter("status = 304")
+    stored, own = F.col("found"), F.struct(*validators)
+    both_tag, equal_tag = _same(stored, own, "etag")
+    both_date, equal_date = _same(stored, own, "last-modified")
     agree = F.when(both_tag, equal_tag).when(both_date, equal_date).otherwise(False)
     outcome = F.when(stored.isNull(), "orphan").when(agree, "resolved").otherwise("changed")
-    found = found.select("record_id", "url_key", "ts", outcome.alias("outcome"), stored["id"].alias("source_id"))
-    full = rows.filter("status = 200").groupBy(F.col("record_id").alias("_id")).agg(F.max_by("headers", F.struct("ts", F.to_json("headers"))).alias("_stored"))
-    own = rows.filter("status = 304").select(F.col("record_id").alias("_own_id"), F.col("ts").alias("_own_ts"), F.col("headers").alias("_said"), F.col("url_key").alias("_own_key"))
-    own = own.groupBy("_own_id", "_own_ts", "_own_key").agg(F.max_by("_said", F.to_json("_said")).alias("_said"))
-    out = found.join(own, F.col("record_id").eqNullSafe(F.col("_own_id")) & F.col("ts").eqNullSafe(F.col("_own_ts")) & F.col("url_key").eqNullSafe(F.col("_own_key")), "left")
-    out = out.join(full, F.when(F.col("outcome") == "resolved", F.col("source_id")) == F.col("_id"), "left")
-    permitted = F.map_filter("_said", lambda k, v: ~k.isin(*NOT_UPDATED) & v.isNotNull())
-    kept = F.map_filter("_stored", lambda k, v: ~F.map_contains_key(permitted, k))
-    merged = F.when(F.col("_stored").isNull(), F.col("_said")).otherwise(F.map_concat(kept, permitted))
-    return out.select("record_id", "url_key", "ts", "outcome", "source_id", merged.alias("headers"))
+    permitted = F.map_filter("headers", lambda k, v: ~k.isin(*NOT_UPDATED))
+    kept = F.map_filter(F.from_json(stored["headers"], "map<string,string>"), lambda k, v: ~F.map_contains_key(permitted, k))
+    merged = F.when(outcome == "resolved", F.map_concat(kept, permitted)).otherwise(F.col("headers"))
+    return found.select("record_id", "url_key", "ts", outcome.alias("outcome"), stored["id"].alias("source_id"), merged.alias("headers"))
 
 
 def headers_text(headers: Column) -> Column:
