@@ -30,8 +30,8 @@ from quillmat.llm.quality import remainder
 
 SYMS = 64
 END_BYTE, END, ESCAPE = 255, 0, 63
-#: Contexts of the first predictors: the last one, two, three and four symbols.  A context is a slot with a place for each node.
-SLOTS = (64, 4096, 1 << 17, 1 << 17)
+#: Contexts of the first predictors: the last two, three and four symbols.  A context is a slot with a place for each node.
+SLOTS = (4096, 1 << 17, 1 << 17)
 OFFSETS = tuple(int(x) for x in np.concatenate([[0], np.cumsum(SLOTS)[:-1]]))
 TOTAL = sum(SLOTS)
 #: The last predictor's context is the word so far; it has far more contexts of few nodes, so each pair is hashed to a cell.
@@ -39,8 +39,8 @@ WORD_BITS = 24
 INPUTS = len(SLOTS) + 2
 BLOCK = 4096  # slots of a block of counts; the last one is partly used
 SCALE = 16.0
-GATES, BUCKETS = 36, 24
-PIECE = 1 << 15
+GATES, BUCKETS = 18, 24
+PIECE = 1 << 17
 END_HASH = np.array([0x5DEECE66D1234567], np.uint64)
 
 
@@ -57,13 +57,23 @@ class Code:
     left: np.ndarray
     escape: np.ndarray
 
-    def spread(self, sym: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of all decisions: the symbol they belong to, node and bit; of all symbols: how many they have and which is the first."""
-        depth = self.depths[sym]
-        first = (np.cumsum(depth) - depth).astype(np.int32)
-        rep = np.repeat(np.arange(len(sym), dtype=np.int32), depth)
-        path = np.arange(len(rep), dtype=np.int32) - (first - self.begins[sym])[rep]
-        return rep, self.nodes[path], self.bits[path], depth, first
+    def levels(self) -> tuple[np.ndarray, np.ndarray]:
+        """(level, symbol) tables of nodes and of bits."""
+        nodes, bits = np.zeros((int(self.depths.max()), SYMS), np.intp), np.zeros((int(self.depths.max()), SYMS), bool)
+        for s, (a, d) in enumerate(zip(self.begins, self.depths, strict=True)):
+            nodes[:d, s], bits[:d, s] = self.nodes[a : a + d], self.bits[a : a + d]
+        return nodes, bits
+
+    def slices(self, sym: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, int, list]]:
+        """For each word length class: its bytes from the deepest symbol on, the class, and of each level (level, how many of
+        them have it, nodes, bits): what decides at a level is always a front part."""
+        nodes, bits = self.levels()
+        for c in range(3):
+            own = np.flatnonzero(length == c)
+            own = own[np.argsort(-self.depths[sym[own]].astype(np.int8), kind="stable")]
+            s = sym[own].astype(np.intp)
+            counts = np.searchsorted(-self.depths[s], -np.arange(1, len(nodes) + 1), "right")
+            yield own, c, [(v, int(n), nodes[v].take(s[:n]), bits[v].take(s[:n])) for v, n in enumerate(counts) if n]
 
 
 def make_code(histogram: np.ndarray) -> Code:
@@ -103,8 +113,8 @@ def joined(texts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([normal(t) + b"\xff" for t in texts]), np.uint8)
 
 
-def contexts(data: np.ndarray, syms: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The slot of each of the first predictors at each byte, a hash of the word so far, and its length up to 2.
+def contexts(data: np.ndarray, syms: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The slot of each of the first predictors at each byte, the symbol before it, a hash of the word so far, and its length up to 2.
 
     Nothing reaches back beyond a text's start.
     """
@@ -128,12 +138,12 @@ def contexts(data: np.ndarray, syms: np.ndarray) -> tuple[list[np.ndarray], np.n
     start = np.maximum.accumulate(start)
     here = np.arange(n)
     word = (textbuf.span_hashes(data, start, here) >> np.uint64(32)).astype(np.uint32)
-    slots = [back[0], two, fold(three, SLOTS[2]), fold(four, SLOTS[3])]
-    return [(x + np.uint32(OFFSETS[k])).view(np.int32) for k, x in enumerate(slots)], word, np.minimum(here - start, 2).astype(np.int32)
+    slots = [two, fold(three, SLOTS[1]), fold(four, SLOTS[2])]
+    return [(x + np.uint32(OFFSETS[k])).astype(np.intp) for k, x in enumerate(slots)], back[0].astype(np.intp), word, np.minimum(here - start, 2).astype(np.int8)
 
 
 def word_cell(word: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return (((word ^ (node.astype(np.uint32) * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - WORD_BITS)).view(np.int32)
+    return (((word ^ (node.astype(np.uint32) * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - WORD_BITS)).astype(np.intp)
 
 
 @dataclass
@@ -145,39 +155,50 @@ class Model:
     refine: np.ndarray
     steps: int = 0
 
-    def decisions(self, data: np.ndarray) -> tuple:
-        """For all decisions of all bytes: inputs of the mixer, gate, bit, map cell's base, and how many each byte has."""
+    def decisions(self, data: np.ndarray) -> Iterator[tuple]:
+        """All decisions of all bytes, in batches of one gate class (the word's length so far and the level): bytes of which the first
+        so many decide here, inputs of the mixer, whether the word so far has been seen, bits, the map's cells, and the class."""
         sym = self.code.syms[data]
-        slots, word, length = contexts(data, sym)
-        rep, node, bit, depth, first = self.code.spread(sym)
-        x = np.empty((INPUTS, len(rep)), np.float32)
-        for k, s in enumerate(slots):
-            x[k] = self.table[(s << 6)[rep] + node]
-        x[4] = self.words[word_cell(word[rep], node)]
-        gate = ((x[3] != 0) + 2 * (x[4] != 0)).astype(np.int32)
-        x[:-1] *= np.float32(1 / SCALE)
-        x[-1] = 0.3
-        gate += np.minimum(np.arange(len(rep), dtype=np.int32) - first[rep], 2) * 4 + (length * 12)[rep]
-        return x, gate, bit, (slots[0] << 6)[rep] + node, depth
-
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        out = np.zeros(x.shape[1], np.float32)
-        w = self.weights.T.astype(np.float32)
-        for k in range(len(x)):
-            out += w[k][gate] * x[k]
-        return np.clip(out, -9, 9)
+        slots, before, word, length = contexts(data, sym)
+        bases, before = [x << 6 for x in slots], before << 6
+        for own, c, levels in self.code.slices(sym, length):
+            mine, w, cells = [b.take(own) for b in bases], word.take(own), before.take(own)
+            for v, n, node, bit in levels:
+                x = np.empty((INPUTS, n), np.float32)
+                for k, b in enumerate(mine):
+                    x[k] = self.table.take(b[:n] + node, mode="clip")
+                x[-2] = self.words.take(word_cell(w[:n], node), mode="clip")
+                seen = (x[-2] != 0).astype(np.float32)
+                x[:-1] *= np.float32(1 / SCALE)
+                x[-1] = 0.3
+                yield own, n, x, seen, bit, cells[:n] + node, c * 3 + min(v, 2)
+
+    def mixed(self, x: np.ndarray, seen: np.ndarray, group: int) -> np.ndarray:
+        """The weighted sums: products with both weight sets of a gate class, of which each decision takes its own."""
+        unseen, z = self.weights[group * 2 : group * 2 + 2].astype(np.float32) @ x
+        z -= unseen
+        z *= seen
+        z += unseen
+        return np.clip(z, -9, 9, out=z)
 
     def bucket(self, cell: np.ndarray, z: np.ndarray) -> np.ndarray:
-        return cell * np.int32(BUCKETS) + ((z + np.float32(9)) * np.float32((BUCKETS - 1) / 18) + np.float32(0.5)).astype(np.int32)
+        return cell * BUCKETS + ((z + np.float32(9)) * np.float32((BUCKETS - 1) / 18) + np.float32(0.5)).astype(np.intp)
 
     def log10(self, data: np.ndarray) -> np.ndarray:
         """log10 of the probability of each byte."""
-        x, gate, bit, cell, depth = self.decisions(data)
-        z = self.mixed(x, gate)
-        p = np.float32(0.5) / (np.float32(1) + np.exp(-z)) + np.float32(0.5) * self.refine[self.bucket(cell, z)]
-        p = np.clip(p, 1e-5, 1 - 1e-5)
-        each = np.log(np.where(bit, p, np.float32(1) - p))
-        return np.add.reduceat(each, np.cumsum(depth) - depth, dtype=np.float64) * (1 / np.log(10)) + self.code.escape[data]
+        out, last, sums = np.zeros(len(data)), None, np.zeros(0)
+        for own, n, x, seen, bit, cell, group in self.decisions(data):
+            if own is not last:
+                if last is not None:
+                    out[last] = sums
+                last, sums = own, np.zeros(len(own))
+            z = self.mixed(x, seen, group)
+            p = np.float32(0.5) / (np.float32(1) + np.exp(-z)) + np.float32(0.5) * self.refine.take(self.bucket(cell, z), mode="clip")
+            np.clip(p, 1e-5, 1 - 1e-5, out=p)
+            sums[:n] += np.log(np.abs((~bit).astype(np.float32) - p))
+        if last is not None:
+            out[last] = sums
+        return out * (1 / np.log(10)) + self.code.escape[data]
 
     def each(self, data: np.ndarray) -> np.ndarray:
         """log10 of the probability of each byte of whole texts, worked out in pieces of some of them or of a long one alone."""
@@ -207,24 +228,22 @@ def stretched(one: np.ndarray, zero: np.ndarray) -> np.ndarray:
     return np.clip(np.round(z * SCALE), -127, 127).astype(np.int8)
 
 
-def learn_online(model: Model, data: np.ndarray, sums: np.ndarray, seen: np.ndarray, step: int = 1 << 14) -> np.ndarray:
-    """One pass over ``data``: weights move after every ``step`` decisions, ever less, and the map's cells count what came; returns decisions by gate."""
+def learn_online(model: Model, data: np.ndarray, sums: np.ndarray, seen_sums: np.ndarray) -> np.ndarray:
+    """One pass over ``data``: weights move after every batch of decisions, ever less, and the map's cells count what came;
+    returns how often each weight set was used."""
     used = np.zeros(GATES)
-    x, gate, bit, cell, _ = model.decisions(data)
-    for a in range(0, len(bit), step):
-        xs, g, y = x[:, a : a + step], gate[a : a + step], bit[a : a + step]
-        z = model.mixed(xs, g)
-        p = 1 / (1 + np.exp(-z.astype(float)))
-        where = model.bucket(cell[a : a + step], z)
-        sums += np.bincount(where, y, len(sums))
-        seen += np.bincount(where, None, len(seen))
-        used += np.bincount(g, minlength=GATES)
-        slope = p * (1 - p)
-        rate = max(0.02, 0.3 / (1 + model.steps / 20))
+    for _, _, x, seen, bit, cell, group in model.decisions(data):
+        z = model.mixed(x, seen, group)
+        p = 1 / (1 + np.exp(-z))
+        where = model.bucket(cell, z)
+        np.add.at(sums, where, bit.astype(np.float64))
+        np.add.at(seen_sums, where, np.float64(1))
+        which = np.stack([1 - seen, seen])
+        num, den = (which * (bit - p)) @ x.T, (which * (p * (1 - p))) @ (x * x).T
+        rate = max(0.02, 0.3 / (1 + model.steps / 100))
+        model.weights[group * 2 : group * 2 + 2] += rate * num / (den + 5)
         model.steps += 1
-        for k in range(len(xs)):
-            num, den = np.bincount(g, (y - p) * xs[k], GATES), np.bincount(g, slope * xs[k] ** 2, GATES)
-            model.weights[:, k] += rate * num / (den + 5)
+        used[group * 2 : group * 2 + 2] += which.sum(1)
     return used
 
 
@@ -254,6 +273,13 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], _NAMES)
 
 
+def _each_row(b: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows as Python values, a few hundred at a time."""
+    for at in range(0, b.num_rows, 256):
+        part = b.slice(at, 256)
+        yield from zip(*(part.column(i).to_pylist() for i in range(len(_NAMES))), strict=True)
+
+
 def token_counts(train: DataFrame, buckets: int) -> DataFrame:
     """Counts of token hashes over all of ``train(text)``, a row per bucket of hashes; bucket -1 holds the counts of bytes."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
@@ -274,14 +300,16 @@ def token_counts(train: DataFrame, buckets: int) -> DataFrame:
             h, c = np.unique(textbuf.words(texts)[0], return_counts=True)
             held += [(h, c), (END_HASH, np.array([len(texts)]))]
             size += len(h)
-            if size > 2_000_000:
+            if size > 1_500_000:
                 held = [_merge(held)]
                 size = len(held[0][0])
-                if size > 1_500_000:
+                if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
+        held = []
+        textbuf.give_back()
         yield _rows([(-1, 0, 0, None, histogram.tobytes(), None, None)])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +317,7 @@ def token_counts(train: DataFrame, buckets: int) -> DataFrame:
         sizes: dict[int, int] = {}
         histogram = np.zeros(256, np.int64)
         for b in batches:
-            for k, h, c in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            for k, _, _, h, c, _, _ in _each_row(b):
                 c = np.frombuffer(c, np.int64)
                 if k < 0:
                     histogram += c
@@ -319,14 +347,16 @@ class Counts:
 
     def add(self, data: np.ndarray) -> None:
         sym = self.code.syms[data]
-        slots, word, _ = contexts(data, sym)
-        for k, s in enumerate(slots):
-            at, size = OFFSETS[k] * SYMS, SLOTS[k] * SYMS
-            self.slots[at : at + size] += np.bincount(((s - OFFSETS[k]) << 6) + sym, minlength=size)
-        rep, node, bit, _, _ = self.code.spread(sym)
-        cell = word_cell(word[rep], node)
-        for y in (0, 1):
-            self.words[y] += np.bincount(cell[bit == y], minlength=1 << WORD_BITS)
+        slots, _, word, length = contexts(data, sym)
+        one = np.int32(1)
+        for x in slots:
+            np.add.at(self.slots, (x << 6) + sym, one)
+        for own, _, levels in self.code.slices(sym, length):
+            w = word.take(own)
+            for _, n, node, bit in levels:
+                cell = word_cell(w[:n], node)
+                np.add.at(self.words[0], cell[~bit], one)
+                np.add.at(self.words[1], cell[bit], one)
 
     def blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """(table, block, counts): table 0 by slot, 1 and 2 the zeros and ones by cell."""
@@ -346,9 +376,10 @@ def context_table(train: DataFrame, code: Code) -> tuple[np.ndarray, np.ndarray]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, any_text = Counts(held.value), False
-        for b in textbuf.chunks(batches, 0):
+        for b in textbuf.chunks(batches, 0, 1 << 18):
             counts.add(joined(textbuf.texts_of(b.column(0))))
             any_text = True
+        textbuf.give_back()
         for t, k, part in counts.blocks() if any_text else ():
             filled = np.flatnonzero(part)
             if len(filled):
@@ -489,18 +520,19 @@ def score_texts(docs: DataFrame, *, learns: Column | None = None, weighs: Column
             chunk += 1
             key = task << 40 | chunk
             rows = [(int(key % buckets), 1, key, None, None, b.column(0).to_pylist(), stats.ravel())]
-            order = np.argsort(h[~is_hot], kind="stable")
+            order = np.argsort((h[~is_hot] >> shift).astype(np.uint16 if buckets <= 1 << 16 else np.uint64), kind="stable")
             cold, of = h[~is_hot][order], (text | last.astype(np.int64) << 31)[~is_hot][order].astype(np.uint32)
             mixed = unit[~is_hot][order].astype(np.float32).view(np.uint32) & np.uint32(0xFFFFFF00)
             cut = np.searchsorted(cold >> shift, np.arange(buckets + 1).astype(np.uint64))
             rows += [(k, 2, key, cold[i:j].tobytes(), _planes(of[i:j]) + _planes(mixed[i:j]), None, [float(len(texts))]) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
             yield _rows(rows)
+        textbuf.give_back()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, h, c = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
             out = []
-            for r in zip(*(b.column(i).to_pylist() for i in range(len(_NAMES))), strict=True):
+            for r in _each_row(b):
                 if r[1] == 0:
                     bucket, h, c = r[0], np.frombuffer(r[3], np.uint64), np.frombuffer(r[4], np.int64)
                 elif r[1] == 1:
@@ -519,6 +551,7 @@ def score_texts(docs: DataFrame, *, learns: Column | None = None, weighs: Column
                     out.append((0, 2, r[2], sums.tobytes(), np.bincount(of[count > 0], minlength=docs).astype(np.int32).tobytes(), None, None))
             if out:
                 yield _rows(out)
+        textbuf.give_back()
 
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     names = [x.split()[0] for x in result.split(", ")]
@@ -531,7 +564,7 @@ def score_texts(docs: DataFrame, *, learns: Column | None = None, weighs: Column
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(stats[:, 0] > 0), pa.array(stats[:, 1].astype(np.int64)), pa.array(stats[:, 2].astype(np.int64)), pa.array(np.full(len(ids), n)), pa.array(stats[:, 3]), pa.array(stats[:, 4]), pa.array(bits)], names)
 
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(len(_NAMES))), strict=True):
+            for r in _each_row(b):
                 if r[1] == 1:
                     if now is not None:
                         yield done()

@@ -5,6 +5,8 @@ Words are the runs between the six ASCII white-space bytes, as ``bytes.split()``
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +55,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1 <
             at += n
 
 
+def give_back() -> None:
+    """Return freed memory to the system; Python workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in an array of bytes."""
     word = np.empty(len(data) + 2, bool)
