@@ -515,6 +515,12 @@ def n8(spark, d):
     return design.normalize(data, "s_acctbal").dense().select("var_id", "obs_id", F.round("value", 5).alias("value")).withColumn("value", F.when(F.col("value") == 0, 0.0).otherwise(F.col("value")))
 
 
+@query("n8_normalize_whole")
+def n8_whole(spark, d):
+    """n8 over all parts, for which the dense table is too large for its SQL."""
+    return design.normalize(ps(spark, d), "s_acctbal").dense().select("var_id", "obs_id", F.round("value", 5).alias("value"))
+
+
 # --- expressions
 
 
@@ -529,6 +535,14 @@ def m4(spark, d):
     return expressions.compute(expressions.product(a, expressions.transpose(a), a), spark)
 
 
+@query("m4_chain_product_whole")
+def m4_whole(spark, d):
+    """m4 over all parts."""
+    data = ps(spark, d)
+    a = leaf(data.mat, data.var.count(), data.obs.count(), "A")
+    return expressions.compute(expressions.product(a, expressions.transpose(a), a), spark)
+
+
 @query("m5_sum", PS + " SELECT var_id AS i, obs_id AS j, CAST(sum(value) AS BIGINT) AS value FROM (SELECT * FROM mat UNION ALL SELECT var_id, obs_id, 1 FROM mat WHERE obs_id <= 3) GROUP BY 1, 2")
 def m5(spark, d):
     m = ps(spark, d).mat
@@ -559,6 +573,12 @@ def m11(spark, d):
     return filters.filter_var("id <= 50", ps(spark, d)).dense()
 
 
+@query("m11_materialize_whole")
+def m11_whole(spark, d):
+    """m11 over all parts."""
+    return ps(spark, d).dense()
+
+
 # --- reduction
 
 
@@ -627,8 +647,10 @@ def g4(spark, d):
 
 @query("g5_force_layout")
 def g5(spark, d):
-    edges = neighbors.adjacency(neighbors.knn(points(spark, d).filter("obs_id < 200"), 5), symmetric=True)
-    return spark.createDataFrame([(int(k), *map(float, v)) for k, v in neighbors.force_layout(edges, niter=30).items()], "obs_id long, x double, y double, z double")
+    def place(base):
+        return neighbors.force_layout(neighbors.adjacency(neighbors.knn(base, 5), symmetric=True), niter=30)
+
+    return neighbors.laid_out(points(spark, d), place, 3).select("obs_id", *[F.col("x")[i].alias(n) for i, n in enumerate("xyz")])
 
 
 @query("g6_embed_new_points", CROSS + f" SELECT e.obs_id, {Z('sum(b.x[1]::DOUBLE / greatest(1e-12, d2)) / sum(1 / greatest(1e-12, d2))')} AS x0, {Z('sum(b.x[2]::DOUBLE / greatest(1e-12, d2)) / sum(1 / greatest(1e-12, d2))')} AS x1 FROM e JOIN pt b ON b.id = nbr_id GROUP BY 1")
@@ -638,18 +660,24 @@ def g6(spark, d):
     return out.select("obs_id", r6(F.col("x")[0], "x0"), r6(F.col("x")[1], "x1"))
 
 
+def placed(spark, d, place):
+    """Places of all vectors: a base laid out by ``place`` from its matrix, the others embedded in it."""
+
+    def of_base(base):
+        rows = base.orderBy("obs_id").collect()
+        return dict(zip([r["obs_id"] for r in rows], place(neighbors.np.array([r["x"] for r in rows])), strict=True))
+
+    return neighbors.laid_out(points(spark, d), of_base, 2).select("obs_id", F.col("x")[0].alias("x"), F.col("x")[1].alias("y"))
+
+
 @query("g7_umap")
 def g7(spark, d):
-    rows = points(spark, d).filter("obs_id < 150").select("obs_id", "x").orderBy("obs_id").collect()
-    y = neighbors.umap(neighbors.np.array([r["x"] for r in rows]), epochs=60)
-    return spark.createDataFrame([(r["obs_id"], *map(float, v)) for r, v in zip(rows, y, strict=True)], "obs_id long, x double, y double")
+    return placed(spark, d, lambda x: neighbors.umap(x, epochs=60))
 
 
 @query("g8_tsne")
 def g8(spark, d):
-    rows = points(spark, d).filter("obs_id < 150").select("obs_id", "x").orderBy("obs_id").collect()
-    y = neighbors.tsne(neighbors.np.array([r["x"] for r in rows]), max_iter=150)
-    return spark.createDataFrame([(r["obs_id"], *map(float, v)) for r, v in zip(rows, y, strict=True)], "obs_id long, x double, y double")
+    return placed(spark, d, lambda x: neighbors.tsne(x, max_iter=150))
 
 
 LOF = """, kd AS (SELECT obs_id, max(sqrt(d2)) AS kdist FROM e GROUP BY 1), l AS (SELECT e.obs_id, count(*) / sum(greatest(kdist, sqrt(d2))) AS lrd FROM e JOIN kd ON kd.obs_id = nbr_id GROUP BY 1)
@@ -778,6 +806,13 @@ def project_norm(spark, d):
     return jobs.project(job, {base: new}).fetch().dense().select("var_id", "obs_id", r6("value"))
 
 
+@query("project_normalize_whole")
+def project_norm_whole(spark, d):
+    """project_normalize over all parts."""
+    base, new = halves(spark, d)
+    return jobs.project(jobs.normalize_matrix(base), {base: new}).fetch().dense().select("var_id", "obs_id", r6("value"))
+
+
 QC = PS + """ SELECT o.id, o.r_name, coalesce(sum(value), 0) AS total, count(value) AS nonzero, """ + Z("coalesce(sum(CASE WHEN v.p_size <= 10 THEN value END), 0) / CAST(greatest(1, coalesce(sum(value), 0)) AS DOUBLE)") + """ AS small_fraction
 FROM obs o LEFT JOIN mat ON o.id = obs_id LEFT JOIN var v ON v.id = var_id GROUP BY 1, 2 HAVING coalesce(sum(value), 0) > 1000 AND coalesce(sum(CASE WHEN v.p_size <= 10 THEN value END), 0) / CAST(greatest(1, coalesce(sum(value), 0)) AS DOUBLE) < 0.3"""
 
