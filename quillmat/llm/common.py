@@ -54,6 +54,17 @@ def hash_key(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
+def digest() -> Column:
+    """Sixteen bytes that only rows of equal text share; null for a null text."""
+    return F.unhex(F.md5(F.col("text").cast("string").cast("binary")))
+
+
+def same_row(docs: DataFrame, keys: DataFrame) -> Column:
+    """Whether a row of ``docs`` has the doc_id (null included) and text of a row of ``keys(_id, _digest)``."""
+    text = docs["text"].cast("string").cast("binary")
+    return docs["doc_id"].cast("long").eqNullSafe(keys["_id"]) & (F.unhex(F.md5(text)) == keys["_digest"])
+
+
 def bounded(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if a count proves it small, else as it is, so that Spark shuffles it."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

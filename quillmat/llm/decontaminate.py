@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmat.llm import textbuf
+from quillmat.llm.common import digest, same_row
 
 
 @dataclass
@@ -170,9 +171,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least_score: float =
     frequencies over the whole.  Null or empty texts and items: never contaminated.  Null doc_ids: reported with null.
     Repeated rows: one row each.  Ties need no rule.  An empty table on either side: empty result.
     """
+    return _found(docs, benchmark, least_score, least_overlap, window, run, most_items).drop("digest")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, least_score: float, least_overlap: float, window: int, run: int, most_items: int) -> DataFrame:
+    """The rows of ``contaminated`` with the digest of the text."""
     spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    kind = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), digest().alias("digest"))
+    kind = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, digest binary"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     count, longest, total = items.agg(F.count(F.lit(1)), F.max(F.size(F.split("text", r"\s+"))), F.sum(F.octet_length("text"))).first()
     parts = max(1, -(-count // most_items), -(-(total or 0) // (most_items * 2000)))
@@ -188,17 +194,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least_score: float =
             index = held.value
             for b in textbuf.chunks(batches, 1):
                 texts, rows = [(t or "").lower().encode() for t in b.column(1).to_pylist()], []
-                ids = b.column(0).to_pylist()
+                ids, digests = b.column(0).to_pylist(), b.column(2).to_pylist()
                 runs: dict[int, np.ndarray] = {}
                 for text, item, score in retrieve(index, texts, least_score, window):
                     if text not in runs:
                         runs[text] = _runs(texts[text], run)
                     q, a = overlaps(index, index.items[item], runs[text])
                     if q >= least_overlap and a >= least_overlap:
-                        rows.append((ids[text], index.items[item].id, score, q, a))
+                        rows.append((ids[text], index.items[item].id, score, q, a, digests[text]))
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]], [x.split()[0] for x in kind.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:5]], pa.array(cols[5], pa.binary())], [x.split()[0] for x in kind.split(", ")])
 
         out = slim.mapInArrow(search, kind)
         found = out if found is None else found.union(out)
@@ -230,7 +236,7 @@ def _frequencies(items: DataFrame) -> tuple[dict, int, float]:
     return df, n, length / max(n, 1)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without those that contain an item; rows with a null doc_id are kept, since nothing names them."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, least_score: float = 0.6, least_overlap: float = 0.6, window: int = 128, run: int = 4, most_items: int = 2_000) -> DataFrame:
+    """The rows of ``docs`` without those that contain an item; rows go by doc_id (null included) and text, so namesakes stay."""
+    bad = _found(docs, benchmark, least_score, least_overlap, window, run, most_items).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    return docs.join(bad, same_row(docs, bad), "left_anti")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmat.llm import textbuf
-from quillmat.llm.common import cut, discard, stored
+from quillmat.llm.common import cut, digest, discard, same_row, stored
 from quillmat.llm.components import components
 
 COORDS = 128
@@ -51,8 +51,8 @@ def set_key(s: np.ndarray) -> bytes:
     return np.array([s.sum(dtype=np.uint64), textbuf.mix(s ^ _SEEDS64[63]).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
-def sketches(docs: DataFrame, shingle: int, trees: int) -> DataFrame:
-    """doc_id, n_shingles, sid (16 bytes that equal sets share; null for an empty set), roots and sig of every whole text."""
+def sketches(docs: DataFrame, shingle: int, trees: int, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, sid (16 bytes that equal sets share; null for an empty set), roots and sig of every whole text; ``keyed`` adds its digest."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in textbuf.chunks(batches, 1):
@@ -71,12 +71,12 @@ def sketches(docs: DataFrame, shingle: int, trees: int) -> DataFrame:
                     rs.append(np.zeros(0, np.int64))
                     ss.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.binary()), pa.array(rs, pa.list_(pa.int64())), pa.array(ss, pa.binary())],
-                ["doc_id", "n_shingles", "sid", "roots", "sig"],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.binary()), pa.array(rs, pa.list_(pa.int64())), pa.array(ss, pa.binary()), *b.columns[2:]],
+                ["doc_id", "n_shingles", "sid", "roots", "sig", *b.schema.names[2:]],
             )
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return slim.mapInArrow(sketch, "doc_id long, n_shingles long, sid binary, roots array<long>, sig binary")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([digest().alias("digest")] if keyed else []))
+    return slim.mapInArrow(sketch, "doc_id long, n_shingles long, sid binary, roots array<long>, sig binary" + (", digest binary" if keyed else ""))
 
 
 def _leaves(classes: DataFrame, limit: int, depth: int) -> DataFrame:
@@ -308,8 +308,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
     named by the others; alone its component_id is null and it is kept.  Repeated rows: same component, each kept
     if its doc_id is the least.  Empty table: empty result.
     """
+    out = _labelled(docs, shingle, percent, trees, limit, depth, least)
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _labelled(docs: DataFrame, shingle: int, percent: int, trees: int, limit: int, depth: int, least: int, keyed: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, sid, root (null without a set) and component_id, and its digest if ``keyed``."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stored(sketches(own, shingle, trees))
+    base = stored(sketches(own, shingle, trees, keyed))
     named = base.filter(F.col("sid").isNotNull())
     least_id = cut(named.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("rows")))
     # one row of each class keeps its roots and signature
@@ -329,10 +336,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
     labels = roots.select(F.col("node").alias("sid"), "root")
     per = least_id.join(labels, "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
     smallest = per.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = per.select("sid", "root").join(smallest, "root").select("sid", "component_id")
-    out = base.select("doc_id", "n_shingles", "sid").join(of_class, "sid", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    of_class = per.select("sid", "root").join(smallest, "root").select("sid", "root", "component_id")
+    return base.drop("roots", "sig").join(of_class, "sid", "left")
 
 
 def _texts_to_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -349,7 +354,22 @@ def _texts_to_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFram
     return made.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without those whose near-duplicate component has a smaller doc_id; rows with a null doc_id are kept."""
-    gone = near_duplicates(docs, **options).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+def one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees: int = 10, limit: int = 256, depth: int = 2, least: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one of each near-duplicate component: that of the least doc_id and digest of its text.
+
+    Rows go by doc_id and text, not by doc_id alone; of equal rows one stays, too.  Of a component's rows with a null doc_id one
+    stays beside the named one, that of the least digest.  Rows without words are kept.
+    """
+    rows = _labelled(docs, shingle, percent, trees, limit, depth, least, keyed=True).filter("root is not null")
+    per = cut(rows.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")))
+    per = per.withColumn("unnamed", F.col("doc_id").isNull())
+    key = F.struct("doc_id", "digest")
+    first = per.groupBy("root", "unnamed").agg(F.sum("rows").alias("all"), F.min(key).alias("first")).filter("all > 1")
+    fate = cut(per.join(first, ["root", "unnamed"]).withColumn("stays", key == F.col("first")).filter("not stays or rows > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "stays"))
+    out = docs.join(fate, same_row(docs, fate), "left_anti")
+    again = fate.filter("stays")
+    if again.head(1):
+        # one of equal rows: gathered by key in parts first, so that many copies don't meet in one task
+        marked = docs.join(again, same_row(docs, again), "left_semi").withColumns({"_one_id": F.col("doc_id").cast("long"), "_one_digest": digest()})
+        out = out.union(marked.dropDuplicates(["_one_id", "_one_digest"]).select(*docs.columns))
+    return out
