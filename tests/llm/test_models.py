@@ -127,19 +127,109 @@ def test_context_mixing(spark):
     assert mixmodel.score_texts(documents(spark, rows).limit(0)).count() == 0
 
 
-def test_byte_code_is_a_distribution():
-    rng = np.random.default_rng(3)
-    code = mixmodel.make_code(rng.integers(0, 1000, 256))
-    counts = mixmodel.Counts(code)
-    counts.add(mixmodel.joined([b"some text to learn from", b"and some more text"]))
-    slots = np.concatenate([mixmodel.stretch_table(b.reshape(-1, 64), code).ravel() for t, _, b in counts.blocks() if t == 0])
-    model = mixmodel.initial_model(code, slots, mixmodel.stretched(counts.words[1].astype(float), counts.words[0].astype(float)))
-    prefix = b"some te"
-    total = 0.0
-    for byte in range(256):
-        data = np.frombuffer(prefix + bytes([byte]) + (b"" if byte == 255 else b"\xff"), np.uint8)
-        total += 10 ** model.log10(data)[len(prefix)]
-    assert total == pytest.approx(1, abs=2e-3)
+def trained_mixer(texts, lesson, sizes):
+    """A model with counts of ``texts`` and weights from ``lesson``, without Spark."""
+    data = mixmodel.joined(texts)
+    code = mixmodel.make_code(np.bincount(data, minlength=256))
+    counts = mixmodel.Counts(code, sizes)
+    counts.add(data)
+    model = mixmodel.initial_model(code, sizes, counts.tables())
+    sums, seen = np.zeros(64 * 64 * mixmodel.BUCKETS), np.zeros(64 * 64 * mixmodel.BUCKETS)
+    mixmodel.learn_online(model, mixmodel.joined(lesson), sums, seen)
+    model.refine = ((sums + 8 * model.refine) / (seen + 8)).astype(np.float32)
+    return model, counts
+
+
+def random_texts(rng, n, most=40):
+    letters = "abcdeefgh\u00e9"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(0, most))).encode() for _ in range(n)]
+
+
+def test_next_bytes_sum_to_one():
+    rng = random.Random(3)
+    texts = random_texts(rng, 80)
+    model, _ = trained_mixer(texts[:60], texts[60:], mixmodel.Sizes(12, 16, 16))
+    for prefix in (b"", b"a", b"abc", b"zq abd", b"unseen words and some m", b"a b ", texts[0][:25] + b" q", b"\xf0\x9f odd byt"):
+        total = 0.0
+        for byte in range(256):
+            data = np.frombuffer(prefix + bytes([byte]) + (b"" if byte == 255 else b"\xff"), np.uint8)
+            units = mixmodel.Units(data, model.code, model.sizes)
+            (_, _, runs, _) = next(units.parts(1 << 20))
+            log = [model.logs(run, model.outcome_logs())[run.at == len(prefix)] for run in runs]
+            assert sum(map(len, log)) == 1
+            total += 10 ** (np.concatenate(log)[0] / np.log(10) + model.code.escape[byte])
+        assert total == pytest.approx(1, abs=1e-4), prefix
+
+
+def slow_log10(model, text):
+    """One text's score symbol by symbol, decision by decision."""
+    code, sizes, out = model.code, model.sizes, 0.0
+    hashed = lambda w: int(textbuf.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    words = text.lower().split()
+    units = [w + b" " for w in words[:-1]] + [(words[-1] if words else b"") + b"\xff"]
+    so_far: list[int] = []
+    for i, unit in enumerate(units):
+        before = hashed(units[i - 1][:-1]) if i else 0
+        inside = [int(code.syms[32])]
+        for k, byte in enumerate(unit):
+            sym = int(code.syms[byte])
+            if k < 2:
+                recent = (so_far[::-1] + [0] * 4)[:4]
+                key = (before + 1) & (2**64 - 1)
+                if k:
+                    key = (key * 0x9E3779B97F4A7C15 & (2**64 - 1)) ^ int(code.syms[unit[k - 1]])
+                key = int(textbuf.mix(np.array([key], np.uint64))[0])
+                table, bits = model.pairs, sizes.pairs
+            else:
+                recent = (inside[::-1] + [0] * 4)[:4]
+                key, table, bits = hashed(unit[:k]), model.words, sizes.words
+            one, two, three, four = (sum(s << 6 * (n - 1 - j) for j, s in enumerate(recent[:n])) for n in (1, 2, 3, 4))
+            slots = [one, 64 + two, 64 + 4096 + three, 64 + 4096 + 64**3 + ((four * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - sizes.fourth))]
+            for level in range(int(code.depths[sym])):
+                node, bit = int(code.nodes[level, sym]), bool(code.bits[level, sym])
+                word = int(mixmodel.lines(np.array([key >> 32], np.uint32), level, bits)[0]) | int(code.places[level, sym])
+                x = np.array([*(model.table[s * 64 + node] / 16 for s in slots), table[word] / 16, 0.3])
+                kind = 2 * (x[4] != 0) + (x[3] != 0)
+                z = min(9.0, max(-9.0, float(model.weights[(min(k, 3) * 3 + min(level, 2)) * 4 + kind] @ x)))
+                place = (recent[0] << 6 | node) * 48 + int((z + 9) * 47 / 18 + 0.5)
+                p = min(1 - 1e-5, max(1e-5, float(model.refine[place])))
+                out += math.log10(p if bit else 1 - p)
+            out += float(code.escape[byte])
+            so_far.append(sym)
+            inside.append(sym)
+    return out
+
+
+def test_mixer_against_symbol_by_symbol(monkeypatch):
+    rng = random.Random(4)
+    texts = random_texts(rng, 60) + [b"", b" \n", b"x" * 300, b"\xf0\x9f\x98\x80 ok ok ok"]
+    model, counts = trained_mixer(texts[:40], texts[40:50], mixmodel.Sizes(12, 16, 16))
+    pairs = collections.Counter()  # what followed two symbols
+    for t in texts[:40]:
+        data = mixmodel.joined([t])
+        sym = [int(s) for s in model.code.syms[data]]
+        start = 0
+        for i, s in enumerate(sym):
+            inside = i - start >= 2
+            recent = [*([0] * 2), *([int(model.code.syms[32])] + sym[start:i] if inside else sym[:i])][::-1]
+            pairs[(recent[0] << 6 | recent[1]), s] += 1
+            start = i + 1 if data[i] == 32 else start
+    followed = counts.all[: 64**4].reshape(64, 64, 64, 64).sum(2).reshape(-1, 64)
+    assert {(int(s), int(c)): int(followed[s, c]) for s, c in zip(*np.nonzero(followed), strict=True)} == dict(pairs)
+    slots = model.table.reshape(-1, 64)
+    assert np.array_equal(slots[64 : 64 + 4096], mixmodel.stretch_table(followed, model.code))
+    assert np.array_equal(slots[:64], mixmodel.stretch_table(followed.reshape(64, 64, 64).sum(1), model.code))
+    for piece in (1 << 20, 50):  # also in pieces that end inside texts
+        monkeypatch.setattr(mixmodel, "PIECE", piece)
+        got = model.log10(mixmodel.Units(mixmodel.joined(texts), model.code, model.sizes))
+        assert got == pytest.approx([slow_log10(model, t) for t in texts], abs=2e-2, rel=1e-4)
+
+
+def test_growing_tables():
+    small, large = mixmodel.Sizes.of(10**6, 10**5, 26), mixmodel.Sizes.of(10**9, 10**7, 26)
+    assert small.fourth < large.fourth and small.pairs < large.pairs and small.words < large.words
+    assert max(mixmodel.Sizes.of(10**13, 10**10, 26).__dict__.values()) == 26
 
 
 def test_decontamination(spark):
