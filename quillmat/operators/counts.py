@@ -48,6 +48,28 @@ def var_counts_sum(data: DataMatrix, name: str, where: Where = None, f: Callable
     return data.with_obs(_attach(data.obs, data.obs_key, mat.groupBy("obs_id").agg(F.sum(value).alias(name)), "obs_id", [name]))
 
 
+def var_counts(data: DataMatrix, sums: dict[str, tuple[Where, Callable[[Column], Column] | None]], fractions: dict[str, tuple[Where, Where]] | None = None) -> DataMatrix:
+    """Several columns per observation from one pass over the cells: sums as in ``var_counts_sum``, then fractions as in ``var_counts_fraction``.
+
+    ``sums`` gives for each name which variables count and a function of their values (or None).
+    """
+    fractions = fractions or {}
+    wheres = [*[("w_" + n, w) for n, (w, _) in sums.items()], *[(k + n, w) for n, pair in fractions.items() for k, w in zip(("p_", "t_"), pair, strict=True)]]
+    marks = data.var_ids()
+    for name, where in wheres:
+        if where is not None:
+            marks = marks.join(select_rows(data.var, where).select(F.col(data.var_key).alias("var_id"), F.lit(True).alias(name)), "var_id", "left")
+    marked = any(w is not None for _, w in wheres)
+    cells = data.mat.join(marks, "var_id") if marked else data.mat
+    chosen = {n for n, w in wheres if w is not None}
+    when = lambda name, value: F.sum(F.when(F.col(name), value) if name in chosen else value)
+    out = [when("w_" + n, F.col("value") if f is None else _sums(data, "obs_id", None, f)[1]).alias(n) for n, (_, f) in sums.items()]
+    out += [when(k + n, F.col("value")).alias(f"_{k}{n}") for n in fractions for k in ("p_", "t_")]
+    share = lambda n: (F.coalesce(f"_p_{n}", F.lit(0)) / F.greatest(F.lit(1), F.coalesce(f"_t_{n}", F.lit(0)))).alias(n)
+    per = cells.groupBy("obs_id").agg(*out).select("obs_id", *sums, *map(share, fractions))
+    return data.with_obs(_attach(data.obs, data.obs_key, per, "obs_id", [*sums, *fractions]))
+
+
 def obs_counts_sum(data: DataMatrix, name: str, where: Where = None, f: Callable[[Column], Column] | None = None) -> DataMatrix:
     mat, value = _sums(data, "var_id", where, f)
     return data.with_var(_attach(data.var, data.var_key, mat.groupBy("var_id").agg(F.sum(value).alias(name)), "var_id", [name]))
@@ -72,6 +94,25 @@ def obs_counts_fraction(data: DataMatrix, name: str, part: Where, total: Where =
     return data.with_var(_attach(data.var, data.var_key, _fraction(data, "var_id", name, part, total), "var_id", [name]))
 
 
+def row_sums(data: DataMatrix, f: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(var_id, total): each variable's sum of ``f(value)`` over all observations, for f(0) = 0; without f symbolic terms count, too."""
+    if f is not None and data.terms:
+        raise ValueError("a function of cells needs a plain sparse matrix")
+    mat, value = _sums(data, "var_id", None, f)
+    out = data.var_ids().join(mat.groupBy("var_id").agg(F.sum(value).alias("total")), "var_id", "left")
+    total = F.coalesce("total", F.lit(0))
+    for i, t in enumerate(data.terms):
+        sums = t.right.agg(*[F.sum(F.col("x")[k]) for k in range(t.rank)]).first()
+        out = out.join(t.left.select("var_id", F.col("b").alias(f"_b{i}")), "var_id")
+        total = total + sum((F.lit(float(sums[k] or 0.0)) * F.col(f"_b{i}")[k] for k in range(t.rank)), F.lit(0.0))
+    return out.select("var_id", total.alias("total"))
+
+
+def column_sums(data: DataMatrix, f: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(obs_id, total): the same over all variables."""
+    return row_sums(data.transposed(), f).withColumnRenamed("var_id", "obs_id")
+
+
 def sum_squared(data: DataMatrix, side: str = "var_id") -> DataFrame:
     """(side, ss): sums of squares per variable or observation, symbolic terms included.
 
@@ -103,7 +144,10 @@ def times_right(data: DataMatrix, right: DataFrame, rank: int) -> DataFrame:
 
 def gram_of(a: DataFrame, b: DataFrame, p: int, q: int) -> list[list[float]]:
     """XᵗY of two tables (obs_id, x): a small matrix, on the driver."""
-    same = a.select("obs_id", F.col("x").alias("_a")).join(b.select("obs_id", F.col("x").alias("_b")), "obs_id")
+    if a is b:  # one pass, no join
+        same = a.select(F.col("x").alias("_a"), F.col("x").alias("_b"))
+    else:
+        same = a.select("obs_id", F.col("x").alias("_a")).join(b.select("obs_id", F.col("x").alias("_b")), "obs_id")
     row = same.agg(*[F.sum(F.col("_a")[i] * F.col("_b")[j]) for i in range(p) for j in range(q)]).first()
     return [[float(row[i * q + j] or 0.0) for j in range(q)] for i in range(p)]
 
@@ -152,18 +196,30 @@ def _combinations(table: DataFrame, by: list[str], delim: str) -> DataFrame:
     return out.withColumn("combo", F.concat_ws(delim, *[F.col(c).cast("string") for c in by])).select("combo", *by, F.struct(*order).alias("_order"))
 
 
-def _complete(data: DataMatrix, by: list[str]) -> None:
-    gap = data.obs.filter(" or ".join(f"`{c}` is null" for c in by)).limit(1).count()
+def _complete(obs: DataFrame, by: list[str]) -> None:
+    gap = obs.filter(" or ".join(f"`{c}` is null" for c in by)).limit(1).count()
     if gap:
         raise ValueError("an observation lacks a covariate")
 
 
-def pseudobulk(data: DataMatrix, *by: str, new_var: tuple[str, ...] = (), delim: str = "_") -> DataMatrix:
+def new_categories(obs: DataFrame, new_var: tuple[str, ...], delim: str = "_") -> DataFrame:
+    """(extra, the covariates, _order): the combinations that become variables."""
+    return _combinations(obs, list(new_var), delim).withColumnRenamed("combo", "extra")
+
+
+def _known(own: DataFrame, extras: DataFrame) -> None:
+    lost = own.join(extras.select("extra"), "extra", "left_anti").head(1)
+    if lost:
+        raise ValueError(f"unseen category {lost[0]['extra']!r}")
+
+
+def pseudobulk(data: DataMatrix, *by: str, new_var: tuple[str, ...] = (), delim: str = "_", extras: DataFrame | None = None) -> DataMatrix:
     """Means of each variable over the observations of each combination of covariates; an empty combination is all 0.
 
-    ``new_var`` covariates are unfolded into variables ``variable_category...`` instead.
+    ``new_var`` covariates are unfolded into variables ``variable_category...`` instead; ``extras`` from other data
+    (see ``new_categories``) keeps these as they are there.
     """
-    _complete(data, [*by, *new_var])
+    _complete(data.obs, [*by, *new_var])
     key = lambda cs: F.concat_ws(delim, *[F.col(c).cast("string") for c in cs])
     combos = _combinations(data.obs, list(by), delim)
     ranked = combos.orderBy("_order")
@@ -176,7 +232,10 @@ def pseudobulk(data: DataMatrix, *by: str, new_var: tuple[str, ...] = (), delim:
     obs = _dense(obs)
     var = data.var
     if new_var:
-        extras = _combinations(data.obs, list(new_var), delim).withColumnRenamed("combo", "extra")
+        if extras is None:
+            extras = new_categories(data.obs, new_var, delim)
+        else:
+            _known(own, extras)
         var = data.var.withColumnRenamed("ord", "_var").crossJoin(extras.withColumnRenamed("_order", "_extra"))
         var = var.withColumn("id", F.concat_ws(delim, F.col(data.var_key).cast("string"), "extra"))
         var = numbered(var, "_var", "_extra").select("id", *[c for c in data.var.columns if c not in ("id", "ord")], *new_var, "ord")
@@ -187,14 +246,26 @@ def _dense(combos: DataFrame) -> DataFrame:
     return numbered(combos, "_order").drop("_order")
 
 
-def population_matrix(obs: DataFrame, rows: str, *by: str, delim: str = "_") -> DataFrame:
-    """(row, combo, fraction): how the observations of each combination divide among the categories of ``rows``."""
-    key = F.concat_ws(delim, *[F.col(c).cast("string") for c in by])
-    counts = obs.select(F.col(rows).alias("row"), key.alias("combo")).groupBy("row", "combo").agg(F.count(F.lit(1)).alias("n"))
-    cells = distinct_values(obs, rows).select(F.col(rows).alias("row")).crossJoin(_combinations(obs, list(by), delim).select("combo"))
-    totals = counts.groupBy("combo").agg(F.sum("n").alias("t"))
-    full = cells.join(counts, ["row", "combo"], "left").join(totals, "combo", "left")
-    return full.select("row", "combo", (F.coalesce("n", F.lit(0)) / F.greatest(F.lit(1), F.coalesce("t", F.lit(0)))).alias("fraction"))
+def population_matrix(obs: DataFrame, *by: str, new_var: str | tuple[str, ...], delim: str = "_", extras: DataFrame | None = None) -> DataMatrix:
+    """How the observations of each combination of ``by`` divide among the combinations of ``new_var``: a matrix of shares.
+
+    Variables are the latter (named ``extra``), observations the former (``combo``); an empty combination is all 0.
+    ``extras`` from other data keeps the variables as they are there.
+    """
+    new_var = (new_var,) if isinstance(new_var, str) else tuple(new_var)
+    _complete(obs, [*by, *new_var])
+    key = lambda cs: F.concat_ws(delim, *[F.col(c).cast("string") for c in cs])
+    own = obs.select(key(new_var).alias("extra"), key(by).alias("combo"))
+    if extras is None:
+        extras = new_categories(obs, new_var, delim)
+    else:
+        _known(own, extras)
+    counts = own.groupBy("extra", "combo").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("combo").agg(F.greatest(F.lit(1), F.sum("n")).alias("t"))
+    mat = counts.join(totals, "combo").select(F.col("extra").alias("var_id"), F.col("combo").alias("obs_id"), (F.col("n") / F.col("t")).alias("value"))
+    var = _dense(extras.select("extra", *[c for c in new_var if len(new_var) > 1], "_order"))
+    columns = _dense(_combinations(obs, list(by), delim).select("combo", *[c for c in by if len(by) > 1], "_order"))
+    return DataMatrix(mat, var, columns, "extra", "combo")
 
 
 def scaled(data: DataMatrix, factor: float) -> DataMatrix:

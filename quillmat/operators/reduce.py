@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,12 +71,130 @@ def _settled(t: DataFrame) -> DataFrame:
     return t.checkpoint() if t.sparkSession.sparkContext.getCheckpointDir() else t.persist()
 
 
-def svd(data: DataMatrix, *, nsv: int, seed: int = 1234, subspace: int | None = None, niter: int = 3, stabilize_sign: bool = True) -> Factors:
-    """Randomized subspace iteration: every pass is one join and aggregate, only matrices of the subspace's size reach the driver.
+#: Bytes of a factor (variables or observations times subspace) up to which it is sent to all tasks.
+MOST_BYTES = 64 << 20
 
-    Starting vectors are Gaussian numbers hashed from the observations' identifiers, so a seed means the same on any cluster.
+
+def _packed(data: DataMatrix, places: DataFrame) -> DataFrame:
+    """(obs_id, at, value, x): each observation's cells as arrays of variable numbers and values, and its side of the symbolic terms."""
+    cells = data.mat.join(F.broadcast(places), "var_id").groupBy("obs_id").agg(F.collect_list(F.struct(F.col("_n").alias("n"), F.col("value").cast("double").alias("v"))).alias("_c"))
+    out = data.obs_ids().join(cells, "obs_id", "left")
+    x = F.array().cast("array<double>")
+    for i, t in enumerate(data.terms):
+        out = out.join(t.right.select("obs_id", F.col("x").alias(f"_x{i}")), "obs_id")
+        x = F.concat(x, F.col(f"_x{i}").cast("array<double>"))
+    got = lambda c: F.coalesce(F.col(f"_c.{c}"), F.array().cast("array<int>" if c == "n" else "array<double>"))
+    return out.select("obs_id", got("n").alias("at"), got("v").alias("value"), x.alias("x"))
+
+
+def _rows_times(batch: pa.RecordBatch, q: np.ndarray, bq: np.ndarray) -> Iterator[tuple]:
+    """For some rows at a time: (rows' numbers, cells' rows, places, values, x, rows times the factor)."""
+    ends = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+    at, value = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+    x = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + (1 << 22) // q.shape[1], "right")) - 1)
+        i, v = at[ends[a] : ends[b]], value[ends[a] : ends[b]]
+        row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+        z = x[a:b] @ bq
+        for c in range(q.shape[1]):
+            z[:, c] += np.bincount(row, v * q[i, c], b - a)
+        yield slice(a, b), row, i, v, x[a:b], z
+        a = b
+
+
+def _svd_of_few_variables(data: DataMatrix, nsv: int, k: int, seed: int, niter: int, stabilize_sign: bool) -> Factors:
+    """Subspace iteration with the variables' side of the factors sent to all tasks: each pass over the observations is one narrow stage.
+
+    A task adds up A(AᵗQ) over its observations; these sums, of a checked size, are added by blocks of rows and orthonormalized on the driver.
+    """
+    spark = data.mat.sparkSession
+    u = lambda i, s: (F.pmod(F.xxhash64("var_id", F.lit(i), F.lit(s), F.lit(seed)), F.lit(1 << 40)) + 1) / float(1 << 40)
+    start = data.var_ids().select("var_id", *[(F.sqrt(-2 * F.log(u(i, 0))) * F.cos(2 * math.pi * u(i, 1))).alias(f"_{i}") for i in range(k)]).toArrow()
+    ids, q = start.column(0).to_pylist(), np.column_stack([start.column(i + 1).to_numpy() for i in range(k)])
+    kind = data.var_ids().schema["var_id"].dataType.simpleString()
+    rows = _settled(_packed(data, spark.createDataFrame([(x, i) for i, x in enumerate(ids)], f"var_id {kind}, _n int")))
+    number, sides = {x: i for i, x in enumerate(ids)}, []
+    for t in data.terms:
+        side = np.zeros((len(ids), t.rank))
+        for r in t.left.select("var_id", "b").toLocalIterator():
+            side[number[r["var_id"]]] = r["b"]
+        sides.append(side)
+    b_all = np.concatenate([np.zeros((len(ids), 0)), *sides], 1)
+    step = max(1, (4 << 20) // (8 * k))
+
+    def summed(q: np.ndarray) -> np.ndarray:
+        """A(AᵗQ) and, below it, (AᵗQ)ᵗ(AᵗQ)."""
+        held = spark.sparkContext.broadcast((q, b_all, b_all.T @ q))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, b_all, bq = held.value
+            y, xz, gram, any_row = np.zeros_like(q), np.zeros_like(bq), np.zeros((q.shape[1], q.shape[1])), False
+            for batch in batches:
+                for _, row, i, v, x, z in _rows_times(batch, q, bq):
+                    any_row = True
+                    for c in range(q.shape[1]):
+                        y[:, c] += np.bincount(i, v * z[row, c], len(y))
+                    xz += x.T @ z
+                    gram += z.T @ z
+            if any_row:
+                whole = np.concatenate([y + b_all @ xz, gram])
+                for n, at in enumerate(range(0, len(whole), step)):
+                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([whole[at : at + step].tobytes()], pa.binary())], ["block", "sums"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    sums[n] = sums.get(n, 0.0) + np.frombuffer(s)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["block", "sums"])
+
+        kinds = "block int, sums binary"
+        got = rows.mapInArrow(part, kinds).repartition("block").mapInArrow(add, kinds).orderBy("block").collect()
+        return np.concatenate([np.frombuffer(r["sums"]) for r in got] or [np.zeros((len(q) + q.shape[1]) * q.shape[1])]).reshape(-1, q.shape[1])
+
+    for _ in range(niter + 1):
+        left, s, _ = np.linalg.svd(summed(q)[: len(ids)], full_matrices=False)
+        q = left[:, s > max(s.max(initial=0.0), 0) * 1e-13]
+    values, vectors = np.linalg.eigh(summed(q)[len(ids) :]) if q.shape[1] else (np.zeros(0), np.zeros((0, 0)))
+    order = np.argsort(-values)[:nsv]
+    s, m = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
+    if stabilize_sign:
+        own = q @ m
+        m = m * np.where((own * np.abs(own)).sum(0) < 0, -1.0, 1.0)
+    held = spark.sparkContext.broadcast((q, b_all.T @ q, m / np.maximum(s, 1e-100)))
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, bq, w = held.value
+        for batch in batches:
+            for some, _, _, _, _, z in _rows_times(batch, q, bq):
+                v = z @ w
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(some.start, len(v)), lists], ["obs_id", "v"])
+
+    v_t = rows.mapInArrow(right, f"obs_id {rows.schema['obs_id'].dataType.simpleString()}, v array<double>")
+    return Factors(spark.createDataFrame(list(zip(ids, (q @ m).tolist(), strict=True)), f"var_id {kind}, u array<double>"), s, v_t)
+
+
+def svd(data: DataMatrix, *, nsv: int, seed: int = 1234, subspace: int | None = None, niter: int = 3, stabilize_sign: bool = True, most_bytes: int = MOST_BYTES) -> Factors:
+    """Randomized subspace iteration; only matrices of the subspace's size and factors of at most ``most_bytes`` reach the driver.
+
+    Starting vectors are Gaussian numbers hashed from identifiers, so a seed means the same on any cluster.  Where neither side's
+    factor is small, every pass is one join and aggregate.
     """
     n, p = data.obs.count(), data.var.count()
+    width = min(subspace or 4 * nsv, n, p) + sum(t.rank for t in data.terms)
+    if 0 < 8 * p * width <= most_bytes:
+        return _svd_of_few_variables(data, min(nsv, n, p), min(subspace or 4 * nsv, n, p), seed, niter, stabilize_sign)
+    if 0 < 8 * n * width <= most_bytes:
+        f = _svd_of_few_variables(data.transposed(), min(nsv, n, p), min(subspace or 4 * nsv, n, p), seed, niter, False)
+        u, v, k = f.v.select(F.col("obs_id").alias("var_id"), F.col("v").alias("u")), f.u.select(F.col("var_id").alias("obs_id"), F.col("u").alias("v")), len(f.s)
+        if stabilize_sign and k:
+            row = u.agg(*[F.sum(F.col("u")[i] * F.abs(F.col("u")[i])) for i in range(k)]).first()
+            turn = np.diag(np.where(np.array([float(x or 0) for x in row]) < 0, -1.0, 1.0))
+            u, v = u.select("var_id", _combine("u", turn).alias("u")), v.select("obs_id", _combine("v", turn).alias("v"))
+        return Factors(u, f.s, v)
     # every pass reads the cells and the terms, so what they come from is worked out once
     data = replace(data, mat=_settled(data.mat), terms=tuple(LowRank(_settled(t.left), _settled(t.right), t.rank) for t in data.terms))
     nsv = min(nsv, n, p)

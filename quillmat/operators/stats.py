@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from quillmat.operators.filters import without_missing
 from quillmat.operators.reduce import times
 
 
-def _ready(data: DataMatrix, covariates: list, missing: str) -> DataMatrix:
+def ready(data: DataMatrix, covariates: list, missing: str) -> DataMatrix:
     named = [c.source if isinstance(c, Covariate) else c for c in covariates]
     columns = [c for c in named if isinstance(c, str)]
     if missing == "skip":
@@ -66,12 +68,36 @@ def _with_var_columns(data: DataMatrix, result: DataFrame, var_columns: tuple[st
     return own.join(result, "var_id")
 
 
-def ftest(data: DataMatrix, h1: list, *, h0: tuple = (), center: bool = True, h1_missing: str = "skip", var_columns: tuple[str, ...] = (), max_categories: int = 100) -> DataFrame:
-    """var_id, F, pValue for h1 beyond h0 (and the mean), sorted by F; a model without freedom gives F 0, p 1."""
-    data = _ready(data, [*h0, *h1], h1_missing)
-    null = fit_design(data.obs, *h0, center=center, max_categories=max_categories) if h0 or center else None
-    alt = fit_design(data.obs, *h1, center=False, max_categories=max_categories)
-    x, q0, q1 = _bases(data.obs, data.obs_key, null, alt)
+def _shown(out: DataFrame, var_columns: tuple[str, ...], by: str, names: dict[str, str | None], do_sort: bool) -> DataFrame:
+    """Result columns under their names (None: left out), most significant variables first or as the variables are."""
+    out = out.orderBy(F.abs(by).desc(), "ord") if do_sort else out.orderBy("ord")
+    return out.select("var_id", *var_columns, *[F.col(c).alias(n) for c, n in names.items() if n is not None])
+
+
+@dataclass(frozen=True)
+class Tested:
+    """The designs of a test as fitted on some observations: of the null hypothesis, and what is tested beyond it."""
+
+    null: Design | None
+    alt: Design
+
+
+def ftest_designs(obs: DataFrame, h1: list, *, h0: tuple = (), center: bool = True, max_categories: int = 100) -> Tested:
+    null = fit_design(obs, *h0, center=center, max_categories=max_categories) if h0 or center else None
+    return Tested(null, fit_design(obs, *h1, center=False, max_categories=max_categories))
+
+
+def ftest(
+    data: DataMatrix, h1: list, *, h0: tuple = (), center: bool = True, h1_missing: str = "skip", var_columns: tuple[str, ...] = (), max_categories: int = 100,
+    designs: Tested | None = None, statistic_col: str | None = "F", pvalue_col: str | None = "pValue", do_sort: bool = True,
+) -> DataFrame:
+    """var_id, F, pValue for h1 beyond h0 (and the mean), sorted by F; a model without freedom gives F 0, p 1.
+
+    ``designs`` fitted on other observations keep their means, scales and categories.
+    """
+    data = ready(data, [*h0, *h1], h1_missing)
+    designs = designs or ftest_designs(data.obs, h1, h0=h0, center=center, max_categories=max_categories)
+    x, q0, q1 = _bases(data.obs, data.obs_key, designs.null, designs.alt)
     v1, v2 = q1.shape[1], data.obs.count() - q0.shape[1] - q1.shape[1]
     if v1 <= 0 or v2 <= 0:
         out = data.var_ids().select("var_id", F.lit(0.0).alias("F"), F.lit(1.0).alias("pValue"))
@@ -80,22 +106,29 @@ def ftest(data: DataMatrix, h1: list, *, h0: tuple = (), center: bool = True, h1
         left = F.greatest(F.lit(0.0), F.col("ss") - F.col("_e0") - F.col("_e1"))
         out = e.select("var_id", (F.lit(v2 / v1) * _safe_ratio(F.col("_e1"), left)).alias("F"))
         out = out.withColumn("pValue", f_pvalue(v1, v2)("F"))
-    return _with_var_columns(data, out, var_columns).orderBy(F.col("F").desc(), "ord").drop("ord")
+    return _shown(_with_var_columns(data, out, var_columns), var_columns, "F", {"F": statistic_col, "pValue": pvalue_col}, do_sort)
 
 
-def ttest(data: DataMatrix, h1, *, h0: tuple = (), center: bool = True, h1_missing: str = "skip", var_columns: tuple[str, ...] = ()) -> DataFrame:
-    """var_id, t, pValue, difference for one numerical or two-group covariate, sorted by |t|."""
-    data = _ready(data, [*h0, h1], h1_missing)
+def ttest_designs(obs: DataFrame, h1, *, h0: tuple = (), center: bool = True) -> Tested:
     c = h1 if isinstance(h1, Covariate) else Covariate(h1)
     if c.kind == "categorical":
         raise ValueError("a t-test needs a numerical or two-group covariate")
-    if c.kind == "twogroup":
-        center = True
-    null = fit_design(data.obs, *h0, center=center) if h0 or center else None
-    alt = fit_design(data.obs, c, center=center)
+    center = center or c.kind == "twogroup"
+    alt = fit_design(obs, c, center=center)
     alt = Design(tuple(x for x in alt.columns if x.kind != "intercept"))
     if alt.columns[0].kind == "category":
         raise ValueError("a t-test needs a numerical or two-group covariate")
+    return Tested(fit_design(obs, *h0, center=center) if h0 or center else None, alt)
+
+
+def ttest(
+    data: DataMatrix, h1, *, h0: tuple = (), center: bool = True, h1_missing: str = "skip", var_columns: tuple[str, ...] = (), designs: Tested | None = None,
+    statistic_col: str | None = "t", pvalue_col: str | None = "pValue", difference_col: str | None = "difference", do_sort: bool = True,
+) -> DataFrame:
+    """var_id, t, pValue, difference for one numerical or two-group covariate, sorted by |t|; ``designs`` as in :func:`ftest`."""
+    data = ready(data, [*h0, h1], h1_missing)
+    designs = designs or ttest_designs(data.obs, h1, h0=h0, center=center)
+    null, alt = designs.null, designs.alt
     x, q0, q1 = _bases(data.obs, data.obs_key, null, alt)
     v2 = data.obs.count() - q0.shape[1] - q1.shape[1]
     if q1.shape[1] != 1 or v2 <= 0:
@@ -109,10 +142,11 @@ def ttest(data: DataMatrix, h1, *, h0: tuple = (), center: bool = True, h1_missi
         # q1 is h1 beyond h0 over its length, and q1[k0] is one over that length
         out = e.select("var_id", _safe_ratio(F.col("_first"), F.sqrt(left / v2)).alias("t"), (F.col("_first") * F.lit(float(q1[k0, 0]) / alt.columns[0].scale)).alias("difference"))
         out = out.select("var_id", "t", t_pvalue(v2)("t").alias("pValue"), "difference")
-    return _with_var_columns(data, out, var_columns).orderBy(F.abs("t").desc(), "ord").drop("ord")
+    return _shown(_with_var_columns(data, out, var_columns), var_columns, "t", {"t": statistic_col, "pValue": pvalue_col, "difference": difference_col}, do_sort)
 
 
-def _two_groups(obs: DataFrame, column: str, a, b) -> tuple:
+def two_groups(obs: DataFrame, column: str, a=None, b=None) -> tuple:
+    """The labels to compare: those given, which must occur, or the only two there are."""
     if a is None:
         values = sorted(r[0] for r in obs.filter(F.col(column).isNotNull()).select(column).distinct().limit(3).collect())
         if len(values) != 2:
@@ -124,15 +158,20 @@ def _two_groups(obs: DataFrame, column: str, a, b) -> tuple:
     return a, b
 
 
-def mannwhitney(data: DataMatrix, column: str, a=None, b=None, *, h1_missing: str = "skip", var_columns: tuple[str, ...] = ()) -> DataFrame:
-    """var_id, U, z, pValue of group ``a`` against ``b`` (or all others); stored values must be positive.
+def mannwhitney(
+    data: DataMatrix, column: str, a=None, b=None, *, h1_missing: str = "skip", var_columns: tuple[str, ...] = (), groups: tuple | None = None,
+    statistic_col: str | None = "U", pvalue_col: str | None = "pValue", z_col: str | None = None, do_sort: bool = True,
+) -> DataFrame:
+    """var_id, U, pValue (and z if it has a name) of group ``a`` against ``b`` (or all others), sorted by |z|; stored values must be positive.
+
+    ``groups`` resolved on other data (see ``two_groups``) are taken as they are, whether they occur or not.
 
     Ranks are windows over each variable's stored cells; the zeros are one tied block below them, counted not listed.
     """
     if data.terms:
         raise ValueError("ranks need a plain sparse matrix")
-    data = _ready(data, [column], h1_missing)
-    a, b = _two_groups(data.obs, column, a, b)
+    data = ready(data, [column], h1_missing)
+    a, b = groups or two_groups(data.obs, column, a, b)
     group = F.when(F.col(column).eqNullSafe(F.lit(a)), 1)
     group = group.when(F.col(column).eqNullSafe(F.lit(b)), 2) if b is not None else group.otherwise(2)
     members = data.obs.select(F.col(data.obs_key).alias("obs_id"), group.alias("g")).filter("g is not null")
@@ -156,4 +195,4 @@ def mannwhitney(data: DataMatrix, column: str, a=None, b=None, *, h1_missing: st
     # a wholly tied variable has no spread, but for rounding
     out = out.withColumn("_sigma", F.when(F.col("_sigma") > 1e-9, F.col("_sigma")).otherwise(0.0)).withColumn("_d", F.col("U") - n1 * n2 / 2)
     out = out.select("var_id", "U", F.when(F.col("_sigma") > 0, F.col("_d") / F.when(F.col("_sigma") > 0, F.col("_sigma"))).otherwise(0.0).alias("z"), rank_pvalue()("_d", "_sigma").alias("pValue"))
-    return _with_var_columns(data, out, var_columns).orderBy(F.abs("z").desc(), "ord").drop("ord")
+    return _shown(_with_var_columns(data, out, var_columns), var_columns, "z", {"U": statistic_col, "z": z_col, "pValue": pvalue_col}, do_sort)

@@ -6,6 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _offsets(at: DataFrame) -> DataFrame:
+    """(_part, _offset): how many rows lie in earlier partitions; as many rows as partitions, so safely broadcast."""
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = at.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    return parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+
+
+def _with_offsets(at: DataFrame, to: str) -> DataFrame:
+    out = at.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(_offsets(at)), "_part")
+    return out.withColumn(to, (F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_part", "_at", "_offset")
+
+
+def positioned(df: DataFrame, to: str = "ord") -> DataFrame:
+    """``df`` as read from files, with ``to`` = 0, 1, ... in the files' order: partition sizes are counted, then added up."""
+    return _with_offsets(df.withColumn("_at", F.monotonically_increasing_id()), to)
+
+
 def numbered(df: DataFrame, *by: Column | str, to: str = "ord") -> DataFrame:
     """``df`` with ``to`` = 0, 1, ... in the order of ``by`` (which should leave no ties).
 
@@ -14,9 +31,4 @@ def numbered(df: DataFrame, *by: Column | str, to: str = "ord") -> DataFrame:
     sort that ran twice could cut its ranges elsewhere.
     """
     at = df.orderBy(*by).withColumn("_at", F.monotonically_increasing_id()).persist()
-    part = F.shiftright("_at", 33)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    out = at.withColumn("_part", part).join(F.broadcast(parts), "_part")
-    return out.withColumn(to, (F.col("_offset") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_part", "_at", "_offset")
+    return _with_offsets(at, to)

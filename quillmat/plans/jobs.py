@@ -11,11 +11,13 @@ from collections.abc import Callable
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmat.datamatrix import DataMatrix
 from quillmat.operators import counts, design, filters, neighbors, reduce, stats, tables, transforms
+from quillmat.sources import readers
 
 
 class Job:
@@ -43,31 +45,58 @@ class Job:
         return self._result
 
     def fingerprint(self) -> str:
-        own = "|".join([self.name, repr(sorted((k, str(v)) for k, v in self.params.items())), self._content, *[i.fingerprint() for i in self.inputs], self._frozen.fingerprint() if self._frozen else ""])
+        own = "|".join([self.name, _content(self.params), self._content, *[i.fingerprint() for i in self.inputs], self._frozen.fingerprint() if self._frozen else ""])
         return hashlib.sha256(own.encode()).hexdigest()
 
     def __repr__(self) -> str:
         return f"{self.name}({', '.join(map(repr, self.inputs))})"
 
 
+def _content(value: Any) -> str:
+    """What tells parameters apart: plans of tables by their meaning, anything else by its text."""
+    if isinstance(value, DataFrame):
+        return f"table {value.semanticHash()}"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{k}:{_content(v)}" for k, v in sorted(value.items())) + "}"
+    if isinstance(value, (list, tuple)):
+        return "(" + ",".join(map(_content, value)) + ")"
+    return f"{type(value).__name__} {value!r}" if not callable(value) else f"function {id(value)}"
+
+
 def source(value: DataMatrix | DataFrame, name: str = "source", content: str = "") -> Job:
     """A leaf; ``content`` (a path with size and time, say) tells leaves apart, by default the object itself does."""
     return Job(name, (), {}, apply=lambda _: value, content=content or str(id(value)))
 
 
-def project(job: Job, new: dict[Job, Job]) -> Job:
-    """The pipeline with some of its jobs replaced; every step above a replaced one keeps its fitted state."""
+def file_source(spark: SparkSession, path: str, read: Callable[[SparkSession, str], Any]) -> Job:
+    """A leaf read from a file; the file's path, size and time tell it apart, and ``project`` replaces it by its path."""
+    return Job("file", (), {"path": path}, apply=lambda _, path: read(spark, path), content=f"{id(read)}|{readers.file_fingerprint(spark, path)}")
+
+
+def project(job: Job, new: dict[Any, Any]) -> Job:
+    """The pipeline with some of its jobs replaced; every step above a replaced one keeps its fitted state.
+
+    A job is replaced by the value of an equal one (of the same fingerprint) among the keys.  Other keys, such as paths, replace
+    equal parameters of jobs.
+    """
+    jobs = {old.fingerprint(): to for old, to in new.items() if isinstance(old, Job)}
+    constants = [(old, to) for old, to in new.items() if not isinstance(old, Job)]
     done: dict[int, Job] = {}
 
+    def changed(v: Any) -> Any:
+        return next((to for old, to in constants if type(old) is type(v) and old == v), v) if not isinstance(v, DataFrame) else v
+
     def walk(j: Job) -> Job:
-        if j in new:
-            return new[j]
         if id(j) not in done:
-            inputs = [walk(i) for i in j.inputs]
-            if all(a is b for a, b in zip(inputs, j.inputs, strict=True)):
+            if (found := jobs.get(j.fingerprint())) is not None:
+                done[id(j)] = found
+                return found
+            inputs, params = [walk(i) for i in j.inputs], {k: changed(v) for k, v in j.params.items()}
+            if all(a is b for a, b in zip(inputs, j.inputs, strict=True)) and all(params[k] is v for k, v in j.params.items()):
                 done[id(j)] = j
             else:
-                done[id(j)] = Job(j.name, tuple(inputs), j.params, fit=j._fit, apply=j._apply, frozen=j if j._fit else None)
+                content = "" if not j.inputs and params != j.params else j._content
+                done[id(j)] = Job(j.name, tuple(inputs), params, fit=j._fit, apply=j._apply, frozen=(j._frozen or j) if j._fit else None, content=content)
         return done[id(j)]
 
     return walk(job)
@@ -113,6 +142,26 @@ filter_var = step("filter_var", _filter_var, lambda data, where, project_ids="in
 filter_obs = step("filter_obs", _filter_obs, lambda data, where, project_ids="no": _ids(filters.select_rows(data.obs, where)) if project_ids != "no" else None)
 subset_var = step("subset_var", lambda _, data, ids: filters.subset_var(data, ids))
 subset_obs = step("subset_obs", lambda _, data, ids: filters.subset_obs(data, ids))
+get_matrix = step("get_matrix", lambda _, data: data.mat)
+get_var = step("get_var", lambda _, data: data.var)
+get_obs = step("get_obs", lambda _, data: data.obs)
+
+
+def _at_positions(side: str) -> Callable[..., Job]:
+    """Rows by number.  Numbers mean nothing in another table, so under projection its identifiers must be the same, in the same order."""
+    ids = lambda data: tables.id_column(getattr(data, side))
+
+    def apply(base, data, positions):
+        own = ids(data)
+        if base is not data and (own.exceptAll(ids(base)).head(1) or ids(base).exceptAll(own).head(1)):
+            raise ValueError("positions can't be projected to other identifiers")
+        subset = filters.subset_var if side == "var" else filters.subset_obs
+        return subset(data, tables.at_positions(own, positions))
+
+    return step(f"{side}_at_positions", apply, lambda data, positions: data)
+
+
+var_at_positions, obs_at_positions = _at_positions("var"), _at_positions("obs")
 var_counts_sum = step("var_counts_sum", lambda s, data, name, where=None, f=None: counts.var_counts_sum(data, name, _semi(s["where"]) if s else None, f), _selected)
 var_counts_fraction = step("var_counts_fraction", lambda s, data, name, part, total=None: counts.var_counts_fraction(data, name, _semi(s["part"]), _semi(s["total"]) if "total" in s else None), _selected)
 obs_counts_sum = step("obs_counts_sum", lambda _, data, name, where=None, f=None: counts.obs_counts_sum(data, name, where, f))
@@ -138,45 +187,167 @@ def _fit_norm(data, covariates=(), center=True, rtol=None):
 
 
 normalize_matrix = step("normalize_matrix", lambda s, data, covariates=(), center=True, rtol=None: design.normalize(data, design=s[0], beta=s[1]), _fit_norm)
+negative_regression = step("negative_regression", lambda s, data, covariates=(), center=True, rtol=None: s[1], _fit_norm)
 design_matrix = step("design_matrix", lambda s, data, covariates=(), **_: s.rows(data.obs, data.obs_key), lambda data, covariates=(), **k: design.fit_design(data.obs, *covariates, **k))
 
 
-def _pca(state, data, **_):
+def _spread(name: str) -> Callable[..., Job]:
+    """A column of var as it is on the base, or with ``project="yes"`` worked out anew."""
+    f = {"variance": counts.variance, "std": counts.std, "relative_std": counts.relative_std}[name]
+
+    def fit(data, project="no", **k):
+        done = f(data, **k)
+        return data, done, tables.annotation(done.var, k.get("name", name))
+
+    def apply(state, data, project="no", **k):
+        base, done, column = state
+        if project not in ("yes", "no"):
+            raise ValueError(f"unknown mode {project!r}")
+        if data is base:
+            return done
+        return f(data, **k) if project == "yes" else data.with_var(tables.left_join(data.var, column))
+
+    return step(name, apply, fit)
+
+
+variance, std, relative_std = map(_spread, ("variance", "std", "relative_std"))
+
+
+def _svd(state, data, **_):
+    factors, base = state
+    if data is base:
+        return factors
+    scores = reduce.project_scores(factors, data)
+    return reduce.Factors(factors.u, factors.s, scores.select("obs_id", reduce._combine("x", np.diag(1 / np.maximum(factors.s, 1e-100))).alias("v")))
+
+
+def _scores(state, data, **_):
     factors, base = state
     if data is base:
         return factors.v.select("obs_id", reduce._combine("v", np.diag(factors.s)).alias("x"))
     return reduce.project_scores(factors, data)
 
 
-svd = step("svd", lambda s, data, **_: s, lambda data, **k: reduce.svd(data, **k))
-pca = step("pca", _pca, lambda data, **k: (reduce.svd(data, **k), data))
-loadings = step("loadings", lambda s, data, **_: s.u, lambda data, **k: reduce.svd(data, **k))
+def _fit_svd(data, **k):
+    return reduce.svd(data, **k), data
+
+
+svd = step("svd", _svd, _fit_svd)
+pca = step("pca", _scores, _fit_svd)
+loadings = step("loadings", lambda s, data, **_: s[0].u, _fit_svd)
+
+
+def _fit_signature(data, where, as_loadings=False, nsv=1, subspace=10, **k):
+    chosen = filters.filter_var(where, data)
+    fitted = design.fit_design(chosen.obs)
+    beta = design.negative_regression(chosen, fitted)
+    return reduce.svd(design.normalize(chosen, design=fitted, beta=beta), nsv=nsv, subspace=subspace, **k), fitted, beta, _ids(chosen.var), chosen.obs_ids(), data
+
+
+def _signature(state, data, where, as_loadings=False, **_):
+    factors, fitted, beta, ids, _, base = state
+    if as_loadings:
+        return factors.u
+    if data is base:
+        return _scores((factors, data), data)
+    same = filters.subset_var(data, ids)  # every variable of the signature must be there
+    return reduce.project_scores(factors, design.normalize(same, design=fitted, beta=beta))
+
+
+signature = step("signature", _signature, _fit_signature)
 local_outlier_factor = step(
     "local_outlier_factor",
     lambda s, coords, full, k=10, name="LOF": neighbors.local_outlier_factor(coords, full, k=k, name=name, base=None if s[0] is coords else s),
     lambda coords, full, k=10, name="LOF": (coords, full),
 )
 transfer_annotation = step("transfer_annotation", lambda _, base, labels, new, **k: neighbors.transfer_annotation(base, labels, new, **k))
-pseudobulk = step("pseudobulk", lambda _, data, by, **k: counts.pseudobulk(data, *by, **k))
-ftest = step("ftest", lambda _, data, h1, **k: stats.ftest(data, h1, **k))
-ttest = step("ttest", lambda _, data, h1, **k: stats.ttest(data, h1, **k))
-mannwhitney = step("mannwhitney", lambda _, data, column, **k: stats.mannwhitney(data, column, **k))
+transform_coords = step("transform_coords", lambda m, coords, groups, dims, order=None: transforms.transform_coords(coords, m), lambda coords, groups, dims, order=None: transforms.optimal_transform(coords, groups, dims, order))
+pseudobulk = step(
+    "pseudobulk",
+    lambda s, data, by, new_var=(), delim="_": counts.pseudobulk(data, *by, new_var=new_var, delim=delim, extras=s),
+    lambda data, by, new_var=(), delim="_": counts.new_categories(data.obs, new_var, delim) if new_var else None,
+)
+population_matrix = step(
+    "population_matrix",
+    lambda s, data, by, new_var, delim="_": counts.population_matrix(data.obs, *by, new_var=new_var, delim=delim, extras=s),
+    lambda data, by, new_var, delim="_": counts.new_categories(data.obs, (new_var,) if isinstance(new_var, str) else tuple(new_var), delim),
+)
 
 
-def force_layout(coords: Job, *, k: int = 10, k_projection: int = 10, **options) -> Job:
+def _pick(k: dict, *names: str) -> dict:
+    return {n: v for n, v in k.items() if n in names}
+
+
+# Tests are made anew, with the designs and labels of the base.
+ftest = step(
+    "ftest", lambda s, data, h1, **k: stats.ftest(data, h1, designs=s, **k),
+    lambda data, h1, **k: stats.ftest_designs(stats.ready(data, [*k.get("h0", ()), *h1], k.get("h1_missing", "skip")).obs, h1, **_pick(k, "h0", "center", "max_categories")),
+)
+ttest = step(
+    "ttest", lambda s, data, h1, **k: stats.ttest(data, h1, designs=s, **k),
+    lambda data, h1, **k: stats.ttest_designs(stats.ready(data, [*k.get("h0", ()), h1], k.get("h1_missing", "skip")).obs, h1, **_pick(k, "h0", "center")),
+)
+mannwhitney = step(
+    "mannwhitney", lambda s, data, column, a=None, b=None, **k: stats.mannwhitney(data, column, groups=s, **k),
+    lambda data, column, a=None, b=None, **_: stats.two_groups(data.obs, column, a, b),
+)
+
+
+def _layout(name: str, place: Callable[..., DataFrame]) -> Callable[..., Job]:
     """The base points' layout; under projection new points are embedded by their neighbours among them."""
 
-    def fit(points, **_):
-        placed = neighbors.force_layout(neighbors.adjacency(neighbors.knn(points, k), symmetric=True), **options)
-        return points, points.sparkSession.createDataFrame(list(placed.items()), f"obs_id {points.schema['obs_id'].dataType.simpleString()}, x array<double>")
+    def fit(points, k_projection=10, dims=2, **options):
+        return points, place(points, dims=dims, **options)
 
-    def apply(state, points, **_):
+    def apply(state, points, k_projection=10, dims=2, **_):
         base, layout = state
-        if points is base:
-            return layout
-        return neighbors.embed(neighbors.nearest(points, base, k_projection), layout, options.get("dims", 3))
+        return layout if points is base else neighbors.embed(neighbors.nearest(points, base, k_projection), layout, dims)
+
+    return step(name, apply, fit)
+
+
+def _placed(points: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> tuple[DataFrame, list, np.ndarray, np.ndarray]:
+    rows = points.select("obs_id", "x").orderBy("obs_id").collect()
+    x = np.array([r["x"] for r in rows], float)
+    ids, y = [r["obs_id"] for r in rows], f(x)
+    return points.sparkSession.createDataFrame(list(zip(ids, y.tolist(), strict=True)), f"obs_id {points.schema['obs_id'].dataType.simpleString()}, x array<double>"), ids, x, y
+
+
+tsne = _layout("tsne", lambda points, dims, **k: _placed(points, lambda x: neighbors.tsne(x, dims=dims, **k))[0])
+
+
+def _fit_umap(points, dims=2, **k):
+    return points, *_placed(points, lambda x: neighbors.umap(x, dims=dims, **k))
+
+
+def _umap(state, points, dims=2, **k):
+    base, layout, _, x, y = state
+    if points is base:
+        return layout
+    held, options = points.sparkSession.sparkContext.broadcast((x, y)), {n: v for n, v in k.items() if n != "epochs"}
+    kind = points.schema["obs_id"].dataType.simpleString()
+
+    def place(batches):
+        bx, by = held.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                b = batch.slice(at, 1024)
+                new = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                out = neighbors.umap(new, dims=dims, base=bx, place=by, epochs=k.get("epochs", 200) // 3, **options)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.tolist(), pa.list_(pa.float64()))], ["obs_id", "x"])
+
+    return points.select("obs_id", "x").mapInArrow(place, f"obs_id {kind}, x array<double>")
+
+
+umap = step("umap", _umap, _fit_umap)  # new points are moved by the base's model, within their tasks
+
+
+def _force(points: DataFrame, dims: int, k: int = 10, **options) -> DataFrame:
+    placed = neighbors.force_layout(neighbors.adjacency(neighbors.knn(points, k), symmetric=True), dims=dims, **options)
+    return points.sparkSession.createDataFrame(list(placed.items()), f"obs_id {points.schema['obs_id'].dataType.simpleString()}, x array<double>")
+
 
-    return Job("force_layout", (coords,), {"k": k, "k_projection": k_projection, **options}, fit=fit, apply=apply)
+force_layout = _layout("force_layout", _force)
 
 
 def cached(job: Job) -> Job:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmat.datamatrix import DataMatrix
-from quillmat.operators import counts, design, filters, neighbors, reduce, stats, tables, transforms
+from quillmat.operators import arithmetic, counts, design, filters, neighbors, reduce, stats, tables, transforms
 from quillmat.order import numbered
 from quillmat.plans import expressions, jobs
 from quillmat.sources import readers
@@ -133,16 +133,78 @@ def s9(spark, d):
     return tables.create_table(spark, id=["id_1", "id_2", "id_3"], x=[1, 4, 9]).select("id", F.col("x").cast("int"))
 
 
-@query("s12_save_and_load", PS + " SELECT count(*) AS cells, sum(value) AS total FROM mat")
-def s12(spark, d):
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share (local sessions without one: a temporary folder)."""
+    import tempfile
+    import uuid
+
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root is None:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp()
-    import uuid
+    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def write_sample(data: DataMatrix, path: str, features: list) -> None:
+    """Matrix Market files of a matrix of counts: the format is one file each, written by one task."""
+    var, obs = numbered(data.var, "ord", data.var_key, to="i"), numbered(data.obs, "ord", data.obs_key, to="j")
+    cells = data.mat.join(var.select(F.col(data.var_key).alias("var_id"), "i"), "var_id").join(obs.select(F.col(data.obs_key).alias("obs_id"), "j"), "obs_id")
+    size = var.agg(F.count(F.lit(1)).alias("p")).crossJoin(obs.agg(F.count(F.lit(1)).alias("n"))).crossJoin(cells.agg(F.count(F.lit(1)).alias("c")))
+    head = size.sparkSession.createDataFrame([(-2, "%%MatrixMarket matrix coordinate integer general")], "j long, value string")
+    lines = head.union(size.select(F.lit(-1).cast("long"), F.concat_ws(" ", "p", "n", "c"))).union(cells.select("j", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "value")))
+    lines.repartition(1).sortWithinPartitions("j", "value").select("value").write.text(f"{path}/matrix.mtx")
+    var.repartition(1).sortWithinPartitions("i").select(F.concat_ws("\t", *features)).write.text(f"{path}/features.tsv")
+    obs.repartition(1).sortWithinPartitions("j").select(F.col(data.obs_key).cast("string")).write.text(f"{path}/barcodes.tsv")
+
+
+KIND = "CASE WHEN id % 4 = 0 THEN 'Antibody' ELSE 'Gene Expression' END"
+
+
+def sample_files(spark: SparkSession, d: str) -> dict[str, str]:
+    """Files of the even and the odd suppliers.  The odd sample calls every eighth part by the identifier of the one before it."""
+    path, out = scratch(spark), {}
+    for k, name in enumerate(("even", "odd")):
+        half = filters.filter_obs(F.col("id") % 2 == k, ps(spark, d))
+        same = F.when(F.lit(k == 1) & (F.col("id") % 8 == 0), F.col("id") - 1).otherwise(F.col("id"))
+        write_sample(half, f"{path}/{name}", [same.cast("string"), F.col("p_name"), F.expr(KIND)])
+        out[name] = f"{path}/{name}/matrix.mtx"
+    return out
+
+
+@query("s1_load_files", PS + f""", k AS (SELECT id, {KIND} AS kind FROM var) SELECT s || '_' || CAST(obs.id AS VARCHAR) AS cell_id, coalesce(sum(value) FILTER (kind = 'Gene Expression'), 0) AS genes
+FROM (SELECT id, CASE id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS s FROM obs) obs LEFT JOIN mat ON obs_id = obs.id LEFT JOIN k ON k.id = var_id GROUP BY 1""")
+def s1(spark, d):
+    files = sample_files(spark, d)
+    return counts.var_counts_sum(readers.load_files(spark, list(files.values()), sample_names=list(files)), "genes").obs.select("cell_id", "genes")
+
+
+@query("s1_s2_matched_by_both_keys", PS + f""", k AS (SELECT obs_id % 2 AS s, CASE WHEN obs_id % 2 = 1 AND var_id % 8 = 0 THEN var_id - 1 ELSE var_id END AS id, CASE WHEN var_id % 4 = 0 THEN 'Antibody' ELSE 'Gene Expression' END AS kind, value FROM mat),
+v AS (SELECT CAST(id AS VARCHAR) AS id, {KIND} AS kind FROM var UNION SELECT CAST(CASE WHEN id % 8 = 0 THEN id - 1 ELSE id END AS VARCHAR), {KIND} FROM var)
+SELECT v.id, v.kind, CAST(coalesce(sum(value), 0) AS BIGINT) AS total FROM v LEFT JOIN k ON CAST(k.id AS VARCHAR) = v.id AND k.kind = v.kind GROUP BY 1, 2""")
+def s1_keys(spark, d):
+    files = sample_files(spark, d)
+    data = readers.load_files(spark, list(files.values()), sample_names=list(files), prefilter=None)
+    return counts.obs_counts_sum(data, "total").var.select("id", F.col("feature_type").alias("kind"), "total")
+
+
+@query("s1b_load_matrix_market", PS + " SELECT CAST(var_id AS VARCHAR) AS var_id, 'one_' || CAST(obs_id AS VARCHAR) AS obs_id, value FROM mat")
+def s1b(spark, d):
+    path = scratch(spark)
+    write_sample(ps(spark, d), path, [F.col("id").cast("string"), F.col("p_name"), F.lit("Gene Expression")])
+    return readers.load_mtx(spark, f"{path}/matrix.mtx", f"{path}/features.tsv", f"{path}/barcodes.tsv", sample="one").mat
+
+
+@query("s6_load_csv", "SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment, c_custkey) - 1 AS position FROM customer")
+def s6(spark, d):
+    path = scratch(spark)
+    table(spark, d, "customer").select("c_custkey", "c_mktsegment").repartition(1).sortWithinPartitions("c_mktsegment", "c_custkey").write.csv(path, header=True)
+    return readers.load_csv(spark, path, schema="c_custkey long, c_mktsegment string").withColumnRenamed("ord", "position")
+
 
-    path = f"{root.rstrip('/')}/matrix-{uuid.uuid4().hex}"
+@query("s12_save_and_load", PS + " SELECT count(*) AS cells, sum(value) AS total FROM mat")
+def s12(spark, d):
+    path = scratch(spark)
     readers.save(ps(spark, d), path)
     return readers.load(spark, path).mat.agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("total"))
 
@@ -168,7 +230,8 @@ def p4(spark, d):
 @query("p6_shape", "SELECT (SELECT count(*) FROM part) AS n_var, (SELECT count(*) FROM supplier) AS n_obs")
 def p6(spark, d):
     data = ps(spark, d)
-    return data.var.agg(F.count(F.lit(1)).alias("n_var")).crossJoin(data.obs.agg(F.count(F.lit(1)).alias("n_obs")))
+    sizes = [tables.shape(t)[0] for t in (data.var, data.obs)]
+    return spark.createDataFrame([tuple(sizes)], "n_var long, n_obs long")
 
 
 @query("p7_add_column", "SELECT p_partkey AS id, p_size * 2 AS twice FROM part")
@@ -351,6 +414,12 @@ def a1(spark, d):
     return counts.var_counts_sum(data, "nonzero", "p_size > 10", lambda c: c != 0).obs.select("id", "total", "nonzero")
 
 
+@query("a1_several_counts_at_once", PS + " SELECT o.id, coalesce(sum(value), 0) AS total, coalesce(sum(value * value) FILTER (p_size > 10), 0) AS squares, " + Z("coalesce(sum(value) FILTER (p_brand = 'Brand#11'), 0) / CAST(greatest(1, coalesce(sum(value), 0)) AS DOUBLE)") + " AS fraction FROM obs o LEFT JOIN mat ON o.id = obs_id LEFT JOIN var v ON v.id = var_id GROUP BY 1")
+def a1_several(spark, d):
+    data = counts.var_counts(ps(spark, d), {"total": (None, None), "squares": ("p_size > 10", lambda c: c * c)}, {"fraction": ("p_brand = 'Brand#11'", None)})
+    return data.obs.select("id", "total", "squares", r6("fraction"))
+
+
 @query("a2_var_counts_fraction", PS + " SELECT o.id, " + Z("coalesce(sum(CASE WHEN v.p_brand = 'Brand#11' THEN value END), 0) / CAST(greatest(1, coalesce(sum(value), 0)) AS DOUBLE)") + " AS fraction FROM obs o LEFT JOIN mat ON o.id = obs_id LEFT JOIN var v ON v.id = var_id GROUP BY o.id")
 def a2(spark, d):
     return counts.var_counts_fraction(ps(spark, d), "fraction", "p_brand = 'Brand#11'").obs.select("id", r6("fraction"))
@@ -371,9 +440,19 @@ def a5(spark, d):
     return counts.var_counts_sum(readers.load_counts(two_samples(spark, d), keys=("id",)), "total").obs.filter("total > 0").select("cell_id", "total")
 
 
+CENTRED_ROWS = PS + """, f AS (SELECT v.id AS var_id, coalesce(sum(value * s_acctbal), 0) / (SELECT sum(s_acctbal * s_acctbal) FROM obs) AS b, coalesce(sum(value), 0) AS s FROM var v LEFT JOIN mat ON v.id = var_id LEFT JOIN obs o ON o.id = obs_id GROUP BY 1)
+SELECT var_id, round(s - b * (SELECT sum(s_acctbal) FROM obs), 3) + 0.0 AS total FROM f"""
+
+
 @query("a6_column_sums", EV + " SELECT obs_id, CAST(sum(value * value) AS BIGINT) AS squares FROM mat GROUP BY 1")
 def a6(spark, d):
-    return ev(spark, d).mat.groupBy("obs_id").agg(F.sum(F.col("value") * F.col("value")).alias("squares"))
+    return counts.column_sums(ev(spark, d), lambda c: c * c).select("obs_id", F.col("total").alias("squares"))
+
+
+@query("a6_row_sums", CENTRED_ROWS)
+def a6_rows(spark, d):
+    data = design.normalize(ps(spark, d), "s_acctbal", center=False)
+    return counts.row_sums(data).select("var_id", F.round("total", 3).alias("total"))
 
 
 @query("a7_sum_squared", PS + " SELECT id AS var_id, " + Z("CAST(coalesce(sum(value * value), 0) AS DOUBLE)") + " AS ss FROM var LEFT JOIN mat ON id = var_id GROUP BY id")
@@ -421,10 +500,12 @@ def a12(spark, d):
     return counts.pseudobulk(data, "r_name", new_var=("w",)).mat.select("var_id", F.col("obs_id").alias("combo"), r6("value", "mean"))
 
 
-@query("a13_population_matrix", PS + """, o AS (SELECT r_name, n_name FROM obs), r AS (SELECT DISTINCT n_name FROM o), c AS (SELECT DISTINCT r_name FROM o)
-SELECT r.n_name AS "row", c.r_name AS combo, """ + Z("(SELECT count(*) FROM o WHERE o.n_name = r.n_name AND o.r_name = c.r_name) / CAST(greatest(1, (SELECT count(*) FROM o WHERE o.r_name = c.r_name)) AS DOUBLE)") + " AS fraction FROM r, c")
+@query("a13_population_matrix", PS + """, o AS (SELECT r_name, n_name, CASE WHEN s_acctbal > 0 THEN 'rich' ELSE 'poor' END AS w FROM obs), r AS (SELECT DISTINCT n.n_name, w.w FROM (SELECT n_name FROM o) n, (SELECT w FROM o) w), c AS (SELECT DISTINCT r_name FROM o)
+SELECT r.n_name || '_' || r.w AS "row", c.r_name AS combo, """ + Z("(SELECT count(*) FROM o WHERE o.n_name = r.n_name AND o.w = r.w AND o.r_name = c.r_name) / CAST(greatest(1, (SELECT count(*) FROM o WHERE o.r_name = c.r_name)) AS DOUBLE)") + " AS fraction FROM r, c")
 def a13(spark, d):
-    return counts.population_matrix(suppliers(spark, d), "n_name", "r_name").select("row", "combo", r6("fraction"))
+    obs = suppliers(spark, d).withColumn("w", F.when(F.col("s_acctbal") > 0, "rich").otherwise("poor"))
+    shares = counts.population_matrix(obs, "r_name", new_var=("n_name", "w"))
+    return shares.dense().select(F.col("var_id").alias("row"), F.col("obs_id").alias("combo"), r6("value", "fraction"))
 
 
 @query("a14_log_mean", PS + ", n AS (SELECT count(*) AS n FROM obs) SELECT var_id AS id, " + Z("log10(exp(sum(ln(1 + value)) / CAST(max(n) AS DOUBLE)) - 1)") + " AS log_mean FROM mat CROSS JOIN n GROUP BY 1")
@@ -463,6 +544,37 @@ def t3(spark, d):
     return transforms.sctransform(ps(spark, d)).mat.select("var_id", "obs_id", r6("value"))
 
 
+FROZEN = PS + """, t AS (SELECT id AS obs_id, greatest(1, coalesce(sum(value), 0)) AS total FROM obs LEFT JOIN mat ON id = obs_id GROUP BY 1),
+v AS (SELECT id AS var_id, sum(value) / CAST((SELECT sum(total) FROM t) AS DOUBLE) AS share, 1.0 + id % 7 AS theta FROM var JOIN mat ON id = var_id GROUP BY 1),
+z AS (SELECT v.var_id, t.obs_id, mat.value, share * total AS mu, sqrt(share * total + share * total * share * total / theta) AS sigma FROM v CROSS JOIN t LEFT JOIN mat ON mat.var_id = v.var_id AND mat.obs_id = t.obs_id),
+r AS (SELECT var_id, obs_id, CASE WHEN value IS NULL THEN -mu / sigma ELSE greatest(-c, least(c, (value - mu) / sigma)) END AS z FROM z, (SELECT sqrt(count(*) / 30.0) AS c FROM obs))"""
+
+
+def frozen_residuals(spark, d):
+    """Residuals with parameters that SQL can say: each part's share of all cells, and a theta of its own."""
+    data = ps(spark, d)
+    total = data.mat.groupBy("obs_id").agg(F.sum("value").alias("t")).agg(F.sum("t")).first()[0]
+    sums = data.mat.groupBy("var_id").agg(F.sum("value").alias("s"))
+    params = sums.select("var_id", F.log(F.col("s") / F.lit(float(total))).alias("beta0"), F.lit(transforms.math.log(10)).alias("beta1"), (1.0 + F.col("var_id") % 7).cast("double").alias("theta"))
+    return transforms.sctransform(data, params=params)
+
+
+@query("t3_sctransform_residuals", FROZEN + " SELECT var_id, obs_id, round(z, 4) + 0.0 AS value FROM r")
+def t3_residuals(spark, d):
+    """Every residual, empty cells' too."""
+    value = F.round("value", 4)
+    return frozen_residuals(spark, d).dense().select("var_id", "obs_id", F.when(value == 0, 0.0).otherwise(value).alias("value"))
+
+
+@query("t3_sctransform_row_sums", FROZEN + " SELECT var_id, round(sum(z), 3) + 0.0 AS total FROM r GROUP BY 1")
+def t3_sums(spark, d):
+    """Sums of residuals from the sparse and the low-rank part, which are never put together."""
+    total = F.round("total", 3)
+    sums = counts.row_sums(frozen_residuals(spark, d))
+    known = frozen_residuals(spark, d).var.select(F.col("id").alias("var_id"))
+    return sums.join(known, "var_id", "left_semi").select("var_id", F.when(total == 0, 0.0).otherwise(total).alias("total"))
+
+
 @query("t4_transpose", PS + " SELECT obs_id AS var_id, var_id AS obs_id, value FROM mat")
 def t4(spark, d):
     return ps(spark, d).transposed().mat.select("var_id", "obs_id", "value")
@@ -508,17 +620,11 @@ def n7(spark, d):
     return design.negative_regression(data, design.fit_design(data.obs)).select("var_id", r6(F.col("b")[0], "b"))
 
 
-@query("n8_normalize_one_covariate", PS + """, z AS (SELECT v.id AS var_id, o.id AS obs_id, coalesce(m.value, 0) AS y, o.s_acctbal AS x FROM (SELECT id FROM var WHERE id <= 60) v CROSS JOIN obs o LEFT JOIN mat m ON m.var_id = v.id AND m.obs_id = o.id),
-f AS (SELECT var_id, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM z GROUP BY 1) SELECT var_id, obs_id, round(y - (i + s * x), 5) + 0.0 AS value FROM z JOIN f USING (var_id)""")
+@query("n8_normalize_one_covariate", PS + """, z AS (SELECT v.id AS var_id, o.id AS obs_id, coalesce(m.value, 0) AS y, o.s_acctbal AS x FROM var v CROSS JOIN obs o LEFT JOIN mat m ON m.var_id = v.id AND m.obs_id = o.id),
+f AS (SELECT var_id, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM z GROUP BY 1) SELECT var_id, obs_id, round(y - (i + s * x), 4) + 0.0 AS value FROM z JOIN f USING (var_id)""")
 def n8(spark, d):
-    data = filters.filter_var("id <= 60", ps(spark, d))
-    return design.normalize(data, "s_acctbal").dense().select("var_id", "obs_id", F.round("value", 5).alias("value")).withColumn("value", F.when(F.col("value") == 0, 0.0).otherwise(F.col("value")))
-
-
-@query("n8_normalize_whole")
-def n8_whole(spark, d):
-    """n8 over all parts, for which the dense table is too large for its SQL."""
-    return design.normalize(ps(spark, d), "s_acctbal").dense().select("var_id", "obs_id", F.round("value", 5).alias("value"))
+    value = F.round("value", 4)
+    return design.normalize(ps(spark, d), "s_acctbal").dense().select("var_id", "obs_id", F.when(value == 0, 0.0).otherwise(value).alias("value"))
 
 
 # --- expressions
@@ -528,16 +634,9 @@ def leaf(m: DataFrame, rows: int, cols: int, name: str) -> expressions.Leaf:
     return expressions.Leaf(m.select(F.col("var_id").alias("i"), F.col("obs_id").alias("j"), "value"), rows, cols, 0.05, name)
 
 
-@query("m4_chain_product", PS + """, g AS (SELECT a.var_id AS i, b.var_id AS j, sum(a.value * b.value) AS value FROM (SELECT * FROM mat WHERE var_id <= 40) a JOIN (SELECT * FROM mat WHERE var_id <= 40) b USING (obs_id) GROUP BY 1, 2)
-SELECT g.i, m.obs_id AS j, CAST(sum(g.value * m.value) AS BIGINT) AS value FROM g JOIN mat m ON g.j = m.var_id GROUP BY 1, 2""")
+@query("m4_chain_product", PS + """, g AS (SELECT a.obs_id AS i, b.obs_id AS j, sum(a.value * b.value) AS value FROM mat a JOIN mat b USING (var_id) GROUP BY 1, 2)
+SELECT m.var_id AS i, g.j, CAST(sum(g.value * m.value) AS BIGINT) AS value FROM mat m JOIN g ON g.i = m.obs_id GROUP BY 1, 2""")
 def m4(spark, d):
-    a = leaf(filters.filter_var("id <= 40", ps(spark, d)).mat, 40, 100, "A")
-    return expressions.compute(expressions.product(a, expressions.transpose(a), a), spark)
-
-
-@query("m4_chain_product_whole")
-def m4_whole(spark, d):
-    """m4 over all parts."""
     data = ps(spark, d)
     a = leaf(data.mat, data.var.count(), data.obs.count(), "A")
     return expressions.compute(expressions.product(a, expressions.transpose(a), a), spark)
@@ -563,19 +662,37 @@ def m8(spark, d):
     return expressions.diagonal_of_gram(e, spark)
 
 
-@query("m10_restricted_expression", PS + " SELECT var_id AS i, obs_id AS j, value FROM mat WHERE obs_id IN (1, 2)")
-def m10(spark, d):
-    return expressions.restrict(leaf(ps(spark, d).mat, 2000, 100, "A"), cols=spark.createDataFrame([(1,), (2,)], "j long"))
+@query("m8_diagonal_of_gram_of_products", PS + """, g AS (SELECT a.obs_id AS i, b.obs_id AS j, sum(1) AS value FROM mat a JOIN mat b USING (var_id) GROUP BY 1, 2),
+e AS (SELECT m.var_id AS i, g.j, sum(g.value) AS value FROM mat m JOIN g ON g.i = m.obs_id GROUP BY 1, 2), s AS (SELECT i, j, sum(value) AS value FROM (SELECT * FROM e UNION ALL SELECT var_id, obs_id, 1 FROM mat) GROUP BY 1, 2)
+SELECT j, CAST(sum(CAST(value AS DOUBLE) * value) AS DOUBLE) AS value FROM s GROUP BY 1""")
+def m8_products(spark, d):
+    """diag(EᵗE) of A AᵗA + A for the matrix of which cells are filled; the long product is never formed."""
+    data = ps(spark, d)
+    a = leaf(data.mat.withColumn("value", F.lit(1.0)), data.var.count(), data.obs.count(), "A")
+    return expressions.diagonal_of_gram(expressions.total(expressions.product(a, expressions.transpose(a), a), a), spark)
 
 
-@query("m11_materialize", PS + " SELECT v.id AS var_id, o.id AS obs_id, CAST(coalesce(value, 0) AS DOUBLE) AS value FROM var v CROSS JOIN obs o LEFT JOIN mat ON v.id = var_id AND o.id = obs_id WHERE v.id <= 50")
-def m11(spark, d):
-    return filters.filter_var("id <= 50", ps(spark, d)).dense()
+@query("m9_matrix_product_and_sum", PS + """, g AS (SELECT a.var_id AS i, b.var_id AS j, sum(a.value * b.value) AS value FROM (SELECT obs_id AS var_id, var_id AS k, value FROM mat) a JOIN (SELECT obs_id AS var_id, var_id AS k, value FROM mat) b USING (k) GROUP BY 1, 2)
+SELECT i AS var_id, j AS obs_id, CAST(value * 2 AS BIGINT) AS value FROM g""")
+def m9(spark, d):
+    data = ps(spark, d)
+    gram = arithmetic.matrix_product(data.transposed(), data)
+    return arithmetic.matrix_sum(gram, gram).mat
+
+
+@query("m10_restricted_expression", PS + """, g AS (SELECT a.obs_id AS i, b.obs_id AS j, sum(a.value * b.value) AS value FROM mat a JOIN mat b USING (var_id) GROUP BY 1, 2)
+SELECT i, j, CAST(value AS BIGINT) AS value FROM g WHERE i % 3 = 0 AND j IN (1, 2)""")
+def m10(spark, d):
+    """Some rows and columns of AᵗA, as a selection of identifiers pushed to the leaves."""
+    data = ps(spark, d)
+    a = leaf(data.mat, data.var.count(), data.obs.count(), "A")
+    e = expressions.product(expressions.transpose(a), a)
+    rows = data.obs.filter("id % 3 = 0").select(F.col("id").alias("i"))
+    return expressions.compute(expressions.restrict(e, rows, spark.createDataFrame([(1,), (2,)], "j long")), spark)
 
 
-@query("m11_materialize_whole")
-def m11_whole(spark, d):
-    """m11 over all parts."""
+@query("m11_materialize", PS + " SELECT v.id AS var_id, o.id AS obs_id, CAST(coalesce(value, 0) AS DOUBLE) AS value FROM var v CROSS JOIN obs o LEFT JOIN mat ON v.id = var_id AND o.id = obs_id")
+def m11(spark, d):
     return ps(spark, d).dense()
 
 
@@ -710,6 +827,13 @@ def q1(spark, d):
     return stats.ftest(ps(spark, d), ["r_name"]).filter("not isnan(F)").select("var_id", F.round("F", 5).alias("f"))
 
 
+@query("o1_sorted_result", ANOVA + " SELECT var_id, row_number() OVER (ORDER BY round(((n - k) / CAST(k - 1 AS DOUBLE)) * (e - s * s / n) / (q - e), 5) DESC, var_id) AS position FROM t WHERE q > 0")
+def o1(spark, d):
+    """The order of the test's result: by F, then by the variables' order."""
+    rows = stats.ftest(ps(spark, d), ["r_name"], statistic_col="f", pvalue_col=None).filter("not isnan(f)").withColumn("_at", F.monotonically_increasing_id())
+    return numbered(rows.withColumn("f", F.round("f", 5)), F.col("f").desc(), "var_id", to="_n").select("var_id", (F.col("_n") + 1).alias("position"))
+
+
 @query("q1_ftest_pvalue")
 def q1p(spark, d):
     return stats.ftest(ps(spark, d), ["r_name"]).filter("not isnan(F)").select("var_id", r6("pValue"))
@@ -738,7 +862,7 @@ u AS (SELECT var_id, r - n1 * (n1 + 1) / 2.0 AS "U", n1 * (n - n1) / 2.0 AS mean
 @query("q3_mannwhitney_statistic", RANKS + """ SELECT var_id, round("U", 4) AS "U", CASE WHEN sigma > 1e-9 THEN round(("U" - mean) / sigma, 5) + 0.0 ELSE 0.0 END AS z FROM u""")
 def q3(spark, d):
     z = F.round("z", 5)
-    return stats.mannwhitney(ps(spark, d), "r_name", "ASIA").select("var_id", F.round("U", 4).alias("U"), F.when(z == 0, 0.0).otherwise(z).alias("z"))
+    return stats.mannwhitney(ps(spark, d), "r_name", "ASIA", z_col="z").select("var_id", F.round("U", 4).alias("U"), F.when(z == 0, 0.0).otherwise(z).alias("z"))
 
 
 @query("q3_mannwhitney_pvalue")
@@ -799,18 +923,126 @@ def project_filter(spark, d):
 
 
 @query("project_normalize", HALVES + """, m AS (SELECT v.id AS var_id, coalesce(sum(value), 0) / CAST((SELECT count(*) FROM obs WHERE id % 2 = 0) AS DOUBLE) AS mean FROM var v LEFT JOIN base ON v.id = var_id GROUP BY 1)
-SELECT m.var_id, o.id AS obs_id, """ + Z("coalesce(value, 0) - mean") + " AS value FROM m CROSS JOIN obs o LEFT JOIN fresh f ON f.var_id = m.var_id AND f.obs_id = o.id WHERE o.id % 2 = 1 AND m.var_id <= 50")
+SELECT m.var_id, o.id AS obs_id, """ + Z("coalesce(value, 0) - mean") + " AS value FROM m CROSS JOIN obs o LEFT JOIN fresh f ON f.var_id = m.var_id AND f.obs_id = o.id WHERE o.id % 2 = 1")
 def project_norm(spark, d):
     base, new = halves(spark, d)
-    job = jobs.normalize_matrix(jobs.filter_var(base, where="id <= 50"))
-    return jobs.project(job, {base: new}).fetch().dense().select("var_id", "obs_id", r6("value"))
+    return jobs.project(jobs.normalize_matrix(base), {base: new}).fetch().dense().select("var_id", "obs_id", r6("value"))
 
 
-@query("project_normalize_whole")
-def project_norm_whole(spark, d):
-    """project_normalize over all parts."""
+def projected(spark, d, make):
+    """A job on the even suppliers, applied to the odd ones."""
     base, new = halves(spark, d)
-    return jobs.project(jobs.normalize_matrix(base), {base: new}).fetch().dense().select("var_id", "obs_id", r6("value"))
+    return jobs.project(make(base), {base: new}).fetch()
+
+
+@query("project_load", HALVES + " SELECT obs_id, CAST(sum(value) AS BIGINT) AS total FROM fresh GROUP BY 1")
+def project_load(spark, d):
+    """A leaf read from a file is replaced by another path."""
+    path = scratch(spark)
+    for k, name in enumerate(("even", "odd")):
+        readers.save(filters.filter_obs(F.col("id") % 2 == k, ps(spark, d)), f"{path}/{name}")
+    job = jobs.var_counts_sum(jobs.file_source(spark, f"{path}/even", readers.load), name="total")
+    out = jobs.project(job, {f"{path}/even": f"{path}/odd"}).fetch()
+    return out.obs.filter("total > 0").select(F.col("id").alias("obs_id"), "total")
+
+
+@query("project_filter_obs", HALVES + " SELECT id FROM obs WHERE id % 2 = 1 AND s_acctbal > 0")
+def project_filter_obs(spark, d):
+    return projected(spark, d, lambda base: jobs.filter_obs(base, where="s_acctbal > 0")).obs.select("id")
+
+
+@query("project_ids_skip", HALVES + " SELECT id FROM var WHERE id IN (SELECT var_id FROM base GROUP BY 1 HAVING sum(value) > 500) AND id % 3 <> 0")
+def project_ids(spark, d):
+    """Variables kept on the base, in a set that lacks every third."""
+    base, new = halves(spark, d)
+    fewer = jobs.source(filters.filter_var("id % 3 <> 0", new.fetch()))
+    kept = jobs.filter_var(jobs.obs_counts_sum(base, name="n"), where="n > 500", project_ids="skip")
+    return jobs.project(kept, {base: fewer}).fetch().var.select("id")
+
+
+@query("project_subset", HALVES + " SELECT var_id, obs_id, value FROM fresh WHERE var_id IN (30, 5, 17)")
+def project_subset(spark, d):
+    return projected(spark, d, lambda base: jobs.subset_var(base, ids=id_list(spark, [30, 5, 17]))).mat
+
+
+@query("project_design_matrix", HALVES + ", m AS (SELECT avg(s_acctbal) AS m FROM obs WHERE id % 2 = 0), s AS (SELECT max(abs(s_acctbal - m)) AS s FROM obs, m WHERE id % 2 = 0) SELECT id AS obs_id, " + Z("(s_acctbal - m) / greatest(1e-6, s)") + " AS x1 FROM obs, m, s WHERE id % 2 = 1")
+def project_design(spark, d):
+    return projected(spark, d, lambda base: jobs.design_matrix(base, covariates=("s_acctbal",))).select("obs_id", r6(F.col("x")[1], "x1"))
+
+
+@query("project_negative_regression", HALVES + " SELECT v.id AS var_id, " + Z("-(coalesce(sum(value), 0) / CAST((SELECT count(*) FROM obs WHERE id % 2 = 0) AS DOUBLE))") + " AS b FROM var v LEFT JOIN base ON v.id = var_id GROUP BY 1")
+def project_regression(spark, d):
+    return projected(spark, d, lambda base: jobs.negative_regression(base)).select("var_id", r6(F.col("b")[0], "b"))
+
+
+@query("project_variance", HALVES + """, n AS (SELECT count(*) AS n FROM obs WHERE id % 2 = 0), m AS (SELECT v.id, coalesce(sum(value), 0) / CAST(max(n.n) AS DOUBLE) AS mean, coalesce(sum(value * value), 0) AS sq, max(n.n) AS n FROM var v CROSS JOIN n LEFT JOIN base ON v.id = var_id GROUP BY v.id)
+SELECT id, """ + Z("greatest(0, sq - n * mean * mean) / (n - 1)") + " AS variance FROM m")
+def project_variance(spark, d):
+    """Frozen unless asked otherwise."""
+    return projected(spark, d, lambda base: jobs.variance(jobs.normalize_matrix(base), assume_centered=True)).var.select("id", r6("variance"))
+
+
+@query("project_sctransform", HALVES + """, t AS (SELECT id AS obs_id, greatest(1, coalesce(sum(value), 0)) AS total FROM obs LEFT JOIN fresh ON id = obs_id WHERE id % 2 = 1 GROUP BY 1)
+SELECT obs_id, CAST(total AS BIGINT) AS total FROM t""")
+def project_sct(spark, d):
+    """Totals are the new observations' own; the parameters, checked by pytest, are the base's."""
+    out = projected(spark, d, lambda base: jobs.sctransform(base))
+    return out.obs.select(F.col("id").alias("obs_id"), F.col("_total").alias("total"))
+
+
+@query("project_pseudobulk", HALVES + """, o AS (SELECT id, r_name, CASE WHEN s_acctbal > 0 THEN 'rich' ELSE 'poor' END AS w FROM obs WHERE id % 2 = 1), g AS (SELECT r_name, w, count(*) AS n FROM o GROUP BY 1, 2)
+SELECT CAST(var_id AS VARCHAR) || '_' || o.w AS var_id, o.r_name AS combo, """ + Z("sum(value) / CAST(max(g.n) AS DOUBLE)") + " AS mean FROM fresh JOIN o ON o.id = obs_id JOIN g ON g.r_name = o.r_name AND g.w = o.w GROUP BY 1, 2")
+def project_bulk(spark, d):
+    base, new = (jobs.source(j.fetch().with_obs(j.fetch().obs.withColumn("w", F.when(F.col("s_acctbal") > 0, "rich").otherwise("poor")))) for j in halves(spark, d))
+    job = jobs.pseudobulk(base, by=("r_name",), new_var=("w",))
+    return jobs.project(job, {base: new}).fetch().mat.select("var_id", F.col("obs_id").alias("combo"), r6("value", "mean"))
+
+
+@query("project_population_matrix", HALVES + """, o AS (SELECT r_name, n_name FROM obs WHERE id % 2 = 1) SELECT n_name AS "row", r_name AS combo, """ + Z("count(*) / CAST(max(t) AS DOUBLE)") + " AS fraction FROM (SELECT *, count(*) OVER (PARTITION BY r_name) AS t FROM o) GROUP BY 1, 2")
+def project_population(spark, d):
+    """The rows are the nations of all suppliers, on the base."""
+    base, new = jobs.source(ps(spark, d)), halves(spark, d)[1]
+    out = jobs.project(jobs.population_matrix(base, by=("r_name",), new_var="n_name"), {base: new}).fetch()
+    return out.mat.select(F.col("var_id").alias("row"), F.col("obs_id").alias("combo"), r6("value", "fraction"))
+
+
+@query("project_ftest", HALVES + """, z AS (SELECT v.id AS var_id, o.r_name AS g, coalesce(m.value, 0)::DOUBLE AS y FROM var v CROSS JOIN (SELECT * FROM obs WHERE id % 2 = 1) o LEFT JOIN mat m ON m.var_id = v.id AND m.obs_id = o.id),
+g AS (SELECT var_id, g, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM z GROUP BY 1, 2),
+t AS (SELECT var_id, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS e, count(*) AS k FROM g GROUP BY 1)
+SELECT var_id, round(pi() * ((n - k) / CAST(k - 1 AS DOUBLE)) * (e - s * s / n) / (q - e), 5) + 0.0 AS f FROM t WHERE q - e > 1e-6""")
+def project_ftest(spark, d):
+    """F times pi, since ratios of small numbers end in a five too often to be rounded."""
+    base, new = jobs.source(ps(spark, d)), halves(spark, d)[1]
+    out = jobs.project(jobs.ftest(base, h1=["r_name"]), {base: new}).fetch()
+    return out.filter("not isnan(F) and F < 1e6").select("var_id", F.round(F.pi() * F.col("F"), 5).alias("f"))
+
+
+@query("project_mannwhitney", HALVES + RANKS.replace(PS, "").replace("FROM var v CROSS JOIN obs o", "FROM var v CROSS JOIN (SELECT * FROM obs WHERE id % 2 = 1) o") + """ SELECT var_id, round("U", 4) AS "U" FROM u""")
+def project_ranks(spark, d):
+    base, new = jobs.source(ps(spark, d)), halves(spark, d)[1]
+    return jobs.project(jobs.mannwhitney(base, column="r_name", a="ASIA"), {base: new}).fetch().select("var_id", F.round("U", 4).alias("U"))
+
+
+@query("project_layout", EMB + f""", e AS (SELECT obs_id, nbr_id, d2 FROM (SELECT a.id AS obs_id, b.id AS nbr_id, {D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS r FROM pt a JOIN pt b ON a.id % 5 = 0 AND b.id % 5 <> 0) WHERE r <= 5) SELECT DISTINCT obs_id FROM e""")
+def project_layout(spark, d):
+    """New points among the base's neighbours (their places are checked by pytest)."""
+    base, new = (jobs.source(p.select("obs_id", "x")) for p in base_and_new(spark, d))
+    return jobs.project(jobs.tsne(base, k_projection=5, max_iter=50), {base: new}).fetch().select("obs_id")
+
+
+@query("project_local_outlier_factor", EMB + f""", b AS (SELECT obs_id, nbr_id, d2 FROM (SELECT a.id AS obs_id, b.id AS nbr_id, {D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS r FROM pt a JOIN pt b ON a.id <> b.id AND a.id % 5 <> 0 AND b.id % 5 <> 0) WHERE r <= 5),
+e AS (SELECT obs_id, nbr_id, d2 FROM (SELECT a.id AS obs_id, b.id AS nbr_id, {D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS r FROM pt a JOIN pt b ON a.id % 5 = 0 AND b.id % 5 <> 0) WHERE r <= 5),
+kd AS (SELECT obs_id, max(sqrt(d2)) AS kdist FROM b GROUP BY 1), l AS (SELECT b.obs_id, count(*) / sum(greatest(kdist, sqrt(d2))) AS lrd FROM b JOIN kd ON kd.obs_id = nbr_id GROUP BY 1),
+o AS (SELECT e.obs_id, count(*) / sum(greatest(kdist, sqrt(d2))) AS lrd FROM e JOIN kd ON kd.obs_id = nbr_id GROUP BY 1)
+SELECT e.obs_id, """ + Z("avg(l.lrd) / max(o.lrd)") + """ AS "LOF" FROM e JOIN l ON l.obs_id = nbr_id JOIN o ON o.obs_id = e.obs_id GROUP BY 1""")
+def project_lof(spark, d):
+    base, new = (jobs.source(p.select("obs_id", "x")) for p in base_and_new(spark, d))
+    return jobs.project(jobs.local_outlier_factor(base, base, k=5), {base: new}).fetch().select("obs_id", r6("LOF"))
+
+
+@query("project_signature")
+def project_signature(spark, d):
+    return projected(spark, d, lambda base: jobs.signature(base, where="p_brand = 'Brand#11'", niter=2)).select("obs_id", r6(F.col("x")[0], "score"))
 
 
 QC = PS + """ SELECT o.id, o.r_name, coalesce(sum(value), 0) AS total, count(value) AS nonzero, """ + Z("coalesce(sum(CASE WHEN v.p_size <= 10 THEN value END), 0) / CAST(greatest(1, coalesce(sum(value), 0)) AS DOUBLE)") + """ AS small_fraction
@@ -820,8 +1052,6 @@ FROM obs o LEFT JOIN mat ON o.id = obs_id LEFT JOIN var v ON v.id = var_id GROUP
 @query("flagship_quality_control", QC)
 def flagship(spark, d):
     """Totals, expressed variables and a fraction per observation, then a filter on them."""
-    data = counts.var_counts_sum(ps(spark, d), "total")
-    data = counts.var_counts_sum(data, "nonzero", None, lambda c: c != 0)
-    data = counts.var_counts_fraction(data, "small_fraction", "p_size <= 10")
+    data = counts.var_counts(ps(spark, d), {"total": (None, None), "nonzero": (None, lambda c: c != 0)}, {"small_fraction": ("p_size <= 10", None)})
     data = filters.filter_obs("total > 1000 and small_fraction < 0.3", data)
     return data.obs.select("id", "r_name", "total", "nonzero", r6("small_fraction"))

@@ -5,31 +5,35 @@ from quillmat.operators import tables as t
 from quillmat.order import numbered
 
 
+TOWNS = ["oslo", "bern", "riga", "lima", "doha", "kiev", "rome", "male", "suva", "baku"]
+POINTS = [7, 3, 9, 0, 12, 5, 8, 2, 11, 6]
+
+
 def base(spark):
-    return t.create_table(spark, id=[f"id_{i}" for i in range(1, 11)], x=[i * i for i in range(1, 11)], y=list("abcdefghij"))
+    return t.create_table(spark, town=TOWNS, points=POINTS, river=list("qwertyuiop"))
 
 
 def test_names_and_columns(spark):
     b = base(spark)
-    assert t.names(b) == ["id", "x", "y"] and t.id_name(b) == "id" and t.shape(b) == (10, 3)
-    assert t.value_name(t.annotation(b, "x")) == "x"
+    assert t.names(b) == ["town", "points", "river"] and t.id_name(b) == "town" and t.shape(b) == (10, 3)
+    assert t.value_name(t.annotation(b, "points")) == "points"
     with pytest.raises(ValueError):
         t.value_name(b)
-    assert t.names(t.get_columns(b, "y", 0)) == ["y", "id"]
+    assert t.names(t.get_columns(b, "river", 0)) == ["river", "town"]
     with pytest.raises(KeyError):
         t.get_columns(b, "nope")
-    assert t.column_data(b, "x") == [i * i for i in range(1, 11)]
+    assert t.column_data(b, "points") == POINTS
 
 
 def test_add_and_bind_columns(spark):
     b = base(spark)
-    assert t.column_data(t.add_column(b, "z", F.col("x") + 1), "z")[:2] == [2, 5]
+    assert t.column_data(t.add_column(b, "z", F.col("points") + 1), "z")[:2] == [8, 4]
     with pytest.raises(ValueError):
-        t.add_column(b, "x", F.lit(1))
+        t.add_column(b, "points", F.lit(1))
     with pytest.raises(ValueError):
         t.add_column(b, "z", t.create_table(spark, z=[1, 2]))
-    more = t.create_table(spark, x2=list(range(10)), y2=list("klmnopqrst"))
-    assert t.column_data(t.hcat(b, more), "y2") == list("klmnopqrst")
+    more = t.create_table(spark, bridges=list(range(10)), mayor=list("asdfghjklz"))
+    assert t.column_data(t.hcat(b, more), "mayor") == list("asdfghjklz")
     with pytest.raises(ValueError):
         t.hcat(b, b)
 
@@ -46,21 +50,21 @@ def test_left_join_takes_first_match_and_matches_null(spark):
 
 
 def test_lookup_modes(spark):
-    b, want = base(spark), t.create_table(spark, id=["id_3", "gone", "id_1"])
+    b, want = base(spark), t.create_table(spark, town=["riga", "gone", "oslo"])
     with pytest.raises(KeyError, match="gone"):
         t.lookup(want, b)
-    assert t.column_data(t.lookup(want, b, missing="skip"), "id") == ["id_3", "id_1"]
-    assert t.column_data(t.lookup(want, b, missing="nothing"), "x") == [9, None, 1]
+    assert t.column_data(t.lookup(want, b, missing="skip"), "town") == ["riga", "oslo"]
+    assert t.column_data(t.lookup(want, b, missing="nothing"), "points") == [9, None, 7]
 
 
 def test_rows(spark):
     b = base(spark)
-    assert t.column_data(t.at_positions(b, [9, 0, 4]), "id") == ["id_10", "id_1", "id_5"]
+    assert t.column_data(t.at_positions(b, [9, 0, 4]), "town") == ["baku", "oslo", "doha"]
     assert t.column_data(t.repeat_rows(t.create_table(spark, id=["a", "b"]), 2, 2)) == list("aabbaabb")
-    assert t.single(b, F.col("x") == 9).count() == 1
+    assert t.single(b, F.col("points") == 9).count() == 1
     with pytest.raises(ValueError):
-        t.single(b, F.col("x") > 9)
-    both = t.concat(b, t.create_table(spark, id=["new"], w=[1]))
+        t.single(b, F.col("points") > 9)
+    both = t.concat(b, t.create_table(spark, town=["new"], w=[1]))
     assert t.column_data(both, "w") == [None] * 10 + [1]
     assert t.column_data(t.distinct_values(t.create_table(spark, id=[1, 2, 3, 4], g=["q", None, "p", "q"]), "g"), "g") == ["q", "p"]
     assert [r.n for r in numbered(spark.range(100).repartition(7), F.col("id").desc(), to="n").orderBy(F.col("id").desc()).collect()] == list(range(100))

@@ -51,13 +51,13 @@ def matrix(rows, v, o):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="tables not here")
 def test_matrix_queries_over_all_parts(spark):
     v, o, a, x = dense(spark)
-    n, got = matrix(QUERIES["m11_materialize_whole"](spark, SF), v, o)
+    n, got = matrix(QUERIES["m11_materialize"](spark, SF), v, o)
     assert n == a.size and np.array_equal(got, a)
-    n, got = matrix(QUERIES["n8_normalize_whole"](spark, SF), v, o)
+    n, got = matrix(QUERIES["n8_normalize_one_covariate"](spark, SF), v, o)
     z = np.stack([np.ones(len(x)), x / 1e4], 1)
     assert n == a.size and np.allclose(got, a - (z @ np.linalg.lstsq(z, a.T, rcond=None)[0]).T, atol=1e-4)
-    _, got = matrix(QUERIES["m4_chain_product_whole"](spark, SF), v, o)
+    _, got = matrix(QUERIES["m4_chain_product"](spark, SF), v, o)
     assert np.array_equal(got, a @ a.T @ a)
     odd = o % 2 == 1
-    n, got = matrix(QUERIES["project_normalize_whole"](spark, SF), v, o[odd])
+    n, got = matrix(QUERIES["project_normalize"](spark, SF), v, o[odd])
     assert n == got.size and np.allclose(got, a[:, odd] - a[:, ~odd].mean(1)[:, None], atol=1e-5)
