@@ -587,7 +587,10 @@ def t5(spark, d):
     return out.select("obs_id", r6(F.col("x")[0], "x0"), r6(F.col("x")[1], "x1"))
 
 
-@query("t6_optimal_transform")
+@query("t6_optimal_transform", """WITH p AS (SELECT vec_id AS id, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+g AS (SELECT avg(x) AS x, avg(y) AS y FROM p), a AS (SELECT avg(p.x) - any_value(g.x) AS x, avg(p.y) - any_value(g.y) AS y FROM p, g WHERE label = 0), b AS (SELECT avg(p.x) - any_value(g.x) AS x, avg(p.y) - any_value(g.y) AS y FROM p, g WHERE label = 1),
+u AS (SELECT x / sqrt(x * x + y * y) AS x, y / sqrt(x * x + y * y) AS y FROM a), w AS (SELECT b.x - u.x * (u.x * b.x + u.y * b.y) AS x, b.y - u.y * (u.x * b.x + u.y * b.y) AS y FROM b, u),
+v AS (SELECT x / sqrt(x * x + y * y) AS x, y / sqrt(x * x + y * y) AS y FROM w) SELECT id AS obs_id, """ + Z("v.x * p.x + v.y * p.y") + " AS x0, " + Z("u.x * p.x + u.y * p.y") + " AS x1 FROM p, u, v")
 def t6(spark, d):
     p = points(spark, d)
     two = p.select("obs_id", F.slice("x", 1, 2).alias("x"))
@@ -705,6 +708,35 @@ def r1(spark, d):
     return spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(f.s)], "k int, s double")
 
 
+CENTRED_EMB = EMB + """, n AS (SELECT count(*) AS n FROM pt), m AS (SELECT var_id, avg(value) AS mean FROM mat GROUP BY 1), c AS (SELECT var_id, obs_id, value - mean AS v FROM mat JOIN m USING (var_id))"""
+
+
+@query("r1_svd_spectrum", CENTRED_EMB + """, g AS (SELECT a.var_id AS i, b.var_id AS j, sum(a.v * b.v) AS g FROM c a JOIN c b USING (obs_id) GROUP BY 1, 2)
+SELECT round((SELECT sum(g) FROM g WHERE i = j), 4) AS squares, round((SELECT sum(g * g) FROM g) / (SELECT sum(g) FROM g WHERE i = j), 4) AS fourth""")
+def r1_spectrum(spark, d):
+    """All singular values: their squares add up to the trace of AAᵗ, their fourth powers to that of its square."""
+    values = [float(x) for x in reduce.svd(reduce.centred(emb(spark, d)), nsv=64, niter=1).s]
+    squares, fourth = sum(x**2 for x in values), sum(x**4 for x in values)
+    return spark.createDataFrame([(round(squares, 4), round(fourth / squares, 4))], "squares double, fourth double")
+
+
+@query("r2_pca_norms", CENTRED_EMB + " SELECT obs_id, round(sum(v * v), 5) + 0.0 AS squares FROM c GROUP BY 1")
+def r2_norms(spark, d):
+    """All scores of an observation have the length of its centred values."""
+    scores = reduce.pca(reduce.centred(emb(spark, d)), nsv=64, niter=1)
+    return scores.select("obs_id", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v), 5).alias("squares"))
+
+
+@query("r5_projected_norms", EMB + """, m AS (SELECT var_id, avg(value) AS mean FROM mat WHERE obs_id % 2 = 0 GROUP BY 1)
+SELECT obs_id, round(sum((value - mean) * (value - mean)), 5) + 0.0 AS squares FROM mat JOIN m USING (var_id) WHERE obs_id % 2 = 1 GROUP BY 1""")
+def r5_norms(spark, d):
+    """Scores of new observations on all of the base's components, centred by the base's means."""
+    data = emb(spark, d)
+    base, new = (jobs.source(filters.filter_obs(f"id % 2 = {k}", data)) for k in (0, 1))
+    scores = jobs.project(jobs.pca(jobs.normalize_matrix(base), nsv=64, niter=1), {base: new}).fetch()
+    return scores.select("obs_id", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v), 5).alias("squares"))
+
+
 @query("r2_pca")
 def r2(spark, d):
     return reduce.pca(reduce.centred(emb(spark, d)), nsv=3, niter=2).select("obs_id", *[r6(F.col("x")[i], f"pc{i + 1}") for i in range(3)])
@@ -1009,12 +1041,15 @@ def project_population(spark, d):
 @query("project_ftest", HALVES + """, z AS (SELECT v.id AS var_id, o.r_name AS g, coalesce(m.value, 0)::DOUBLE AS y FROM var v CROSS JOIN (SELECT * FROM obs WHERE id % 2 = 1) o LEFT JOIN mat m ON m.var_id = v.id AND m.obs_id = o.id),
 g AS (SELECT var_id, g, count(*) AS n, sum(y) AS s, sum(y * y) AS q FROM z GROUP BY 1, 2),
 t AS (SELECT var_id, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS e, count(*) AS k FROM g GROUP BY 1)
-SELECT var_id, round(pi() * ((n - k) / CAST(k - 1 AS DOUBLE)) * (e - s * s / n) / (q - e), 5) + 0.0 AS f FROM t WHERE q - e > 1e-6""")
+SELECT var_id, round(pi() * ((n - k) / CAST(k - 1 AS DOUBLE)) * (e - s * s / n) / (q - e), 5) + 0.0 AS f FROM t WHERE q - e > 1e-6 AND (e - s * s / n) / (q - e) < 100""")
 def project_ftest(spark, d):
-    """F times pi, since ratios of small numbers end in a five too often to be rounded."""
+    """F times pi, since ratios of small numbers end in a five too often to be rounded; without what is explained almost wholly, of which few digits are sure."""
     base, new = jobs.source(ps(spark, d)), halves(spark, d)[1]
     out = jobs.project(jobs.ftest(base, h1=["r_name"]), {base: new}).fetch()
-    return out.filter("not isnan(F) and F < 1e6").select("var_id", F.round(F.pi() * F.col("F"), 5).alias("f"))
+    obs = new.fetch().obs
+    free = obs.count() - obs.select("r_name").distinct().count()
+    explained = F.col("F") * (obs.count() - free - 1) / free
+    return out.filter(explained < 100).select("var_id", F.round(F.pi() * F.col("F"), 5).alias("f"))
 
 
 @query("project_mannwhitney", HALVES + RANKS.replace(PS, "").replace("FROM var v CROSS JOIN obs o", "FROM var v CROSS JOIN (SELECT * FROM obs WHERE id % 2 = 1) o") + """ SELECT var_id, round("U", 4) AS "U" FROM u""")
