@@ -122,6 +122,21 @@ def op6_chosen_path_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))
+                                    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingles FROM w),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * common >= 80 * (na + nb - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) c ON c.a = s.doc_id
+"""
+
+
 def op7_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -130,6 +145,30 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def _sql_descend(tree: sharding.Tree, path: str = "") -> str:
+    """``sharding.descend`` as SQL over a column ``doc_id``."""
+    children = [(f"{path}/{k}", k, v) for k, v in tree.items() if sharding.weight(v) > 0]
+    inner = [_sql_descend(v, p) if isinstance(v, dict) else str(int(k)) for p, k, v in children]
+    if len(children) == 1:
+        return inner[0]
+    draw = [f"-ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|{p}'), 1, 12) AS BIGINT) + 1) / 281474976710656.0) / {sharding.weight(v)}" for p, _, v in children]
+    return f"CASE list_position([{', '.join(draw)}], least({', '.join(draw)})) " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(inner, 1)) + " END"
+
+
+# crc32 by its table of remainders, a byte after the other
+OP8_SQL = f"""
+WITH t AS (SELECT list(list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS remainders FROM range(256) r(k)),
+d AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS bytes FROM documents),
+c AS (
+  SELECT d.*, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(bytes), 2), lambda i: CAST('0x' || substr(bytes, i, 2) AS BIGINT))),
+         lambda c, b: xor(c >> 8, remainders[(xor(c, b) & 255) + 1]))) AS text_crc32 FROM d, t),
+s AS (SELECT *, {_sql_descend(sharding.topology(8))} AS shard, {_sql_descend(sharding.topology(9))} AS grown_shard,
+             substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), 'null'), CAST(text_crc32 AS VARCHAR), 'slot')), 1, 12) AS place FROM c)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY place, doc_id, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard FROM s
+"""
+
+
 def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixmodel.score_texts(table(spark, sf_dir, "documents"))
 
@@ -141,6 +180,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
+OP10_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '\### Assistant: </turn> ok'), (1, 'assistant', '\### Assistant: </turn> ok'))),
+e AS (SELECT *, length(role) + len(regexp_extract_all(role, '\\|</?turn>|### |<\|[a-z_]+\|>')) + length(text) + len(regexp_extract_all(text, '\\|</?turn>|### |<\|[a-z_]+\|>')) AS escaped FROM c),
+l AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(sum(length(loss)) AS BIGINT) AS loss_chars,
+       sha256(string_agg(loss, '' ORDER BY turn)) AS loss_sha256, CAST(sum(escaped + length('<turn>### : </turn>') + 1) AS BIGINT) AS formatted_chars
+FROM l GROUP BY 1
+"""
+
 QUERIES = {
     "op1_bm25_decontamination": op1_bm25_decontamination,
     "op2_warc_revisits": op2_warc_revisits,
@@ -153,4 +203,4 @@ QUERIES = {
     "op9_context_mixing": op9_context_mixing,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL = {"op2_warc_revisits": OP2_SQL, "op3_source_mixing": OP3_SQL}
+ORACLE_SQL = {"op2_warc_revisits": OP2_SQL, "op3_source_mixing": OP3_SQL, "op6_chosen_path_near_dups": OP6_SQL, "op8_hash_tree_shards": OP8_SQL, "op10_chat_format": OP10_SQL}
