@@ -21,7 +21,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 OPEN, HEAD, COLON, CLOSE = "<turn>", "### ", ": ", "</turn>"
 #: What a template writes between texts; inside texts a backslash goes behind the first character.
 CONTROL = re.compile(r"\\|</?turn>|### |<\|[a-z_]+\|>")
-PIECE = 100_000
+#: Characters encoded together, characters after which a long text may be cut, and where: behind a letter, before a space and another letter.
+BATCH, PIECE = 1_000_000, 100_000
+SEAM = re.compile(r"[A-Za-z](?= [A-Za-z])")
 
 
 def escape(text: str) -> str:
@@ -45,11 +47,25 @@ class Format:
         self.turn, self.answer, self.text, self.end = range(n := self.tokenizer.get_vocab_size(), n + 4)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Long texts are encoded in pieces of whole characters."""
-        pieces = [(i, t[k : k + PIECE]) for i, t in enumerate(texts) for k in range(0, len(t), PIECE)]
+        """Ids of every text.  Long ones are cut before single spaces between words, where the tokenizer's words end anyway, so
+        the ids are those of the whole; a text without such a place isn't cut."""
+        pieces = []
+        for i, t in enumerate(texts):
+            at = 0
+            while len(t) - at > PIECE and (seam := SEAM.search(t, at + PIECE)):
+                pieces.append((i, t[at : seam.start() + 1]))
+                at = seam.start() + 1
+            pieces.append((i, t[at:]))
         out: list[list[int]] = [[] for _ in texts]
-        for (i, _), e in zip(pieces, self.tokenizer.encode_batch([p for _, p in pieces], add_special_tokens=False), strict=True):
-            out[i] += e.ids
+        at = 0
+        while at < len(pieces):
+            to, size = at + 1, len(pieces[at][1])
+            while to < len(pieces) and size + len(pieces[to][1]) <= BATCH:
+                size += len(pieces[to][1])
+                to += 1
+            for (i, _), e in zip(pieces[at:to], self.tokenizer.encode_batch([p for _, p in pieces[at:to]], add_special_tokens=False), strict=True):
+                out[i] += e.ids
+            at = to
         return out
 
     def decode(self, ids) -> str:
@@ -82,7 +98,8 @@ def format_turns(turns: DataFrame, *, vocabulary: str = VOCABULARY, loss_role: s
 
     ``ids`` is the turn's part of the conversation's token sequence, ``mask`` tells which of them count
     for the loss.  Null role or text: empty.  Turns encode independently, so a conversation of any length is
-    spread over tasks.  Empty table: empty result.
+    spread over tasks; a very long text is one turn of one task, encoded piece by piece to the ids of the whole.  Repeated rows: each its own.
+    Ties: rows are independent.  Empty table: empty result.
     """
     held = _vocabulary(turns.sparkSession, vocabulary)
 
@@ -122,6 +139,7 @@ def read_back(formatted: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFram
 
     The digests run over a conversation's turns in order, so those pass one by one through a single
     task, which holds one turn at a time; encoding, the dear part, is done before.  Rows with a null conv_id form one conversation.
+    Turns of equal number, repeated rows among them, follow in the order of their ids.  Empty table: empty result.
     """
     held = _vocabulary(formatted.sparkSession, vocabulary)
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

@@ -57,6 +57,15 @@ def test_positions_and_masks(spark):
     assert form.mask(whole).tolist() == [m for r in placed for m in r["mask"]]
 
 
+def test_long_texts_have_the_ids_of_the_whole():
+    form = chat.Format(open(chat.VOCABULARY).read())
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdé1.,'-\\n") for _ in range(rng.randint(1, 9)))
+    for text in ("long word " * 40_000, " ".join(word() for _ in range(60_000)), "  \n".join(word() for _ in range(60_000)), "x" * 250_000, "it's a don't  do that " * 8_000):
+        assert form.encode([text, "short"]) == [form.tokenizer.encode(text, add_special_tokens=False).ids, form.tokenizer.encode("short", add_special_tokens=False).ids]
+    assert form.encode([""]) == [[]] and form.encode([]) == []
+
+
 def test_empty(spark):
     none = turns(spark, [(1, 1, "user", "x")]).limit(0)
     assert chat.format_turns(none).count() == 0 and chat.read_back(chat.format_turns(none)).count() == 0
