@@ -16,10 +16,12 @@ KEY_BITS = 48
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, notebooks) a temporary one is set.
+    Only a local session that names none (tests, notebooks) gets a temporary one; on a cluster that is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmat-"))
         root = spark.sparkContext.getCheckpointDir()
