@@ -2,9 +2,9 @@
 
 The benchmark is the indexed side; every passage of every training text is a query.  An item's
 score is the share of its own BM25 mass that the passage's distinct words carry, so one threshold fits
-all items.  Retrieval is block-max WAND for batches of passages: one whose terms' largest impacts can't reach
-the threshold is done with, and of the others only blocks of items whose block maxima can are opened.  What is retrieved is verified on word runs of both
-the item's halves, its question and its answer.
+all items.  Retrieval is block-max WAND: passages whose terms' largest impacts, or block maxima, can't reach
+the threshold are done with many at a time; the others walk their postings in the order of items from pivot to pivot, skipping
+blocks.  What is retrieved is verified on word runs of both the item's halves, its question and its answer.
 """
 
 from __future__ import annotations
@@ -54,35 +54,74 @@ class Index:
     def wand(self, terms: np.ndarray, starts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, item, score) of all items that score at least ``least``, for queries of distinct terms that begin at ``starts``.
 
-        Block-max WAND for a batch of queries: lists' largest impacts must sum to the threshold for a query to
-        go on, block maxima for a block of items to be opened; only the postings of open blocks are added up.
+        What can be said of many queries at once is: lists' largest impacts must sum to the threshold for a query to go
+        on, and so must the maxima of some block of items.  The few that are left walk their lists one by one.
         """
         ends = np.append(starts[1:], len(terms))
         possible = np.flatnonzero(np.add.reduceat(self.whole[terms], starts, dtype=np.float64) >= least)
-        none = np.zeros(0, np.int64)
-        out: list[list[np.ndarray]] = [[none], [none], [np.zeros(0)]]
+        found: list[tuple[int, int, float]] = []
         for at in range(0, len(possible), 256):
             own = possible[at : at + 256]
             size = ends[own] - starts[own]
             first = np.concatenate([[0], np.cumsum(size)[:-1]])
             t = terms[np.repeat(starts[own] - first, size) + np.arange(int(size.sum()))]
-            reach = np.add.reduceat(self.bound[t], first, axis=0, dtype=np.float64) >= least
-            query, block = np.nonzero(reach)
-            if not len(query):
-                continue
-            n = size[query]
-            of = np.repeat(np.arange(len(query)), n)
-            term = t[np.repeat(first[query] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
-            lo, hi = self.opens[term, block[of]], self.opens[term, block[of] + 1]
-            n = hi - lo
-            post = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-            cell = np.repeat(of, n) * self.block + self.post_item[post] % self.block
-            score = np.bincount(cell, self.post_impact[post], len(query) * self.block)
-            good = np.flatnonzero(score >= least)
-            out[0].append(own[query[good // self.block]])
-            out[1].append(block[good // self.block] * self.block + good % self.block)
-            out[2].append(score[good])
-        return tuple(np.concatenate(x) for x in out)
+            reach = (np.add.reduceat(self.bound[t], first, axis=0, dtype=np.float64) >= least).any(1)
+            for q in own[reach]:
+                found += [(int(q), item, score) for item, score in self.walk(terms[starts[q] : ends[q]], least)]
+        cols = list(zip(*found, strict=True)) or [(), (), ()]
+        return np.array(cols[0], np.int64), np.array(cols[1], np.int64), np.array(cols[2], float)
+
+    def walk(self, terms: np.ndarray, least: float) -> Iterator[tuple[int, float]]:
+        """(item, score) of the items that score at least ``least`` for one query: block-max WAND over cursors in the order of items.
+
+        The pivot is the first item that the lists standing at or before it could lift to the threshold.  If their block maxima
+        can't, all of them jump behind the nearest end of a block, but not beyond the next list's item; if they can, the lists before the pivot catch up, and
+        once all stand on it, it is scored.
+        """
+        ends = self.begins[terms + 1].tolist()
+        at, most, rows = self.begins[terms].tolist(), self.whole[terms].tolist(), self.bound[terms]
+        post = self.post_item
+        here = [int(post[a]) for a in at]
+        lists = sorted(range(len(at)), key=here.__getitem__)
+
+        def jump(k: int, item: int) -> None:
+            """Move cursor ``k`` to the first posting from ``item`` on."""
+            block = min(item // self.block, rows.shape[1] - 1)
+            a = max(at[k], int(self.opens[terms[k], block]))
+            while a < ends[k] and post[a] < item:
+                a += 1
+            at[k], here[k] = a, int(post[a]) if a < ends[k] else 1 << 62
+
+        while True:
+            total, pivot = 0.0, -1
+            for n, k in enumerate(lists):
+                if here[k] == 1 << 62:
+                    break
+                total += most[k]
+                if total >= least:
+                    pivot = n
+                    break
+            if pivot < 0:
+                return
+            item = here[lists[pivot]]
+            while pivot + 1 < len(lists) and here[lists[pivot + 1]] == item:
+                pivot += 1
+            group, block = lists[: pivot + 1], item // self.block
+            if float(rows[group, block].sum(dtype=np.float64)) < least:
+                behind = min((block + 1) * self.block, here[lists[pivot + 1]] if pivot + 1 < len(lists) else 1 << 61)
+                for k in group:
+                    jump(k, max(behind, item + 1))
+            elif here[lists[0]] == item:
+                score = float(sum(self.post_impact[at[k]] for k in group))
+                if score >= least:
+                    yield item, score
+                for k in group:
+                    jump(k, item + 1)
+            else:
+                for k in group:
+                    if here[k] < item:
+                        jump(k, item)
+            lists.sort(key=here.__getitem__)
 
 
 def build(ids: list[int], texts: list[str | None], *, run: int = 4, block: int = 16, k1: float = 1.2, b: float = 0.75, among: tuple[dict, int, float] | None = None) -> Index:
@@ -169,7 +208,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, least_score: float =
 
     Only the benchmark is sent to all tasks, in parts of at most ``most_items`` items; a larger one takes a pass per part, with
     frequencies over the whole.  Null or empty texts and items: never contaminated.  Null doc_ids: reported with null.
-    Repeated rows: one row each.  Ties need no rule.  An empty table on either side: empty result.
+    Very long texts are searched passage by passage, all of them.  Repeated rows: one row each.  Ties need no rule: every item above the
+    thresholds is reported.  An empty table on either side: empty result.
     """
     return _found(docs, benchmark, least_score, least_overlap, window, run, most_items).drop("digest")
 
@@ -237,6 +277,10 @@ def _frequencies(items: DataFrame) -> tuple[dict, int, float]:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, least_score: float = 0.6, least_overlap: float = 0.6, window: int = 128, run: int = 4, most_items: int = 2_000) -> DataFrame:
-    """The rows of ``docs`` without those that contain an item; rows go by doc_id (null included) and text, so namesakes stay."""
+    """The rows of ``docs`` without those that contain an item, with all their columns.
+
+    Rows go by doc_id (null included) and text, so namesakes stay, and repeated rows go together.  Null, empty and very long texts as in
+    :func:`contaminated`.  Ties need no rule.  Empty tables: nothing goes.
+    """
     bad = _found(docs, benchmark, least_score, least_overlap, window, run, most_items).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     return docs.join(bad, same_row(docs, bad), "left_anti")
