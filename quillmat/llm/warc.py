@@ -33,21 +33,28 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
 
 
-def as_of(rows: DataFrame, key: str, time: str, is_source: Column, source: Column, bucket: int) -> DataFrame:
+def as_of(rows: DataFrame, key: str, time: str, is_source: Column, source: Column, buckets: tuple[int, int]) -> DataFrame:
     """Add ``found``: the largest ``source`` struct (its first field the time) of an earlier source row with the same key.
 
-    Time is cut into buckets: sources are first reduced to the last one of each (key, bucket), a
-    running maximum carries it into later buckets, and a window inside each bucket does the
-    rest, so a key that holds most rows is spread over its buckets.  Rows with a null key or time find nothing.
+    Time is cut into long buckets and these into short ones.  Sources are first reduced to the last one of each (key, short bucket); running maxima
+    carry it over the short buckets of a long one and over the long ones, and a window inside each short bucket does
+    the rest, so a key that holds most rows is spread however dense its captures are.  Rows with a null key or time find nothing and take no part.
     """
-    rows = rows.withColumn("_source", F.when(is_source & F.col(key).isNotNull() & F.col(time).isNotNull(), source)).withColumn("_bucket", F.floor(F.col(time) / bucket))
-    last = rows.groupBy(key, "_bucket").agg(F.max("_source").alias("_last"))
-    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"), F.max("_last").over(earlier).alias("_carried"))
-    inside = Window.partitionBy(key, "_bucket").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
+    usable = F.col(key).isNotNull() & F.col(time).isNotNull()
+    kind = rows.select(source.alias("s")).schema["s"].dataType
+    lost = rows.filter(~usable).withColumn("found", F.lit(None).cast(kind))
+    rows = rows.filter(usable).withColumns({"_source": F.when(is_source, source), "_long": F.floor(F.col(time) / buckets[0]), "_short": F.floor(F.col(time) / buckets[1])})
+    up_to_now = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy(key, "_long", "_short").agg(F.max("_source").alias("_last"))
+    of_short = last.select(F.col(key).alias("_key"), F.col("_long").alias("_l"), F.col("_short").alias("_s"), F.max("_last").over(up_to_now(Window.partitionBy(key, "_long").orderBy("_short"))).alias("_near"))
+    of_long = last.groupBy(key, "_long").agg(F.max("_last").alias("_last"))
+    of_long = of_long.select(F.col(key).alias("_key"), F.col("_long").alias("_l"), F.max("_last").over(up_to_now(Window.partitionBy(key).orderBy("_long"))).alias("_far"))
+    carried = of_short.join(of_long, ["_key", "_l"]).select("_key", "_l", "_s", F.coalesce("_near", "_far").alias("_carried"))
+    inside = Window.partitionBy(key, "_long", "_short").orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_inside", F.max("_source").over(inside))
-    rows = rows.join(carried, (F.col(key) == F.col("_key")) & (F.col("_bucket") == F.col("_b")), "left")
-    return rows.withColumn("found", F.coalesce("_inside", "_carried")).drop("_source", "_bucket", "_inside", "_carried", "_key", "_b")
+    rows = rows.join(carried, (F.col(key) == F.col("_key")) & (F.col("_long") == F.col("_l")) & (F.col("_short") == F.col("_s")), "left")
+    found = rows.withColumn("found", F.coalesce("_inside", "_carried")).drop("_source", "_long", "_short", "_inside", "_carried", "_key", "_l", "_s")
+    return found.unionByName(lost)
 
 
 def _same(stored: Column, said: Column, name: str) -> tuple[Column, Column]:
@@ -58,7 +65,7 @@ def _same(stored: Column, said: Column, name: str) -> tuple[Column, Column]:
     return a.isNotNull() & b.isNotNull(), a == b
 
 
-def resolve_revisits(captures: DataFrame, *, bucket: int = 21_600) -> DataFrame:
+def resolve_revisits(captures: DataFrame, *, buckets: tuple[int, int] = (21_600, 60)) -> DataFrame:
     """One row per revisit in ``captures``: record_id, url_key, ts, outcome, source_id, headers.
 
     ``captures`` has record_id long, url string, ts long (seconds), status int, headers
@@ -69,7 +76,8 @@ def resolve_revisits(captures: DataFrame, *, bucket: int = 21_600) -> DataFrame:
     own headers) or ``changed`` (a validator that both have disagrees, the entity tag before
     the date, or they have none in common; the source is named, but headers are the revisit's own).
     Equal times are not earlier; of responses with one time the largest record_id counts.  Rows with a null
-    url, ts or both are orphans.  Null headers: none; fields without a value are dropped.  Repeated revisits resolve each.  Empty table: empty result.
+    url, ts or both are orphans.  Null headers: none; fields without a value are dropped.  Null, empty and very long bodies are never read.
+    Repeated revisits resolve each.  Empty table: empty result.
     """
     said = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull())
     rows = captures.filter(F.col("status").isin(200, 304)).select("record_id", canonical_url(F.col("url")).alias("url_key"), F.col("ts").cast("long").alias("ts"), "status", said.alias("headers"))
@@ -77,7 +85,7 @@ def resolve_revisits(captures: DataFrame, *, bucket: int = 21_600) -> DataFrame:
     rows = rows.select("*", *[F.col("headers")[n].alias(n) for n in validators])
     # headers travel with their response through the as-of join, as text since maps have no order
     source = F.struct("ts", F.col("record_id").alias("id"), *validators, F.to_json("headers").alias("headers"))
-    found = as_of(rows, "url_key", "ts", F.col("status") == 200, source, bucket).filter("status = 304")
+    found = as_of(rows, "url_key", "ts", F.col("status") == 200, source, buckets).filter("status = 304")
     stored, own = F.col("found"), F.struct(*validators)
     both_tag, equal_tag = _same(stored, own, "etag")
     both_date, equal_date = _same(stored, own, "last-modified")

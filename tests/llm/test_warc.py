@@ -4,7 +4,7 @@ import pytest
 
 from quillmat.llm import warc
 
-SCHEMA = "record_id long, url string, ts long, status int, headers map<string,string>, found string, _bucket long"
+SCHEMA = "record_id long, url string, ts long, status int, headers map<string,string>, found string, _short long"
 
 
 def captures(spark, rows):
@@ -31,7 +31,7 @@ def test_resolution(spark):
         (6, "http://a/x", 100, 304, {"etag": '"1"'}), (7, None, 400, 304, {"etag": '"1"'}), (8, "http://a/x", None, 304, None),
         (9, "http://a/x", 300, 304, None), (10, "http://a/x", 250, 500, {}), (4, "http://a/x", 300, 304, {"etag": '"1"'}),
     ]
-    out = warc.resolve_revisits(captures(spark, rows), bucket=60).collect()
+    out = warc.resolve_revisits(captures(spark, rows), buckets=(3600, 60)).collect()
     got = {r.record_id: r for r in out}
     assert len(out) == 8
     assert (got[3].outcome, got[3].source_id) == ("resolved", 1)
@@ -43,11 +43,11 @@ def test_resolution(spark):
     assert warc.resolve_revisits(captures(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [7, 100, 10_000])
-def test_as_of_against_brute_force(spark, bucket):
-    rng = random.Random(bucket)
+@pytest.mark.parametrize("buckets", [(7, 7), (100, 7), (10_000, 100)])
+def test_as_of_against_brute_force(spark, buckets):
+    rng = random.Random(sum(buckets))
     rows = [(i, f"http://h/{rng.choice('aaaab')}", rng.randrange(300), rng.choice([200, 304]), {"etag": '"e"'}) for i in range(300)]
-    got = {r.record_id: r.source_id for r in warc.resolve_revisits(captures(spark, rows), bucket=bucket).collect()}
+    got = {r.record_id: r.source_id for r in warc.resolve_revisits(captures(spark, rows), buckets=buckets).collect()}
     for i, u, t, status, _ in rows:
         if status == 304:
             earlier = [(ts, k) for k, v, ts, s, _ in rows if s == 200 and v == u and ts < t]
