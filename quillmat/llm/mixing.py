@@ -51,7 +51,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: in
 
     Null or empty text: size 0, taken 0, and ``copies`` as if it had its place in the order.  Null
     source: a source of its own, last.  The key is hashed from doc_id and text, so rows without doc_id spread too.
-    Repeated rows: each has its own place.  Empty table: empty result.
+    Very long texts: counted whole.  Ties of the key follow doc_id, size and text.  Repeated rows: each has its own place.  Empty table: empty result.
     """
     slim = cut(
         docs.select(
@@ -82,17 +82,26 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: in
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` repeated as often as the mix, in whole documents, takes them.
 
-    Rows without words are kept once, since they cost nothing and no budget speaks of them.
+    Rows without words (null, empty or blank texts) are kept once, since they cost nothing and no budget speaks of them.  Repeated rows are taken
+    together as often as the mix takes them in all: one of each is gathered in parts, so that many copies don't meet in one task, and
+    their number dealt among those that differ in other columns.  Null doc_id or source: as any other.  Ties and very long texts as in :func:`mix`.
+    Empty table: empty result.
     """
     taken = mix(docs, whole=True, **options)
-    same_row = lambda text_key: F.unhex(F.md5(F.concat_ws("|", *[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in ("doc_id", "source")], text_key)))
+    digest = lambda parts: F.unhex(F.md5(F.concat_ws("|", *parts)))
+    same_row = lambda text_key: digest([*[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in ("doc_id", "source")], text_key])
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))
-    plan = taken.select(same_row(F.col("text_key")).alias("_row"), copies.alias("_copies"))
-    # rows alike in doc_id, source and text are told apart by number only
-    plan = plan.groupBy("_row").agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_same"))
-    keyed = docs.select(same_row(F.md5(F.coalesce("text", F.lit("")))).alias("_row"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    alike = Window.partitionBy("_row").orderBy("_row")
-    number = F.when(F.col("_same") > 1, F.row_number().over(alike)).otherwise(1)
-    times = F.floor(F.col("_copies") / F.col("_same")) + F.when(number <= F.col("_copies") % F.col("_same"), 1).otherwise(0)
-    out = keyed.join(plan.filter("_copies > 0"), "_row").withColumn("_times", times.cast("int"))
-    return out.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("doc.*")
+    plan = taken.select(same_row(F.col("text_key")).alias("_row"), copies.cast("long").alias("_copies"))
+    plan = cut(plan.groupBy("_row").agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_same")))
+    rest = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    keyed = docs.select(same_row(F.md5(F.coalesce("text", F.lit("")))).alias("_row"), digest([F.lit("x"), F.to_json(F.struct(*rest))] if rest else [F.lit("x")]).alias("_other"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    repeated = lambda t, times: t.select("doc", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("doc.*")
+    out = repeated(keyed.join(plan.filter("_copies > 0 and _same = 1").drop("_same"), "_row"), F.col("_copies"))
+    alike = plan.filter("_copies > 0 and _same > 1")
+    if alike.head(1):
+        one = keyed.join(alike.select("_row"), "_row", "left_semi").dropDuplicates(["_row", "_other"]).join(alike, "_row")
+        kinds = cut(one.select("_row", "_other"))
+        number = kinds.select("_row", "_other", (F.row_number().over(Window.partitionBy("_row").orderBy("_other")) - 1).alias("_n")).join(kinds.groupBy("_row").agg(F.count(F.lit(1)).alias("_k")), "_row")
+        one = one.join(number, ["_row", "_other"])
+        out = out.union(repeated(one, F.floor(F.col("_copies") / F.col("_k")) + F.when(F.col("_n") < F.col("_copies") % F.col("_k"), 1).otherwise(0)))
+    return out
