@@ -27,7 +27,7 @@ _IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
 def _fold(h: np.ndarray, salt: int, bits: int = FEATURE_BITS) -> np.ndarray:
-    return (textbuf.mix(h + np.uint64(salt)) >> np.uint64(64 - bits)).astype(np.int64)
+    return (textbuf.mix(h + np.uint64(salt)) >> np.uint64(64 - bits)).astype(np.uint16)
 
 
 @dataclass
@@ -56,7 +56,7 @@ def words_of(texts: list[str]) -> Words:
     count = size
     firsts = np.concatenate([[0], np.cumsum(count)])[:-1]
     where = np.repeat(starts - 1 - firsts, count) + np.arange(int(count.sum()))
-    grams = ((three[where] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+    grams = ((three[where] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FEATURE_BITS)).astype(np.uint16)
     letters = np.concatenate([[0], np.cumsum(_IS_LETTER[data])])
     return Words(np.searchsorted(starts, limits), np.stack(affix, 1), grams, firsts, _fold(span(starts, ends), 99, LEXICON_BITS), letters[ends] - letters[starts])
 
@@ -205,7 +205,7 @@ def lexicon(docs: DataFrame, langs: list[str]) -> np.ndarray:
         for b in textbuf.chunks(batches, 0, 1 << 18):
             w = words_of([t or "" for t in b.column(0).to_pylist()])
             of = np.repeat([number[x] for x in b.column(1).to_pylist()], np.diff(w.begins))
-            table += np.bincount(w.lexicon * len(langs) + of, minlength=table.size).reshape(table.shape)
+            table += np.bincount(w.lexicon.astype(np.int64) * len(langs) + of, minlength=table.size).reshape(table.shape)
         if table.any():
             parts = table.reshape(size // block, -1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "counts"])
@@ -225,16 +225,16 @@ def lexicon(docs: DataFrame, langs: list[str]) -> np.ndarray:
     return out.reshape(size, len(langs))
 
 
-def identify(docs: DataFrame, *, learns: Column | None = None, per_lang: int = 600, window: int = 1000, whole_rows: bool = False) -> DataFrame:
+def identify(docs: DataFrame, *, learns: Column | None = None, per_lang: int = 300, whole_rows: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score; other columns are ignored,
     or with ``whole_rows`` all of ``docs`` comes back as a struct ``doc`` with held_out, lang_pred and score beside it.
 
     Learned from the text and non-null lang of the documents that ``learns``, a condition on doc_id, admits (default: crc32 of doc_id
-    modulo 3 is not 1; held_out is its opposite): the lexicon from all of them, the weights from about ``per_lang`` documents of each
-    language, those of least hash, of each a window of ``window`` characters at a hashed place.  Predictions use the whole text and nothing else.
+    modulo 3 is not 1; held_out is its opposite): the lexicon from all of them, the weights from the whole texts of about ``per_lang`` documents of each
+    language, those of least hash.  Predictions use the whole text and nothing else.
 
-    Null text, or none with a letter: ``und`` with score 0.  No labelled row: ``und`` everywhere.  Null doc_id: never
-    held out by the default.  Repeated rows: the same prediction.  Empty table: empty result.
+    Null text, or none with a letter: ``und`` with score 0.  Very long texts: labelled whole.  Ties of languages go to the first by name.  No labelled
+    row: ``und`` everywhere.  Null doc_id: never held out by the default.  Repeated rows: the same prediction.  Empty table: empty result.
     """
     spark = docs.sparkSession
     may = remainder(F.col("doc_id"), 3) != 1 if learns is None else learns
@@ -245,8 +245,7 @@ def identify(docs: DataFrame, *, learns: Column | None = None, per_lang: int = 6
     if langs:
         limit = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(per_lang / per[k]))])
         u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-        place = (F.pmod(F.xxhash64("text"), F.greatest(F.char_length("text") - window, F.lit(1))) + 1).cast("int")
-        sample = known.filter(u < limit[F.col("lang")]).select(F.substring("text", place, F.lit(window)).alias("text"), "lang").toArrow()
+        sample = known.filter(u < limit[F.col("lang")]).select("text", "lang").toArrow()
         rows = sorted(zip(sample["lang"].to_pylist(), sample["text"].to_pylist(), strict=True))
         field = train(langs, lexicon(known.select("text", "lang"), langs), [r[1] for r in rows], [r[0] for r in rows])
     held = spark.sparkContext.broadcast(field)
@@ -275,6 +274,9 @@ def identify(docs: DataFrame, *, learns: Column | None = None, per_lang: int = 6
 
 
 def identified_documents(docs: DataFrame, *, least_score: float = 0.35, **options) -> DataFrame:
-    """The rows of ``docs`` but those without a letter or whose best language has less than ``least_score`` of the letters."""
+    """The rows of ``docs``, with all their columns, but those without a letter or whose best language has less than ``least_score`` of the letters.
+
+    Null, empty and wordless texts go; very long ones, ties, null doc_ids and repeated rows as in :func:`identify`.  Empty table: empty result.
+    """
     found = identify(docs, whole_rows=True, **options)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("doc.*")

@@ -65,7 +65,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, learns: Column | None =
     doc_id, says which may be used (default: crc32 of doc_id modulo 3 is not 1), and held_out is its opposite.  ``labels`` has doc_id
     and quality (0 or 1; null: no label; several rows: their rounded mean).  Scores depend on the text alone.
 
-    Null or empty text: scored like any other, from its zero statistics.  Null doc_id: never labelled.  Repeated rows: the same scores.
+    Null or empty text: scored like any other, from its zero statistics.  Very long texts: measured whole.  Ties: equal statistics score
+    alike; of documents with equal hashes any may be fitted last.  Null doc_id: never labelled.  Repeated rows: the same scores.
     No usable label: 0.5 everywhere.  Empty table: empty result.
     """
     spark = docs.sparkSession

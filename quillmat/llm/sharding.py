@@ -62,7 +62,8 @@ def assign(docs: DataFrame, *, tree: Tree | None = None, grown: Tree | None = No
     Only doc_id and text are read.  The law is ``key``: doc_id and the tree alone decide.  ``slot`` numbers
     a shard's rows from 0 without gaps, in the order of a hash of doc_id and checksum; it is found by ranges of that hash, so no shard is numbered by one task.
 
-    Null doc_id: treated as the word null, so all such rows share a shard.  Null text: size 1, checksum 0.  Repeated rows get a slot each.  Empty table: empty result.
+    Null doc_id: treated as the word null, so all such rows share a shard.  Null text: size 1, checksum 0; empty and very long texts by the same rule.
+    Ties of draws go to the first child, ties of slots follow doc_id, checksum and size.  Repeated rows get a slot each.  Empty table: empty result.
     """
     tree, grown = tree or topology(shards), grown or topology(shards + 1)
     slim = docs.select(
@@ -77,6 +78,9 @@ def assign(docs: DataFrame, *, tree: Tree | None = None, grown: Tree | None = No
 
 
 def sharded_documents(docs: DataFrame, *, tree: Tree | None = None, grown: Tree | None = None, shards: int = 8) -> DataFrame:
-    """``docs`` with the columns shard and grown_shard (in place of any so named), by the rules of :func:`assign`; no row moves."""
+    """``docs`` with the columns shard and grown_shard (in place of any so named), by the rules of :func:`assign`; no row moves.
+
+    Only doc_id decides, so null, empty and very long texts make no difference; repeated rows share a shard.  Empty table: empty result.
+    """
     tree, grown = tree or topology(shards), grown or topology(shards + 1)
     return docs.withColumns({"shard": descend("doc_id", tree).cast("int"), "grown_shard": descend("doc_id", grown).cast("int")})

@@ -1,4 +1,5 @@
 import collections
+import itertools
 import math
 import random
 import zlib
@@ -49,6 +50,45 @@ def test_forward_backward_against_enumeration():
             assert np.allclose(got[a + i], x * y / (x * y).sum())
 
 
+def test_marginals_against_all_label_sequences():
+    rng = np.random.default_rng(1)
+    field = language.Field(["a", "b", "c"], None, None, None, rng.normal(size=(3, 3)))
+    for n in (1, 2, 6):
+        e = rng.normal(size=(n, 3))
+        want, whole = np.zeros((n, 3)), 0.0
+        for labels in itertools.product(range(3), repeat=n):
+            # before its first word a text may be in any language
+            start = np.log(np.exp(field.transitions[:, labels[0]]).mean())
+            w = math.exp(start + sum(e[t, y] for t, y in enumerate(labels)) + sum(field.transitions[a, b] for a, b in zip(labels, labels[1:], strict=False)))
+            whole += w
+            for t, y in enumerate(labels):
+                want[t, y] += w
+        assert np.allclose(field.marginals(e, np.array([0, n])), want / whole)
+
+
+def test_emissions_against_word_by_word_sums():
+    rng = np.random.default_rng(2)
+    field = language.Field(["a", "b"], rng.normal(size=(1 << language.FEATURE_BITS, 2)), rng.normal(size=(1 << language.LEXICON_BITS, 2)), np.array([0.5, 2.0]), np.zeros((2, 2)))
+    texts = ["Über den House", "", "a  xyz\tbc"]
+    whole = language.words_of(texts)
+    each = [language.words_of([w]) for t in texts for w in t.split()]
+    assert np.diff(whole.begins).tolist() == [3, 0, 3] and whole.letters.tolist() == [len(w.lower().encode()) for t in texts for w in t.split()]
+    got = field.emissions(whole)
+    for row, one in zip(got, each, strict=True):  # words alone lie between line ends, in texts between blanks: only trigrams at the edges differ
+        own = field.lexicon[one.lexicon[0]] * field.lexicon_weight + field.weights[one.affixes[0]].sum(0)
+        inner = [g for g in one.trigrams.tolist()][1:-1]
+        assert np.allclose(own + field.weights[inner].sum(0), row - field.weights[_edges(whole, one, inner)].sum(0))
+
+
+def _edges(whole, one, inner):
+    """The trigrams of a word within its text that it hasn't by itself."""
+    for k, first in enumerate(whole.firsts):
+        grams = whole.trigrams[first : whole.firsts[k + 1] if k + 1 < len(whole.firsts) else None].tolist()
+        if whole.lexicon[k] == one.lexicon[0] and len(grams) == len(one.trigrams):
+            return [grams[0], grams[-1]] if len(grams) > 1 else grams
+    raise AssertionError
+
+
 def test_language(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randint(3, 60), (ENGLISH, GERMAN)[i % 2]), ("en", "de")[i % 2], "s") for i in range(300)]
@@ -89,6 +129,40 @@ def test_boosting():
     assert (boosting.fit(x[:50], np.ones(50)).probability(x[:3]) > 0.9).all()
 
 
+def test_first_split_against_every_split():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, (200, 3)).astype(float)
+    y = (rng.random(200) < np.where(x[:, 1] > 6, 0.8, 0.3)).astype(float)
+    model = boosting.fit(x, y, trees=1, depth=1)
+    p = (y.sum() + 1) / 202
+    g, h = p - y, np.full(200, p * (1 - p))
+    score = lambda own: g[own].sum() ** 2 / (h[own].sum() + 1)
+    best = max(((score(x[:, j] <= c) + score(x[:, j] > c), j, c) for j in range(3) for c in range(11) if min((x[:, j] <= c).sum(), (x[:, j] > c).sum()) >= 5), key=lambda o: o[0])
+    root = model.roots[0]
+    assert (model.feature[root], int(model.threshold[root])) == best[1:]
+    own = x[:, best[1]] <= best[2]
+    assert model.value[model.left[root]] == pytest.approx(-0.15 * g[own].sum() / (h[own].sum() + 1))
+
+
+def test_statistics_against_plain_counts():
+    text = "The cat, the CAT sat.\nthe cat sat!\n\nÉ 42 #"
+    row = dict(zip(quality.FEATURES, quality.statistics([text.encode()])[0], strict=True))
+    data, words = text.encode(), text.encode().split()
+    share = lambda f: sum(map(f, data)) / len(data)
+    assert row["share_upper"] == pytest.approx(share(lambda b: 65 <= b <= 90)) and row["share_lower"] == pytest.approx(share(lambda b: 97 <= b <= 122))
+    assert row["share_digit"] == pytest.approx(share(lambda b: 48 <= b <= 57)) and row["share_beyond_ascii"] == pytest.approx(share(lambda b: b > 127))
+    assert row["share_stop"] == pytest.approx(share(lambda b: b in b".!?")) and row["share_comma"] == pytest.approx(share(lambda b: b in b",;:"))
+    assert row["log_bytes"] == pytest.approx(math.log1p(len(data))) and row["log_words"] == pytest.approx(math.log1p(len(words)))
+    size = [len(w) for w in words]
+    assert row["mean_word"] == pytest.approx(np.mean(size)) and row["sd_word"] == pytest.approx(np.std(size))
+    count = collections.Counter(words)
+    assert row["distinct_words"] == pytest.approx(len(count) / len(words)) and row["top_word"] == pytest.approx(max(count.values()) / len(words))
+    assert row["distinct_pairs"] == pytest.approx(len(set(zip(words, words[1:], strict=False))) / (len(words) - 1))
+    lines = data.split(b"\n")
+    assert row["distinct_lines"] == pytest.approx(len(set(lines)) / len(lines)) and row["words_a_line"] == pytest.approx(len(words) / len(lines))
+    assert row["same_as_before"] == 0 and row["upper_words"] == pytest.approx(2 / len(words)) and row["symbol_words"] == pytest.approx(1 / len(words))
+
+
 def test_quality(spark):
     rng = random.Random(6)
     rows = [(i, prose(rng, 60) if i % 2 else "BUY!! " * rng.randint(5, 60), "en", "s") for i in range(300)] + [r for r in mixed_rows() if r[0] is None or r[0] >= 100 and r[0] < 200]
