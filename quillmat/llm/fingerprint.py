@@ -2,8 +2,7 @@
 
 A sketch keeps every shingle hash below a fixed fraction of the hash space.  So sketches of a
 phrase and of a book are cut at the same height: unions are merges, and overlaps of the kept
-hashes estimate resemblance and containment between texts of very unequal lengths.  Texts with few
-shingles keep their ``floor`` smallest hashes, which only raises the height up to which they are known.
+hashes estimate resemblance and containment between texts of very unequal lengths.
 """
 
 from __future__ import annotations
@@ -11,15 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmat.llm.common import cut
+from quillmat.llm.common import bounded, cut
 
 #: The hash space: 32 bits, so that of two texts of n shingles about n / 2^32 of the kept ones agree by accident.
 BITS = 32
 LOWEST, HIGHEST = -(1 << BITS - 1), (1 << BITS - 1) - 1
 
 
-def with_sketch(df: DataFrame, text: str, to: str, *, shingle: int = 5, fraction: int = 16, floor: int = 32) -> DataFrame:
-    """Add the struct ``to``: ``hashes`` (sorted, at most ``bound``), ``bound`` and ``total``, the number of distinct shingles.
+#: The fraction of the hash space that is kept is one of this many.
+FRACTION = 4
+
+
+def with_sketch(df: DataFrame, text: str, to: str, *, shingle: int = 5, fraction: int = FRACTION) -> DataFrame:
+    """Add the struct ``to``: ``hashes`` (sorted, all below the fraction), and ``total``, the number of distinct shingles.
 
     Words are the runs between ASCII white space, lower-cased; a text of fewer than ``shingle`` words is one shingle, a blank or null one has none.
     """
@@ -29,90 +32,94 @@ def with_sketch(df: DataFrame, text: str, to: str, *, shingle: int = 5, fraction
     narrow = lambda h: F.shiftright(h, 64 - BITS).cast("int")
     runs = F.transform(F.sequence(F.lit(0), F.size(w) - shingle), lambda i: narrow(F.xxhash64(*[F.get(w, i + j) for j in range(shingle)])))
     every = F.when(F.size(w) >= shingle, runs).when(F.size(w) > 0, F.array(narrow(F.xxhash64(w)))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("_h", F.sort_array(F.array_distinct(every)))
-    height = LOWEST + (1 << BITS) // fraction - 1
-    bound = F.when(F.size("_h") <= floor, F.lit(HIGHEST)).otherwise(F.greatest(F.lit(height), F.get("_h", F.lit(floor - 1))))
-    df = df.withColumn("_b", bound)
-    kept = F.filter("_h", lambda h: h <= F.col("_b"))
-    return df.withColumn(to, F.struct(kept.alias("hashes"), F.col("_b").alias("bound"), F.size("_h").alias("total"))).drop("_w", "_h", "_b")
-
-
-def _shared(a: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Sizes of both sketches below their common bound, and of what they share."""
-    height = F.least(a["bound"], b["bound"])
-    x, y = F.filter(a["hashes"], lambda h: h <= height), F.filter(b["hashes"], lambda h: h <= height)
-    return F.size(x), F.size(y), F.size(F.array_intersect(x, y))
+    df = df.withColumn("_h", F.array_distinct(every))
+    kept = F.sort_array(F.filter("_h", lambda h: h < LOWEST + (1 << BITS) // fraction))
+    return df.withColumn(to, F.struct(kept.alias("hashes"), F.size("_h").alias("total"))).drop("_w", "_h")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated resemblance of two sketches, 0 to 1; two empty ones are alike, an empty one and another are not."""
-    x, y, both = _shared(a, b)
-    return F.when(x + y > 0, both / F.greatest(x + y - both, F.lit(1))).otherwise(F.lit(1.0))
+    """Estimated resemblance of two sketches of one fraction, 0 to 1.
+
+    Where neither keeps a hash, texts with as many shingles are alike, for all that the sketches know.
+    """
+    both, of = F.size(F.array_intersect(a["hashes"], b["hashes"])), F.size(a["hashes"]) + F.size(b["hashes"])
+    return F.when(of > 0, both / F.greatest(of - both, F.lit(1))).otherwise((a["total"] == b["total"]).cast("double"))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has; an empty a is contained in anything."""
-    x, _, both = _shared(a, b)
-    return F.when(x > 0, both / F.greatest(x, F.lit(1))).otherwise(F.lit(1.0))
+    """Estimated share of a's shingles that b has; an a without hashes is contained in anything."""
+    both, of = F.size(F.array_intersect(a["hashes"], b["hashes"])), F.size(a["hashes"])
+    return F.when(of > 0, both / F.greatest(of, F.lit(1))).otherwise(F.lit(1.0))
 
 
-def merge(a: Column, b: Column) -> Column:
-    """The sketch of both texts' shingles together; ``total`` is an estimate unless both were whole."""
-    height = F.least(a["bound"], b["bound"])
-    kept = F.sort_array(F.filter(F.array_union(a["hashes"], b["hashes"]), lambda h: h <= height))
-    share = (height.cast("double") - LOWEST + 1) / float(1 << BITS)
-    return F.struct(kept.alias("hashes"), height.alias("bound"), F.round(F.size(kept) / share).cast("int").alias("total"))
+def merge(a: Column, b: Column, fraction: int = FRACTION) -> Column:
+    """The sketch of both texts' shingles together; its ``total`` is an estimate."""
+    kept = F.sort_array(F.array_union(a["hashes"], b["hashes"]))
+    return F.struct(kept.alias("hashes"), F.greatest(F.size(kept) * fraction, a["total"], b["total"]).cast("int").alias("total"))
 
 
 def text_form(sketch: Column) -> Column:
-    """``total:bound:`` and the kept hashes in hexadecimal."""
-    return F.concat_ws(":", sketch["total"].cast("string"), F.hex(sketch["bound"].cast("long") - LOWEST), F.array_join(F.transform(sketch["hashes"], lambda h: F.hex(h.cast("long") - LOWEST)), ","))
+    """``total:`` and the kept hashes in hexadecimal."""
+    return F.concat_ws(":", sketch["total"].cast("string"), F.array_join(F.transform(sketch["hashes"], lambda h: F.hex(h.cast("long") - LOWEST)), ","))
 
 
-def successors(ids: DataFrame) -> tuple[DataFrame, int]:
-    """(key, next_key, n) of every distinct document in ``ids(key, doc_id, n)``, in ascending order of doc_id, then key, the first after the last.
+def _order(ids: DataFrame, bucket_chars: int, most_buckets: int) -> tuple[DataFrame, list[tuple]]:
+    """(key, copies) of every distinct document in ``ids(key, doc_id, n)``, and where buckets begin in the order of doc_id, then key.
 
-    The order comes from a range sort; ranks are positions in a partition plus the partitions' offsets.
+    The order comes from a range sort of these narrow rows; ranks are positions in a partition plus the partitions' offsets.  Buckets of
+    equal numbers of documents begin at (doc_id, key, number): at most ``most_buckets`` rows for the driver.
     """
-    ordered = ids.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    ordered = cut(ordered.orderBy(F.col("doc_id").asc_nulls_first(), "key").select("key", "n", F.monotonically_increasing_id().alias("at")))
+    rows = ids.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    rows = cut(rows.orderBy(F.col("doc_id").asc_nulls_first(), "key").select("key", "doc_id", "n", "copies", F.monotonically_increasing_id().alias("at")))
+    count, chars = rows.agg(F.count(F.lit(1)), F.sum("n")).first()
+    per = max(1, -(-count // min(most_buckets, max(1, (chars or 0) // bucket_chars))))
     part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    parts = ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
-    offsets = parts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    sizes = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    offsets = sizes.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     # the offsets are as many rows as the sort had partitions
-    ranked = ordered.withColumn("part", part).join(F.broadcast(offsets), "part").select("key", "n", (F.col("offset") + within).alias("rank"))
-    count = ordered.count()
-    after = ranked.select(F.pmod(F.col("rank") - 1, F.lit(max(count, 1))).alias("rank"), F.col("key").alias("next_key"))
-    return ranked.join(after, "rank").select("key", "next_key", "n"), count
+    ranked = rows.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("rank", F.col("offset") + within)
+    begins = ranked.filter(F.col("rank") % per == 0).orderBy("rank").select("doc_id", "key").collect()
+    return rows.select("key", "copies"), [(r["doc_id"], bytes(r["key"]), k) for k, r in enumerate(begins)]
 
 
-def edited_fingerprints(docs: DataFrame, **options) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, *, bucket_chars: int = 16_000_000, most_buckets: int = 10_000, **options) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are ignored): doc_id, n_chars, edited_sha256, sketch,
     edited_sketch, near_edited, near_next.
 
     The edited text is the text with its last half (rounded down, in code points) replaced by as many from the start of
     the next document, or by all of it.  Null text: empty.  Null doc_ids come first in the order; equal doc_ids are
     ordered by a digest; rows with equal doc_id and text count as one document of the order, and each gets its row.
-    A lone document follows itself.  Empty table: empty result.
+    A lone document follows itself.  Very long texts: sketched whole.  Ties need no further rule.  Empty table: empty result.
 
-    Texts are dealt twice: to meet their predecessor's key, and, cut to the halves that are needed, to meet each other.
+    Texts are dealt once, into buckets of neighbours of about ``bucket_chars`` characters; each finds its successor there by a window, and the last
+    one in the next bucket's first document.  Of rows alike one is gathered in parts before.
     """
-    tie = F.md5(F.col("text"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("key", F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), tie))))
-    chain, _ = successors(own.select("key", "doc_id", F.char_length("text").cast("long").alias("n")))
-    before = chain.select(F.col("next_key").alias("key"), F.col("key").alias("prior"), F.floor(F.col("n") / 2).cast("int").alias("needed"))
-    met = own.join(before.hint("shuffle_hash"), "key")
-    met = with_sketch(met.withColumn("n", F.char_length("text")), "text", "sketch", **options)
-    no_text, no_sketch = F.lit(None).cast("string"), F.lit(None).cast("struct<hashes:array<int>,bound:int,total:int>")
-    first = F.struct("key", "doc_id", "n", F.expr("substring(text, 1, n - cast(floor(n / 2) as int))").alias("start"), F.col("sketch"), no_text.alias("tail"), no_sketch.alias("next_sketch"), F.lit(1).alias("copies"))
-    second = F.struct(F.col("prior").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("int").alias("n"), no_text.alias("start"), no_sketch.alias("sketch"), F.expr("substring(text, 1, needed)").alias("tail"), F.col("sketch").alias("next_sketch"), F.lit(0).alias("copies"))
-    halves = met.select(F.inline(F.array(first, second))).repartition("key")
-    one = lambda c: F.first(c, ignorenulls=True).alias(c)
-    pairs = halves.groupBy("key").agg(*[one(c) for c in ("doc_id", "n", "start", "sketch", "tail", "next_sketch")], F.sum("copies").alias("copies"))
-    pairs = pairs.withColumn("edited", F.concat("start", "tail"))
-    pairs = with_sketch(pairs, "edited", "edited_sketch", **options)
-    out = pairs.select(
+    own = own.withColumn("key", F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5("text")))))
+    order, begins = _order(own.select("key", "doc_id", F.char_length("text").cast("long").alias("n")), bucket_chars, most_buckets)
+    again = order.filter("copies > 1")
+    one = own.withColumn("copies", F.lit(1).cast("long"))
+    if again.head(1):
+        again = bounded(again.select(F.col("key").alias("_key"), F.col("copies").alias("_copies")))
+        alike = own.join(again, own["key"] == again["_key"], "left_semi").dropDuplicates(["key"]).join(again, F.col("key") == F.col("_key"))
+        one = one.join(again, one["key"] == again["_key"], "left_anti").union(alike.select("doc_id", "text", "key", F.col("_copies").alias("copies")))
+    place = F.struct("doc_id", "key")
+    starts = F.array(*[F.struct(F.lit(d).cast("long").alias("doc_id"), F.lit(k).alias("key")) for d, k, _ in begins[1:]]) if len(begins) > 1 else None
+    bucket = F.lit(0) if starts is None else F.size(F.filter(starts, lambda s: s <= place))
+    dealt = one.withColumn("bucket", bucket).repartition("bucket")
+    dealt = with_sketch(dealt.withColumn("n", F.char_length("text")), "text", "sketch", **options)
+    after = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "key")
+    dealt = dealt.withColumns({"next_text": F.lead("text").over(after), "next_sketch": F.lead("sketch").over(after)})
+    # the first document of each bucket follows the last one of the bucket before
+    first = docs.sparkSession.createDataFrame([(k, (n - 1) % len(begins)) for _, k, n in begins], "key binary, before int")
+    first = own.join(F.broadcast(first), "key").dropDuplicates(["key"])
+    first = with_sketch(first, "text", "_first_sketch", **options).select("before", F.col("text").alias("_first_text"), "_first_sketch")
+    met = dealt.join(first, (F.col("bucket") == F.col("before")) & F.col("next_text").isNull(), "left")
+    met = met.withColumns({"next_text": F.coalesce("next_text", "_first_text"), "next_sketch": F.coalesce("next_sketch", "_first_sketch")})
+    half = F.floor(F.col("n") / 2).cast("int")
+    met = met.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("next_text", F.lit(1), half)))
+    met = with_sketch(met, "edited", "edited_sketch", **options)
+    out = met.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), "sketch", "edited_sketch",
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
         F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy"),

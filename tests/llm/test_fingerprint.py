@@ -1,37 +1,78 @@
 import hashlib
 import random
+import struct
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillmat.llm import fingerprint
 from tests.llm.helpers import documents, mixed_rows, prose
 
 
-def shingles(text, k=5):
-    w = text.lower().encode().split()
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
 
 
-def test_edited_texts(spark):
-    rows = [r for r in mixed_rows() if r[0] is not None]
-    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(documents(spark, rows)).collect()}
+def sketch(text, k=5):
+    """(kept hashes, number of distinct shingles) by plain loops."""
+    words = [signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in "".join(" " if c in "\t\n\v\f\r" else c for c in text).lower().split(" ") if w]
+    every = set()
+    for run in [words[i : i + k] for i in range(len(words) - k + 1)] if len(words) >= k else []:
+        h = 42
+        for w in run:
+            h = xxhash.xxh64(struct.pack("<q", w), seed=h).intdigest()
+        every.add(signed(h) >> 32)
+    if 0 < len(words) < k:
+        return None  # hashed as an array; not repeated here
+    height = -(1 << 31) + (1 << 32) // fingerprint.FRACTION
+    return {h for h in every if h < height}, len(every)
+
+
+def likeness(a, b):
+    if a[0] | b[0]:
+        return len(a[0] & b[0]) / len(a[0] | b[0])
+    return float(a[1] == b[1])
+
+
+@pytest.mark.parametrize("bucket_chars", [16_000_000, 2_000])  # one bucket, and many
+def test_edited_texts_against_brute_force(spark, bucket_chars):
+    rows = [r for r in mixed_rows() if r[0] is not None and r[0] != 105]  # letters beyond ASCII in capitals have rules of their own
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(documents(spark, rows), bucket_chars=bucket_chars).collect()}
     distinct = sorted({(r[0], r[1] or "") for r in rows})
+    checked = 0
     for (i, t), (_, after) in zip(distinct, distinct[1:] + distinct[:1], strict=True):
         n = len(t)
         edited = t[: n - n // 2] + after[: n // 2]
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        a, b, c = shingles(t), shingles(edited), shingles(after)
-        if len(a | b) <= 32:  # sketches of few shingles are whole
-            assert abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1)) < 1e-9
-        assert abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1)) < 0.3
-        assert abs(r.near_next - (len(a & c) / len(a | c) if a | c else 1)) < 0.3
+        a, b, c = sketch(t), sketch(edited), sketch(after)
+        for want, have in ((a, r.sketch), (b, r.edited_sketch)):
+            if want is not None:
+                assert (sorted(want[0]), want[1]) == (list(have.hashes), have.total)
+        if None not in (a, b, c):
+            assert r.near_edited == pytest.approx(likeness(a, b)) and r.near_next == pytest.approx(likeness(a, c))
+            checked += 1
+    assert checked > 50
+
+
+def test_estimates_are_near(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = [(i, prose(rng, rng.randint(150, 600), vocabulary), "en", "s") for i in range(40)]
+    runs = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(documents(spark, rows)).collect()}
+    off = []
+    for (i, t, *_), (_, after, *_) in zip(rows, rows[1:] + rows[:1], strict=True):
+        a, b = runs(t), runs(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+        off.append(abs(got[i].near_edited - len(a & b) / len(a | b)))
+    assert max(off) < 0.2 and sum(off) / len(off) < 0.05
 
 
 def test_rows_come_back(spark):
     rows = mixed_rows()
-    assert fingerprint.edited_fingerprints(documents(spark, rows)).count() == len(rows)
+    for bucket_chars in (16_000_000, 500):
+        assert fingerprint.edited_fingerprints(documents(spark, rows), bucket_chars=bucket_chars).count() == len(rows)
     assert fingerprint.edited_fingerprints(documents(spark, rows).limit(0)).count() == 0
     alone = fingerprint.edited_fingerprints(documents(spark, [(1, "a b c d e f", "en", "s")])).first()
     assert alone.edited_sha256 == hashlib.sha256(b"a b c a b c").hexdigest() and alone.near_next == 1
@@ -49,6 +90,5 @@ def test_equal_texts_and_merging(spark):
     a, b = pairs.filter("doc_id = 2").select(F.col("sk").alias("a")), pairs.filter("doc_id = 1").select(F.col("sk").alias("b"))
     row = a.crossJoin(b).select(fingerprint.containment(F.col("a"), F.col("b")).alias("c"), fingerprint.merge(F.col("a"), F.col("b")).alias("m")).first()
     assert row.c > 0.97
-    assert set(row.m.hashes) == {h for h in [*s[1].sk.hashes, *s[2].sk.hashes] if h <= row.m.bound}
-    text = set(s[1].sk.hashes)
-    assert abs(len(text) / s[1].sk.total - 1 / 16) < 0.01
+    assert set(row.m.hashes) == {*s[1].sk.hashes, *s[2].sk.hashes}
+    assert abs(len(s[1].sk.hashes) / s[1].sk.total - 1 / fingerprint.FRACTION) < 0.02
