@@ -6,7 +6,7 @@ from tests.llm.helpers import documents, mixed_rows
 
 def test_stages_run_in_order(spark, tmp_path):
     leak = "a benchmark question that nobody should have seen before and the answer that goes with it today"
-    rows = [r for r in mixed_rows() if r[0] != 107] + [(500, "intro words here " + leak + " and an end", "en", "src1"), (501, "12345 67", "en", "src1")]
+    rows = mixed_rows() + [(500, "intro words here " + leak + " and an end", "en", "src1"), (501, "12345 67", "en", "src1")]
     docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(os.path.join(tmp_path, "documents.parquet"))
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(os.path.join(tmp_path, "benchmark.parquet"))
