@@ -24,7 +24,8 @@ def _attach(table: DataFrame, key: str, sums: DataFrame, on: str, columns: list[
 
 
 def _zero_stays(f: Callable[[Column], Column], spark) -> None:
-    if spark.range(1).select(f(F.lit(0)).cast("double")).first()[0] != 0:
+    # a plan of constants, which Spark folds without a job
+    if spark.sql("SELECT 0 AS zero").select(f(F.col("zero")).cast("double")).first()[0] != 0:
         raise ValueError("f(0) must be 0, since zeros aren't stored")
 
 
@@ -94,6 +95,12 @@ def obs_counts_fraction(data: DataMatrix, name: str, part: Where, total: Where =
     return data.with_var(_attach(data.var, data.var_key, _fraction(data, "var_id", name, part, total), "var_id", [name]))
 
 
+def stored_size(mat: DataFrame) -> tuple[int, int]:
+    """How many variables and observations have stored cells, where no table says more."""
+    row = mat.agg(F.count_distinct("var_id"), F.count_distinct("obs_id")).first()
+    return int(row[0]), int(row[1])
+
+
 def row_sums(data: DataMatrix, f: Callable[[Column], Column] | None = None) -> DataFrame:
     """(var_id, total): each variable's sum of ``f(value)`` over all observations, for f(0) = 0; without f symbolic terms count, too."""
     if f is not None and data.terms:

@@ -52,6 +52,18 @@ class Job:
         return f"{self.name}({', '.join(map(repr, self.inputs))})"
 
 
+class Choice(Job):
+    """The second input if the first one's result is true, else the third; only the chosen one is worked out."""
+
+    def fetch(self) -> Any:
+        condition, yes, no = self.inputs
+        return (yes if condition.fetch() else no).fetch()
+
+
+def ifelse(condition: Job, yes: Job, no: Job) -> Job:
+    return Choice("ifelse", (condition, yes, no))
+
+
 def _content(value: Any) -> str:
     """What tells parameters apart: plans of tables by their meaning, anything else by its text."""
     if isinstance(value, DataFrame):
@@ -96,7 +108,7 @@ def project(job: Job, new: dict[Any, Any]) -> Job:
                 done[id(j)] = j
             else:
                 content = "" if not j.inputs and params != j.params else j._content
-                done[id(j)] = Job(j.name, tuple(inputs), params, fit=j._fit, apply=j._apply, frozen=(j._frozen or j) if j._fit else None, content=content)
+                done[id(j)] = type(j)(j.name, tuple(inputs), params, fit=j._fit, apply=j._apply, frozen=(j._frozen or j) if j._fit else None, content=content)
         return done[id(j)]
 
     return walk(job)

@@ -234,6 +234,11 @@ def p6(spark, d):
     return spark.createDataFrame([tuple(sizes)], "n_var long, n_obs long")
 
 
+@query("p16_stored_size", PS + " SELECT count(DISTINCT var_id) AS n_var, count(DISTINCT obs_id) AS n_obs FROM mat")
+def p16(spark, d):
+    return spark.createDataFrame([counts.stored_size(ps(spark, d).mat)], "n_var long, n_obs long")
+
+
 @query("p7_add_column", "SELECT p_partkey AS id, p_size * 2 AS twice FROM part")
 def p7(spark, d):
     return tables.add_column(parts(spark, d), "twice", F.col("p_size") * 2).select("id", "twice")

@@ -221,6 +221,9 @@ def test_projection_replaces_equal_jobs_and_constants(spark, tmp_path):
     assert jobs.project(job, {"elsewhere": paths[1]}) is job
     # fields, and steps above them
     assert sorted(r.id for r in jobs.project(jobs.get_obs(job), {one: jobs.source(odd)}).fetch().collect()) == want
+    small = jobs.step("is_small", lambda _, data: data.obs.count() < 16)
+    either = jobs.ifelse(small(base_of := jobs.source(even)), jobs.get_obs(base_of), jobs.source(None, content="never"))
+    assert either.fetch().count() == 15 and jobs.project(either, {base_of: jobs.source(odd)}).fetch().count() == 15
     # a frozen argument isn't replaced: selections come from the base, whatever happens to the job below
     base = jobs.source(even)
     kept = jobs.filter_var(jobs.obs_counts_sum(base, name="n"), where="n > 20")
