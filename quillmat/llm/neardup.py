@@ -4,7 +4,7 @@ Documents with equal shingle sets are one class from the start.  For the classes
 trees branch by minwise values: the first level by a full minwise hash per tree, further levels
 by values that each crowded node chooses for itself.  Small nodes are compared exhaustively on
 signatures, crowded leaves block by block around common pivots.  What looks alike is confirmed on the full sets: first
-along spanning forests, then, where a cluster of lookalikes is still apart, each part outside the largest against all of it.
+along spanning forests, then, where a cluster of lookalikes is still apart, all that share one of their rarest shingles.
 """
 
 from __future__ import annotations
@@ -170,8 +170,8 @@ def _candidates(leaves: DataFrame, sigs: DataFrame, limit: int, least: int, perc
     """
     blocks = F.when(F.col("members") <= limit, 1).otherwise(F.ceil(F.col("members") / limit * 2)).cast("int")
     rows = leaves.join(sigs, "sid").withColumn("blocks", blocks)
-    own = rows.select("node", F.pmod(F.xxhash64("sid", F.lit("block")), "blocks").cast("int").alias("block"), "sid", "sig", "n_shingles")
-    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("sid", "node"), "members") < PIVOTS)
+    own = rows.select("node", F.pmod(F.xxhash64("sid", "node"), "blocks").cast("int").alias("block"), "sid", "sig", "n_shingles")
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("sid", "node", F.lit("pivot")), "members") < PIVOTS)
     pivots = rows.filter(pivot).select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", "sig", "n_shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,17 +217,107 @@ def _crossing(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _between(pairs: DataFrame, roots: DataFrame, sets: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Links between what looks alike, directly or over others, but isn't connected yet.
+#: Counters by which shingles are ordered from rare to common; accidents only make the order a little worse.
+COUNTERS = 1 << 20
 
-    Such clusters of ``pairs`` are few and their largest component is left out: all members outside it meet all members,
-    chunk by block, on their full sets.  Of the links found in a chunk and block those are returned that connect something.
+
+def _prefixes(members: DataFrame, percent: int) -> DataFrame:
+    """(node, sid, root, n): of each set in ``members(sid, root, set)`` its rarest shingles, as many as a similar set can't all lack.
+
+    Two sets of the threshold share one of these if both follow one order.  The order is by a fixed table of hashed counts over all members, 4 MB in
+    all.  Shingles that no other set can have are left out.
     """
-    clusters = components(pairs).select(F.col("node").alias("sid"), F.col("root").alias("cluster"))
-    rows = clusters.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    rows = cut(rows)
+    spark = members.sparkSession
+    place = lambda h: ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    block = 1 << 14
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                np.add.at(table, place(np.frombuffer(s, np.uint64)), 1)
+        if table.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNTERS // block, dtype=np.int32)), pa.array([x.tobytes() for x in table.reshape(-1, block)], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+
+    kind = "block int, counts binary"
+    table = np.zeros((COUNTERS // block, block), np.int32)
+    for row in members.select("set").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).toLocalIterator():
+        table[row["block"]] = np.frombuffer(row["counts"], np.int32)
+    held = spark.sparkContext.broadcast(table.ravel())
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = held.value
+        for b in batches:
+            for sid, root, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                h = np.frombuffer(raw, np.uint64)
+                n = counts[place(h)]
+                order = np.lexsort((h, n))[: len(h) - -(-percent * len(h) // 100) + 1]
+                order = order[n[order] > 1]
+                if len(order):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), *[pa.array([x] * len(order), pa.binary()) for x in (sid, root)], pa.array(np.full(len(order), len(h)))], ["node", "sid", "root", "n"])
+
+    return members.select("sid", "root", "set").mapInArrow(rarest, "node long, sid binary, root binary, n long")
+
+
+def _apart(pairs: DataFrame, crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sid, root): the classes that may have links not found yet.
+
+    These are the clusters of what looks alike, directly or over others, and the leaves ``crowded(node, sid)`` that were only compared in blocks,
+    as far as they hold several components.
+    """
+    clusters = components(pairs).select(F.col("root").alias("cluster"), F.col("node").alias("sid"))
+    both = clusters.union(crowded.select(F.xxhash64("node").cast("string").cast("binary"), "sid"))
+    rows = cut(both.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    mixed = rows.groupBy("cluster").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("cluster")
+    return rows.join(mixed, "cluster").select("sid", "root").distinct()
+
+
+def _between(members: DataFrame, sets: DataFrame, limit: int, percent: int) -> DataFrame:
+    """All links between different components of ``members(sid, root)``, or as many as connect them.
+
+    Members meet where they share one of their rarest shingles (see ``_prefixes``): in groups of up to ``limit`` those of
+    different components as candidates for ``confirm``.  Larger groups, of sets that have hardly a shingle of their own, are joined to families and these
+    compared on full sets, chunk by block, all outside a family's largest component with all members; of the links found in a
+    chunk and block those are returned that connect something.
+    """
+    shared = cut(_prefixes(members.join(sets, "sid"), percent))
+    groups = shared.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("node", "members")
+    met = cut(shared.join(groups, "node"))
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts, ends in _groups(batches, 1):
+            sid, root, n = t.column(1).to_pylist(), t.column(2).to_pylist(), t.column(3).to_numpy()
+            found = set()
+            for s, e in zip(starts, ends, strict=True):
+                number = {r: k for k, r in enumerate(dict.fromkeys(root[s:e]))}
+                of, size = np.array([number[r] for r in root[s:e]]), n[s:e]
+                may = (of[:, None] < of[None]) & (100 * np.minimum(size[:, None], size[None]) >= percent * np.maximum(size[:, None], size[None]))
+                found |= {(sid[s + i], sid[s + j]) if sid[s + i] < sid[s + j] else (sid[s + j], sid[s + i]) for i, j in zip(*np.nonzero(may), strict=True)}
+            if found:
+                yield _pairs_batch(list(found))
+
+    small = met.filter(F.col("members") <= limit).select("node", "sid", "root", "n").repartition("node").sortWithinPartitions("node")
+    links = confirm(cut(small.mapInArrow(cross, PAIRS).distinct()), sets, percent)
+    large = met.filter(F.col("members") > limit)
+    if not large.head(1):
+        return links
+    # sets that share such a group, directly or over others, are compared once, in however many groups they meet
+    families = components(large.select(F.col("sid").alias("a"), F.concat(F.lit("shingle "), F.col("node").cast("string")).cast("binary").alias("b")))
+    rows = large.select("sid", "root").distinct().join(families.select(F.col("node").alias("sid"), F.col("root").alias("cluster")), "sid")
+    return links.union(_compared(cut(rows), sets, 2 * limit, percent))
+
+
+def _compared(rows: DataFrame, sets: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Links between components of each cluster in ``rows(cluster, sid, root)``, from comparing full sets."""
     per = rows.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("k"))
-    mixed = per.groupBy("cluster").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("c"), F.sum("k").alias("members"), (F.sum("k") - F.max("k")).alias("others")).filter("c > 1")
+    mixed = per.groupBy("cluster").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("members"), (F.sum("k") - F.max("k")).alias("others"))
     rows = rows.join(mixed, "cluster").withColumn("blocks", F.ceil(F.col("members") / limit).cast("int")).withColumn("chunks", F.ceil(F.col("others") / limit).cast("int"))
     rows = rows.join(sets, "sid")
     block, chunk = F.pmod(F.xxhash64("sid", F.lit("b")), "blocks").cast("int"), F.pmod(F.xxhash64("sid", F.lit("c")), "chunks").cast("int")
@@ -300,13 +390,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
     ``shingle`` words, or the whole sequence of a shorter text.  Two documents are linked if ``100 * intersection >= percent *
     union``; component_id is the smallest doc_id reachable, and kept says whether it is the row's own.
 
-    A pair at the threshold fails to meet in one tree with probability under 0.25 and in all ``trees`` under 1e-6;
-    fewer than ``least`` of 128 agreeing coordinates, with which a pair doesn't look alike, it has with about 1e-5.
-    No node, block or group is capped.
+    A pair at the threshold fails to meet in one tree with probability under 0.25 where its nodes are small, and in all ``trees`` under
+    1e-6; fewer than ``least`` of 128 agreeing coordinates, with which a pair doesn't look alike, it has with about 1e-5.  Nodes still
+    crowded after ``depth`` levels are compared block by block and with pivots first, then exactly: all their members and all
+    clusters of lookalikes that are still apart meet on their rarest shingles.  No node, block or group is capped.
 
     Null, empty or blank text: an empty set, linked with nothing, kept.  Null doc_id: the row takes part, and its component is
     named by the others; alone its component_id is null and it is kept.  Repeated rows: same component, each kept
-    if its doc_id is the least.  Empty table: empty result.
+    if its doc_id is the least.  Ties: the least doc_id names a component, so there are none.  Very long texts are sketched whole, one at a
+    time.  Empty table: empty result.
     """
     out = _labelled(docs, shingle, percent, trees, limit, depth, least)
     component = F.coalesce("component_id", "doc_id")
@@ -325,13 +417,16 @@ def _labelled(docs: DataFrame, shingle: int, percent: int, trees: int, limit: in
     sigs = classes.select("sid", "sig", "n_shingles")
     leaves = _leaves(classes, limit, depth)
     pairs = cut(_candidates(leaves, sigs, limit, least, percent))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(classes.select("sid", "doc_id"), "sid")
-    sets = stored(_texts_to_sets(own, wanted, shingle))
+    crowded = leaves.filter(F.col("members") > limit).select("node", "sid")
+    alike = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(crowded.select("sid")).distinct()
+    sets = stored(_texts_to_sets(own, alike.join(classes.select("sid", "doc_id"), "sid"), shingle))
     links = cut(confirm(pairs, sets, percent))
     roots = cut(components(links))
-    more = cut(_between(pairs, roots, sets, limit, percent))
-    if more.head(1):
-        roots = cut(components(links.union(more)))
+    apart = cut(_apart(pairs, crowded, roots))
+    if apart.head(1):
+        more = cut(_between(apart, sets, limit, percent))
+        if more.head(1):
+            roots = cut(components(links.union(more)))
     discard(sets)
     labels = roots.select(F.col("node").alias("sid"), "root")
     per = least_id.join(labels, "sid", "left").select("sid", "doc_id", F.coalesce("root", "sid").alias("root"))
@@ -358,7 +453,8 @@ def one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees:
     """The rows of ``docs`` with one of each near-duplicate component: that of the least doc_id and digest of its text.
 
     Rows go by doc_id and text, not by doc_id alone; of equal rows one stays, too.  Of a component's rows with a null doc_id one
-    stays beside the named one, that of the least digest.  Rows without words are kept.
+    stays beside the named one, that of the least digest.  Rows without words (null, empty or blank texts) are kept.  Very long texts as in
+    :func:`near_duplicates`.  Ties: doc_id, then digest, decide.  Empty table: empty result.
     """
     rows = _labelled(docs, shingle, percent, trees, limit, depth, least, keyed=True).filter("root is not null")
     per = cut(rows.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")))

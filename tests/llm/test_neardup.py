@@ -72,10 +72,11 @@ def test_empty_and_rows_kept(spark):
     assert kept.columns == none.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "8", "9", "None"]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [250_000, 100])  # one part, and several
+def test_components(spark, per_task):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + rng.randrange(50), 2000 + rng.randrange(50)) for _ in range(40)] + [(7, 7), (None, 3)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), per_task=per_task).collect()}
     assert all(got[i] == 0 for i in range(301)) and all(got[1000 + i] == 1000 for i in range(200))
     for a, b in links[500:-2]:
         if a != b:
