@@ -289,7 +289,7 @@ def _between(members: DataFrame, sets: DataFrame, limit: int, percent: int) -> D
     """
     shared = cut(_prefixes(members.join(sets, "sid"), percent))
     groups = shared.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("node", "members")
-    met = cut(shared.join(groups, "node"))
+    met = cut(shared.join(cut(groups), "node"))  # counted apart, so that Spark may split a crowded group
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts, ends in _groups(batches, 1):
