@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, each over its whole table with production parameters."""
+"""The registered queries of the operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmat.llm import chat, decontaminate, fingerprint, language, mixing, mixmodel, neardup, quality, sharding, warc
+from quillmat.llm import chat, decontaminate, fingerprint, infill, language, mixing, mixmodel, neardup, packing, quality, sharding, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,6 +191,38 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM l GROUP BY 1
 """
 
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = found.select("vec_id", "n", "deviation", "identity_error", "explained", F.posexplode("whitened").alias("pos", "whitened"))
+    return each.select("vec_id", (F.col("pos") + 1).cast("int").alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("pos")).alias("explained"), "identity_error")
+
+
+def op12_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+r AS (
+  SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS b,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS made, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS kind FROM d),
+f AS (
+  SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR made >= 90 THEN 'plain' WHEN kind < 20 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(units[greatest(a, b) + 1:], '') AS suffix FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM f
+"""
+
 QUERIES = {
     "op1_bm25_decontamination": op1_bm25_decontamination,
     "op2_warc_revisits": op2_warc_revisits,
@@ -202,5 +234,8 @@ QUERIES = {
     "op8_hash_tree_shards": op8_hash_tree_shards,
     "op9_context_mixing": op9_context_mixing,
     "op10_chat_format": op10_chat_format,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_differencing_packing": op12_differencing_packing,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL = {"op2_warc_revisits": OP2_SQL, "op3_source_mixing": OP3_SQL, "op6_chosen_path_near_dups": OP6_SQL, "op8_hash_tree_shards": OP8_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL = {"op2_warc_revisits": OP2_SQL, "op3_source_mixing": OP3_SQL, "op6_chosen_path_near_dups": OP6_SQL, "op8_hash_tree_shards": OP8_SQL, "op10_chat_format": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
