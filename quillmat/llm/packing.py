@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,19 +27,50 @@ from quillmat.llm.textbuf import chunks
 WINDOW, END = 2048, 1
 #: Rests are cut into pieces of so many tokens, since small ones even out; a group fills about so many windows.
 PIECE, GROUP = 512, 256
-#: Words that a Python worker remembers, and their longest length.
+#: Words and parts of words that a Python worker remembers (twice as many for a while), and their longest length.
 WORDS, WORD = 400_000, 48
 #: A space beside other white space isn't the start of a word of its own.
-_WIDE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Letters, digits and white space up to the last code point that the short way knows, and what a byte-level vocabulary splits such text into before it merges.
+_LAST = "ɏ"
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe", r" \t-\r\x85\xa0"
+_PARTS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_L}{_N}{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+def _letters() -> dict[int, str]:
+    """The letters that stand for the bytes of a code point: printable bytes for themselves, the others for those from 256 on."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in printed)
+    of = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in range(ord(_LAST) + 1)}
+
+
+_LETTERS = _letters()
 _encoders: dict[int, Encoder] = {}
 
 
+class Memory(dict):
+    """Values by word.  A full one is set aside; what is asked for again comes back from there, the rest goes with the next one."""
+
+    def __init__(self):
+        super().__init__()
+        self.aside: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self) > WORDS:
+            self.aside = dict(self)
+            self.clear()
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = value = self.aside[word]
+        return value
+
+
 class Encoder:
     """Ids of texts, as little-endian bytes.
 
     Byte-level vocabularies split a text before every single space between characters that aren't white space, so what lies between two such
-    spaces is encoded alone, and once.
+    spaces is encoded alone, and once.  Of a new word in Latin letters the parts that merges never cross are encoded alone, too.
     """
 
     def __init__(self, vocabulary: str):
@@ -47,26 +79,41 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.words, self.parts = Memory(), Memory()
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _merged(self, part: str) -> bytes:
+        try:
+            return self.parts[part]
+        except KeyError:
+            ids = [k.id for k in self.tokenizer.model.tokenize(part.translate(_LETTERS))]
+            self.parts[part] = value = struct.pack(f"<{len(ids)}I", *ids)
+            return value
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        self.parts.turn()
+        out = [b"".join(map(self._merged, _PARTS.findall(t))) if len(t) <= WORD and (t.isascii() or max(t) <= _LAST) else None for t in texts]
+        others = iter(self._whole([t for t, b in zip(texts, out, strict=True) if b is None]))
+        return [next(others) if b is None else b for b in out]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > WORDS:
-            known.clear()
-        heads, split = [], []
-        for t in texts:
-            head, *words = _CUT.split(t) if t[:1] == " " or t[-1:] == " " or _WIDE.search(t) else t.split(" ")
-            heads.append(head)
-            split.append(words)
-        fresh = [w for w in set().union(*split) if w not in known]
-        new = dict(zip(fresh, self._encoded([" " + w for w in fresh]), strict=True))
-        known.update((w, b) for w, b in new.items() if len(w) <= WORD)
-        out = []
-        for head, words in zip(self._encoded(heads), split, strict=True):
-            out.append(head + b"".join([known[w] if w in known else new[w] for w in words]))
+        words = self.words
+        words.turn()
+        split = [t.split(" ") for t in texts]
+        fresh = [w for w in set().union(*[s[1:] for s in split]) if w not in words]
+        unclean = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace()}
+        if unclean or any(not s[0] or s[0][-1].isspace() for s in split):
+            split = [_CUT.split(t) if not s[0] or s[0][-1].isspace() or not unclean.isdisjoint(s[1:]) else s for t, s in zip(texts, split, strict=True)]
+            fresh = [w for w in set().union(*[s[1:] for s in split]) if w not in words]
+        fresh = [w for w in fresh if w not in words.aside]
+        words.update(zip(fresh, self._encoded([" " + w for w in fresh]), strict=True))
+        heads = self._encoded([s[0] for s in split])
+        out = [head + b"".join(map(words.__getitem__, s[1:])) for head, s in zip(heads, split, strict=True)]
+        for w in fresh:
+            if len(w) > WORD:
+                del words[w]
         return out
 
 

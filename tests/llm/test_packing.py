@@ -20,7 +20,7 @@ def tokenizer():
 
 def test_encoder_gives_the_ids_of_whole_texts(tokenizer):
     rng = random.Random(0)
-    parts = ["word", "don't", "'s", " ", "  ", "\n", "\n\n", "\t", " ", " ", "　", "\x85", "\x1c", "é", "12", ",", "...", "<|endoftext|>", "\U0001f600", "日本", "ß", "x" * 60, "\r\n", "_"]
+    parts = ["word", "don't", "'s", " ", "  ", "\n", "\n\n", "\t", " ", " ", "　", "\x85", "\x1c", "é", "12", ",", "...", "<|endoftext|>", "\U0001f600", "日本", "ß", "x" * 60, "\r\n", "_", "àÿ×÷", "²½", "ªº", "ſǅɏ", "ɐ", "\x7f\x00", "¿¡", "\xa0", "\xad", "naïve", "жук"]
     texts = ["", " ", "  a", "a ", "a  b", " a b", "a b ", "a 's b"] + ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
     code = packing.Encoder(open(packing.VOCABULARY, encoding="utf-8").read())
     for part in (texts, texts[::-1], ["a b c"] * 5):
