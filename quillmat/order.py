@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,3 +34,13 @@ def numbered(df: DataFrame, *by: Column | str, to: str = "ord") -> DataFrame:
     """
     at = df.orderBy(*by).withColumn("_at", F.monotonically_increasing_id()).persist()
     return _with_offsets(at, to)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A narrow table worked out now, once, by a reliable checkpoint below spark.checkpoint.dir, so that all its readers see the same rows."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir() and not context.getConf().get("spark.checkpoint.dir", None):
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillmat-"))
+    return df.checkpoint()

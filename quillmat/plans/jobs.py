@@ -7,51 +7,117 @@ data stays as it was: like an estimator and its model, for every step at once.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmat.datamatrix import DataMatrix
 from quillmat.operators import counts, design, filters, neighbors, reduce, stats, tables, transforms
+from quillmat.plans.store import default_store
 from quillmat.sources import readers
 
 
+class Fields:
+    """A job seen field by field: asking for ``mat``, ``var``, ``obs`` or a key works out no more than that."""
+
+    def __init__(self, job: Job):
+        self.job = job
+
+    def __getattr__(self, name: str) -> Any:
+        return self.job.field(name)
+
+
 class Job:
     """A step: inputs, parameters, ``fit(*inputs, **params) -> state`` and ``apply(state, *inputs, **params) -> result``.
 
-    Results and states are made once per job.  Equal steps on equal inputs have equal fingerprints.
+    States and results are made once per job; states are written to the store of ``plans.store`` and read from there, so a
+    fit stays what it was, whatever reads it.  Equal steps on equal inputs have equal fingerprints.
     """
 
-    def __init__(self, name: str, inputs: tuple = (), params: dict | None = None, *, fit: Callable | None = None, apply: Callable | None = None, frozen: Job | None = None, content: str = ""):
+    def __init__(self, name: str, inputs: tuple = (), params: dict | None = None, *, step: Step | None = None, origin: Job | None = None, content: str = "", lasting: bool = True):
         self.name, self.inputs, self.params = name, tuple(inputs), params or {}
-        self._fit, self._apply, self._frozen, self._content = fit, apply, frozen, content
+        self.step, self.origin, self._content, self._lasting = step or Step(), origin, content, lasting
         self._state: Any = None
         self._result: Any = None
+        self._fields: dict[str, Any] = {}
 
     def state(self) -> Any:
-        if self._frozen is not None:
-            return self._frozen.state()
-        if self._state is None and self._fit is not None:
-            self._state = self._fit(*[i.fetch() for i in self.inputs], **self.params)
+        """What was fitted: on the base's inputs, if this is a projected job."""
+        if self.origin is not None:
+            return self.origin.state()
+        if self._state is None and self.step.fit is not None:
+            address, lasting = self.address(of_state=True)
+            make = lambda: self.step.fit(*[Fields(i) if self.step.light else i.fetch() for i in self.inputs], **self.params)
+            spark = SparkSession.getActiveSession()
+            self._state = default_store(spark, lasting).keep(address, make, f"{self.name} state") if spark and self.step.keep else make()
         return self._state
 
     def fetch(self) -> Any:
         if self._result is None:
-            self._result = self._apply(self.state(), *[i.fetch() for i in self.inputs], **self.params)
+            made = self.step.base if self.origin is None and self.step.base is not None else self.step.apply
+            given = self.state if made is self.step.base else self.state()
+            self._result = made(given, *[i.fetch() for i in self.inputs], **self.params)
         return self._result
 
+    def field(self, name: str) -> Any:
+        """One field of a matrix: by the step's own rule for it, from the first input if the step leaves it alone, else from the whole result."""
+        if self._result is None and name not in self._fields:
+            if (rule := self.step.fields.get(name)) is not None:
+                self._fields[name] = rule(self.state, *map(Fields, self.inputs), **self.params)
+            elif name in self.step.leaves:
+                self._fields[name] = self.inputs[0].field(name)
+        return self._fields[name] if name in self._fields else getattr(self.fetch(), name)
+
     def fingerprint(self) -> str:
-        own = "|".join([self.name, _content(self.params), self._content, *[i.fingerprint() for i in self.inputs], self._frozen.fingerprint() if self._frozen else ""])
+        """What tells jobs of this session apart."""
+        own = "|".join([self.name, _content(self.params), self._content, *[i.fingerprint() for i in self.inputs], self.origin.fingerprint() if self.origin else ""])
         return hashlib.sha256(own.encode()).hexdigest()
 
+    def address(self, of_state: bool = False) -> tuple[str, bool]:
+        """A digest of everything that the job (or its state) follows from, and whether it means the same to other sessions."""
+        lasting = [self._lasting]
+        parts = [VERSION, (self.step.fitted_as or self.name) if of_state else self.name, _lasting_content(self.params, lasting), self._content]
+        for i in [*self.inputs, *([self.origin] if self.origin else [])]:
+            own, known = i.address()
+            parts.append(own)
+            lasting.append(known)
+        return hashlib.sha256("|".join(parts).encode()).hexdigest() + ("-state" if of_state else ""), all(lasting)
+
     def __repr__(self) -> str:
         return f"{self.name}({', '.join(map(repr, self.inputs))})"
 
 
+@dataclass(frozen=True)
+class Step:
+    """How a kind of job works.
+
+    ``base`` replaces ``apply`` on the data it was fitted on, and gets a function that gives the state.  ``frozen`` names the arguments (inputs by
+    number, parameters by name) that projection leaves as they are; it follows all others.  ``leaves`` are fields that pass through
+    unchanged, ``fields`` rules that make a field without the others.  A ``light`` fit gets its inputs field by field.  States of steps with the same
+    ``fitted_as``, inputs and parameters are one; ``keep`` False keeps a state out of the store.
+    """
+
+    fit: Callable | None = None
+    apply: Callable | None = None
+    base: Callable | None = None
+    frozen: tuple = ()
+    leaves: tuple = ()
+    fields: dict[str, Callable] = field(default_factory=dict)
+    light: bool = False
+    fitted_as: str = ""
+    keep: bool = True
+
+
+#: Part of every address; a change of what fits mean must change it.
+VERSION = "1"
+
+
 class Choice(Job):
     """The second input if the first one's result is true, else the third; only the chosen one is worked out."""
 
@@ -75,18 +141,58 @@ def _content(value: Any) -> str:
     return f"{type(value).__name__} {value!r}" if not callable(value) else f"function {id(value)}"
 
 
+def _lasting_content(value: Any, lasting: list[bool]) -> str:
+    """As ``_content``, but of functions what they do; appends False for what another session can't recognize."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{k}:{_lasting_content(v, lasting)}" for k, v in sorted(value.items())) + "}"
+    if isinstance(value, (list, tuple)):
+        return "(" + ",".join(_lasting_content(v, lasting) for v in value) + ")"
+    code = getattr(value, "__code__", None)
+    if code is not None and not value.__closure__ and not value.__defaults__ and not any(hasattr(c, "co_code") for c in code.co_consts):
+        return f"function {value.__module__} {code.co_code.hex()} {code.co_consts!r} {code.co_names!r}"
+    if callable(value) or isinstance(value, DataFrame):
+        lasting.append(False)
+    elif not isinstance(value, bool | int | float | str | range | type(None)):
+        lasting.append(" at 0x" not in repr(value) and not isinstance(value, Column))
+    return _content(value)
+
+
 def source(value: DataMatrix | DataFrame, name: str = "source", content: str = "") -> Job:
-    """A leaf; ``content`` (a path with size and time, say) tells leaves apart, by default the object itself does."""
-    return Job(name, (), {}, apply=lambda _: value, content=content or str(id(value)))
+    """A leaf; ``content`` (a path with size and time, say) tells leaves apart in all sessions, by default the object itself does, in this one.
+
+    What is fitted on a leaf without content is stored for this session only.
+    """
+    own = content or f"object {next(_numbers)}"
+    return Job(name, (), {}, step=Step(apply=lambda _: value), content=own, lasting=bool(content))
+
+
+_numbers = itertools.count()
+
+
+def fields_source(content: str, **fields: Callable[[], Any]) -> Job:
+    """A leaf whose fields (mat, var, obs, and keys other than ``id``) are made when they are asked for, each by its own function."""
+    held = {"var_key": lambda: "id", "obs_key": lambda: "id", "terms": lambda: (), **fields}
+    rules = {n: (lambda _, f=f: f()) for n, f in held.items()}
+    whole = lambda _: DataMatrix(*[held[n]() for n in ("mat", "var", "obs", "var_key", "obs_key", "terms")])
+    return Job("fields", (), {}, step=Step(apply=whole, fields=rules), content=content)
 
 
 def file_source(spark: SparkSession, path: str, read: Callable[[SparkSession, str], Any]) -> Job:
     """A leaf read from a file; the file's path, size and time tell it apart, and ``project`` replaces it by its path."""
-    return Job("file", (), {"path": path}, apply=lambda _, path: read(spark, path), content=f"{id(read)}|{readers.file_fingerprint(spark, path)}")
+    lasting: list[bool] = []
+    reader = _lasting_content(read, lasting)
+    return Job("file", (), {"path": path}, step=Step(apply=lambda _, path: read(spark, path)), content=f"{reader}|{readers.file_fingerprint(spark, path)}", lasting=all(lasting))
+
+
+def matrix_source(spark: SparkSession, path: str, *, var_key: str = "id", obs_key: str = "id") -> Job:
+    """A leaf read from a folder that ``readers.save`` wrote, field by field."""
+    rules = {n: (lambda _, path, n=n: spark.read.parquet(f"{path}/{n}")) for n in ("mat", "var", "obs")}
+    rules |= {"var_key": lambda _, path: var_key, "obs_key": lambda _, path: obs_key, "terms": lambda _, path: ()}
+    return Job("matrix", (), {"path": path}, step=Step(apply=lambda _, path: readers.load(spark, path, var_key=var_key, obs_key=obs_key), fields=rules), content=f"{var_key}|{obs_key}|{readers.file_fingerprint(spark, path)}")
 
 
 def project(job: Job, new: dict[Any, Any]) -> Job:
-    """The pipeline with some of its jobs replaced; every step above a replaced one keeps its fitted state.
+    """The pipeline with some of its jobs replaced; every step above a replaced one keeps its fitted state and its frozen arguments.
 
     A job is replaced by the value of an equal one (of the same fingerprint) among the keys.  Other keys, such as paths, replace
     equal parameters of jobs.
@@ -103,27 +209,34 @@ def project(job: Job, new: dict[Any, Any]) -> Job:
             if (found := jobs.get(j.fingerprint())) is not None:
                 done[id(j)] = found
                 return found
-            inputs, params = [walk(i) for i in j.inputs], {k: changed(v) for k, v in j.params.items()}
+            inputs = [i if k in j.step.frozen else walk(i) for k, i in enumerate(j.inputs)]
+            params = {k: v if k in j.step.frozen else changed(v) for k, v in j.params.items()}
             if all(a is b for a, b in zip(inputs, j.inputs, strict=True)) and all(params[k] is v for k, v in j.params.items()):
                 done[id(j)] = j
             else:
                 content = "" if not j.inputs and params != j.params else j._content
-                done[id(j)] = type(j)(j.name, tuple(inputs), params, fit=j._fit, apply=j._apply, frozen=(j._frozen or j) if j._fit else None, content=content)
+                done[id(j)] = type(j)(j.name, tuple(inputs), params, step=j.step, origin=(j.origin or j) if j.step.fit else None, content=content, lasting=j._lasting)
         return done[id(j)]
 
     return walk(job)
 
 
-def step(name: str, apply: Callable, fit: Callable | None = None) -> Callable[..., Job]:
-    """A constructor of jobs: positional arguments are input jobs, keywords parameters."""
+def step(name: str, apply: Callable, fit: Callable | None = None, **how) -> Callable[..., Job]:
+    """A constructor of jobs: positional arguments are input jobs, keywords parameters; ``how``: see :class:`Step`."""
 
     def make(*inputs: Job, **params) -> Job:
-        return Job(name, inputs, params, fit=fit, apply=apply)
+        return Job(name, inputs, params, step=made)
 
+    made = Step(fit=fit, apply=apply, **how)
     make.__name__ = name
     return make
 
 
+def apply_job(f: Callable, *inputs: Job, frozen: tuple = (), **params) -> Job:
+    """A step of one's own: ``f(*results, **params)``; projection leaves the inputs numbered, and the parameters named, in ``frozen`` as they are."""
+    return Job(f"apply {getattr(f, '__qualname__', f)}", inputs, params, step=Step(apply=lambda _, *a, **k: f(*a, **k), frozen=tuple(frozen)), content=_content(f))
+
+
 def _ids(table: DataFrame) -> DataFrame:
     return tables.id_column(table)
 
@@ -149,45 +262,90 @@ def _semi(ids):
     return (ids.select(tables.id_name(ids), F.lit(True).alias("_in"), "ord"), lambda c: c.isNotNull())
 
 
+def _rows(side: str, get_state, data, where, project_ids):
+    """The filtered table alone; on the base it is what the predicate admits, as in the projection by these identifiers."""
+    table = getattr(data, side)
+    if project_ids == "no":
+        return filters.select_rows(table, where)
+    return tables.lookup(get_state(), table, missing="error" if project_ids == "yes" else "skip")
+
+
 # Frozen on the base: identifiers of selected variables.  Observations are always selected anew.
-filter_var = step("filter_var", _filter_var, lambda data, where, project_ids="intersect": _ids(filters.select_rows(data.var, where)) if project_ids != "no" else None)
-filter_obs = step("filter_obs", _filter_obs, lambda data, where, project_ids="no": _ids(filters.select_rows(data.obs, where)) if project_ids != "no" else None)
-subset_var = step("subset_var", lambda _, data, ids: filters.subset_var(data, ids))
-subset_obs = step("subset_obs", lambda _, data, ids: filters.subset_obs(data, ids))
-get_matrix = step("get_matrix", lambda _, data: data.mat)
-get_var = step("get_var", lambda _, data: data.var)
-get_obs = step("get_obs", lambda _, data: data.obs)
+filter_var = step(
+    "filter_var", _filter_var, lambda data, where, project_ids="intersect": _ids(filters.select_rows(data.var, where)) if project_ids != "no" else None,
+    light=True, leaves=("obs", "var_key", "obs_key"), fields={"var": lambda s, data, where, project_ids="intersect": _rows("var", s, data, where, project_ids)},
+)
+filter_obs = step(
+    "filter_obs", _filter_obs, lambda data, where, project_ids="no": _ids(filters.select_rows(data.obs, where)) if project_ids != "no" else None,
+    light=True, leaves=("var", "var_key", "obs_key"), fields={"obs": lambda s, data, where, project_ids="no": _rows("obs", s, data, where, project_ids)},
+)
+subset_var = step("subset_var", lambda _, data, ids: filters.subset_var(data, ids), leaves=("obs", "var_key", "obs_key"), fields={"var": lambda _, data, ids: tables.lookup(ids, data.var)})
+subset_obs = step("subset_obs", lambda _, data, ids: filters.subset_obs(data, ids), leaves=("var", "var_key", "obs_key"), fields={"obs": lambda _, data, ids: tables.lookup(ids, data.obs)})
+
+
+class Field(Job):
+    """One field of its input, worked out without the others where the steps below allow it; projection reaches through it."""
+
+    def fetch(self) -> Any:
+        if self._result is None:
+            self._result = self.inputs[0].field(self.name.removeprefix("get_"))
+        return self._result
+
+
+def get_matrix(data: Job) -> Job:
+    return Field("get_mat", (data,))
+
+
+def get_var(data: Job) -> Job:
+    return Field("get_var", (data,))
+
+
+def get_obs(data: Job) -> Job:
+    return Field("get_obs", (data,))
 
 
 def _at_positions(side: str) -> Callable[..., Job]:
     """Rows by number.  Numbers mean nothing in another table, so under projection its identifiers must be the same, in the same order."""
     ids = lambda data: tables.id_column(getattr(data, side))
 
+    subset = filters.subset_var if side == "var" else filters.subset_obs
+
     def apply(base, data, positions):
         own = ids(data)
-        if base is not data and (own.exceptAll(ids(base)).head(1) or ids(base).exceptAll(own).head(1)):
+        if own.exceptAll(base).head(1) or base.exceptAll(own).head(1):
             raise ValueError("positions can't be projected to other identifiers")
-        subset = filters.subset_var if side == "var" else filters.subset_obs
         return subset(data, tables.at_positions(own, positions))
 
-    return step(f"{side}_at_positions", apply, lambda data, positions: data)
+    on_base = lambda _, data, positions: subset(data, tables.at_positions(ids(data), positions))
+    return step(f"{side}_at_positions", apply, lambda data, positions: ids(data), base=on_base, light=True)
+
+
+_TABLES = ("var", "obs", "var_key", "obs_key")
+_ALL_BUT_VAR, _ALL_BUT_OBS = ("mat", "obs", "var_key", "obs_key", "terms"), ("mat", "var", "var_key", "obs_key", "terms")
+
+
+def _with_idf(get_state, data, annotate=False, **_):
+    return data.var.join(get_state().withColumnRenamed("var_id", data.var_key), data.var_key) if annotate else data.var
 
 
 var_at_positions, obs_at_positions = _at_positions("var"), _at_positions("obs")
-var_counts_sum = step("var_counts_sum", lambda s, data, name, where=None, f=None: counts.var_counts_sum(data, name, _semi(s["where"]) if s else None, f), _selected)
-var_counts_fraction = step("var_counts_fraction", lambda s, data, name, part, total=None: counts.var_counts_fraction(data, name, _semi(s["part"]), _semi(s["total"]) if "total" in s else None), _selected)
-obs_counts_sum = step("obs_counts_sum", lambda _, data, name, where=None, f=None: counts.obs_counts_sum(data, name, where, f))
-obs_counts_fraction = step("obs_counts_fraction", lambda _, data, name, part, total=None: counts.obs_counts_fraction(data, name, part, total))
-annotate_var = step("annotate_var", lambda _, data, table: data.with_var(tables.left_join(data.var, table)))
-annotate_obs = step("annotate_obs", lambda _, data, table: data.with_obs(tables.left_join(data.obs, table)))
-log_transform = step("log_transform", lambda _, data, **k: transforms.log_transform(data, **k))
-tf_idf_transform = step("tf_idf_transform", lambda idf, data, **k: transforms.tf_idf_transform(data, idf=idf, **k), lambda data, **_: transforms.inverse_frequencies(data))
-transpose = step("transpose", lambda _, data: data.transposed())
+var_counts_sum = step("var_counts_sum", lambda s, data, name, where=None, f=None: counts.var_counts_sum(data, name, _semi(s["where"]) if s else None, f), _selected, light=True, leaves=_ALL_BUT_OBS)
+var_counts_fraction = step("var_counts_fraction", lambda s, data, name, part, total=None: counts.var_counts_fraction(data, name, _semi(s["part"]), _semi(s["total"]) if "total" in s else None), _selected, light=True, leaves=_ALL_BUT_OBS)
+obs_counts_sum = step("obs_counts_sum", lambda _, data, name, where=None, f=None: counts.obs_counts_sum(data, name, where, f), leaves=_ALL_BUT_VAR)
+obs_counts_fraction = step("obs_counts_fraction", lambda _, data, name, part, total=None: counts.obs_counts_fraction(data, name, part, total), leaves=_ALL_BUT_VAR)
+annotate_var = step("annotate_var", lambda _, data, table: data.with_var(tables.left_join(data.var, table)), leaves=_ALL_BUT_VAR, fields={"var": lambda _, data, table: tables.left_join(data.var, table)})
+annotate_obs = step("annotate_obs", lambda _, data, table: data.with_obs(tables.left_join(data.obs, table)), leaves=_ALL_BUT_OBS, fields={"obs": lambda _, data, table: tables.left_join(data.obs, table)})
+log_transform = step("log_transform", lambda _, data, **k: transforms.log_transform(data, **k), leaves=_TABLES)
+tf_idf_transform = step("tf_idf_transform", lambda idf, data, **k: transforms.tf_idf_transform(data, idf=idf, **k), lambda data, **_: transforms.inverse_frequencies(data), leaves=("obs", "var_key", "obs_key"), fields={"var": _with_idf})
+transpose = step(
+    "transpose", lambda _, data: data.transposed(),
+    fields={"var": lambda _, data: data.obs, "obs": lambda _, data: data.var, "var_key": lambda _, data: data.obs_key, "obs_key": lambda _, data: data.var_key},
+)
 
 
-def _fit_sct(data, **k):
-    fitted = transforms.sctransform(data, **k)
-    return fitted.var.select(F.col(fitted.var_key).alias("var_id"), "log_mean", "beta0", "beta1", "theta"), data.obs.count()
+def _fit_sct(data, var_where=None, min_cells=5, **_):
+    totals = transforms.observation_totals(data, var_where)
+    return transforms.fitted_parameters(data, totals, min_cells).drop("outlier"), totals.count()
 
 
 sctransform = step("sctransform", lambda s, data, **k: transforms.sctransform(data, params=s[0], base_n=s[1], **k), _fit_sct)
@@ -198,9 +356,9 @@ def _fit_norm(data, covariates=(), center=True, rtol=None):
     return d, design.negative_regression(data, d, rtol=rtol)
 
 
-normalize_matrix = step("normalize_matrix", lambda s, data, covariates=(), center=True, rtol=None: design.normalize(data, design=s[0], beta=s[1]), _fit_norm)
-negative_regression = step("negative_regression", lambda s, data, covariates=(), center=True, rtol=None: s[1], _fit_norm)
-design_matrix = step("design_matrix", lambda s, data, covariates=(), **_: s.rows(data.obs, data.obs_key), lambda data, covariates=(), **k: design.fit_design(data.obs, *covariates, **k))
+normalize_matrix = step("normalize_matrix", lambda s, data, covariates=(), center=True, rtol=None: design.normalize(data, design=s[0], beta=s[1]), _fit_norm, fitted_as="regression", leaves=("mat", *_TABLES))
+negative_regression = step("negative_regression", lambda s, data, covariates=(), center=True, rtol=None: s[1], _fit_norm, fitted_as="regression")
+design_matrix = step("design_matrix", lambda s, data, covariates=(), **_: s.rows(data.obs, data.obs_key), lambda data, covariates=(), **k: design.fit_design(data.obs, *covariates, **k), light=True)
 
 
 def _spread(name: str) -> Callable[..., Job]:
@@ -208,69 +366,59 @@ def _spread(name: str) -> Callable[..., Job]:
     f = {"variance": counts.variance, "std": counts.std, "relative_std": counts.relative_std}[name]
 
     def fit(data, project="no", **k):
-        done = f(data, **k)
-        return data, done, tables.annotation(done.var, k.get("name", name))
+        return tables.annotation(f(data, **k).var, k.get("name", name))
 
-    def apply(state, data, project="no", **k):
-        base, done, column = state
+    def apply(column, data, project="no", **k):
         if project not in ("yes", "no"):
             raise ValueError(f"unknown mode {project!r}")
-        if data is base:
-            return done
         return f(data, **k) if project == "yes" else data.with_var(tables.left_join(data.var, column))
 
-    return step(name, apply, fit)
+    on_base = lambda state, data, project="no", **k: data.with_var(tables.left_join(data.var, state())) if project in ("yes", "no") else apply(None, data, project)
+    return step(name, apply, fit, base=on_base, leaves=_ALL_BUT_VAR)
 
 
 variance, std, relative_std = map(_spread, ("variance", "std", "relative_std"))
 
 
-def _svd(state, data, **_):
-    factors, base = state
-    if data is base:
-        return factors
+def _svd(factors, data, **_):
     scores = reduce.project_scores(factors, data)
     return reduce.Factors(factors.u, factors.s, scores.select("obs_id", reduce._combine("x", np.diag(1 / np.maximum(factors.s, 1e-100))).alias("v")))
 
 
-def _scores(state, data, **_):
-    factors, base = state
-    if data is base:
-        return factors.v.select("obs_id", reduce._combine("v", np.diag(factors.s)).alias("x"))
-    return reduce.project_scores(factors, data)
+def _base_scores(factors):
+    return factors.v.select("obs_id", reduce._combine("v", np.diag(factors.s)).alias("x"))
 
 
 def _fit_svd(data, **k):
-    return reduce.svd(data, **k), data
+    return reduce.svd(data, **k)
 
 
-svd = step("svd", _svd, _fit_svd)
-pca = step("pca", _scores, _fit_svd)
-loadings = step("loadings", lambda s, data, **_: s[0].u, _fit_svd)
+svd = step("svd", _svd, _fit_svd, base=lambda s, data, **_: s(), fitted_as="svd")
+pca = step("pca", lambda s, data, **_: reduce.project_scores(s, data), _fit_svd, base=lambda s, data, **_: _base_scores(s()), fitted_as="svd")
+loadings = step("loadings", lambda s, data, **_: s.u, _fit_svd, fitted_as="svd")
 
 
 def _fit_signature(data, where, as_loadings=False, nsv=1, subspace=10, **k):
     chosen = filters.filter_var(where, data)
     fitted = design.fit_design(chosen.obs)
     beta = design.negative_regression(chosen, fitted)
-    return reduce.svd(design.normalize(chosen, design=fitted, beta=beta), nsv=nsv, subspace=subspace, **k), fitted, beta, _ids(chosen.var), chosen.obs_ids(), data
+    return reduce.svd(design.normalize(chosen, design=fitted, beta=beta), nsv=nsv, subspace=subspace, **k), fitted, beta, _ids(chosen.var)
 
 
 def _signature(state, data, where, as_loadings=False, **_):
-    factors, fitted, beta, ids, _, base = state
+    factors, fitted, beta, ids = state
     if as_loadings:
         return factors.u
-    if data is base:
-        return _scores((factors, data), data)
     same = filters.subset_var(data, ids)  # every variable of the signature must be there
     return reduce.project_scores(factors, design.normalize(same, design=fitted, beta=beta))
 
 
-signature = step("signature", _signature, _fit_signature)
+signature = step("signature", _signature, _fit_signature, base=lambda s, data, where, as_loadings=False, **_: s()[0].u if as_loadings else _base_scores(s()[0]))
 local_outlier_factor = step(
     "local_outlier_factor",
-    lambda s, coords, full, k=10, name="LOF": neighbors.local_outlier_factor(coords, full, k=k, name=name, base=None if s[0] is coords else s),
+    lambda s, coords, full, k=10, name="LOF": neighbors.local_outlier_factor(coords, full, k=k, name=name, base=s),
     lambda coords, full, k=10, name="LOF": (coords, full),
+    base=lambda _, coords, full, k=10, name="LOF": neighbors.local_outlier_factor(coords, full, k=k, name=name),
 )
 transfer_annotation = step("transfer_annotation", lambda _, base, labels, new, **k: neighbors.transfer_annotation(base, labels, new, **k))
 transform_coords = step("transform_coords", lambda m, coords, groups, dims, order=None: transforms.transform_coords(coords, m), lambda coords, groups, dims, order=None: transforms.optimal_transform(coords, groups, dims, order))
@@ -313,9 +461,9 @@ def _layout(name: str, place: Callable[..., DataFrame]) -> Callable[..., Job]:
 
     def apply(state, points, k_projection=10, dims=2, **_):
         base, layout = state
-        return layout if points is base else neighbors.embed(neighbors.nearest(points, base, k_projection), layout, dims)
+        return neighbors.embed(neighbors.nearest(points, base, k_projection), layout, dims)
 
-    return step(name, apply, fit)
+    return step(name, apply, fit, base=lambda state, *_, **__: state()[1])
 
 
 def _placed(points: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> tuple[DataFrame, list, np.ndarray, np.ndarray]:
@@ -329,13 +477,12 @@ tsne = _layout("tsne", lambda points, dims, **k: _placed(points, lambda x: neigh
 
 
 def _fit_umap(points, dims=2, **k):
-    return points, *_placed(points, lambda x: neighbors.umap(x, dims=dims, **k))
+    layout, _, x, y = _placed(points, lambda x: neighbors.umap(x, dims=dims, **k))
+    return layout, x, y
 
 
 def _umap(state, points, dims=2, **k):
-    base, layout, _, x, y = state
-    if points is base:
-        return layout
+    _, x, y = state
     held, options = points.sparkSession.sparkContext.broadcast((x, y)), {n: v for n, v in k.items() if n != "epochs"}
     kind = points.schema["obs_id"].dataType.simpleString()
 
@@ -351,7 +498,7 @@ def _umap(state, points, dims=2, **k):
     return points.select("obs_id", "x").mapInArrow(place, f"obs_id {kind}, x array<double>")
 
 
-umap = step("umap", _umap, _fit_umap)  # new points are moved by the base's model, within their tasks
+umap = step("umap", _umap, _fit_umap, base=lambda state, *_, **__: state()[0])  # new points are moved by the base's model, within their tasks
 
 
 def _force(points: DataFrame, dims: int, k: int = 10, **options) -> DataFrame:
@@ -370,4 +517,28 @@ def cached(job: Job) -> Job:
             return DataMatrix(value.mat.persist(), value.var.persist(), value.obs.persist(), value.var_key, value.obs_key, value.terms)
         return value.persist() if isinstance(value, DataFrame) else value
 
-    return Job("cached", (job,), apply=keep)
+    return Job("cached", (job,), step=Step(apply=keep))
+
+
+class Stored(Job):
+    """The same result, written to the store once; a session that finds it there works nothing out."""
+
+    def fetch(self) -> Any:
+        if self._result is None:
+            (inner,) = self.inputs
+            address, lasting = inner.address()
+            self._result = default_store(SparkSession.getActiveSession(), lasting).keep(address, inner.fetch, f"{inner.name} result")
+        return self._result
+
+
+def stored(job: Job) -> Job:
+    return Stored("stored", (job,))
+
+
+def forget(job: Job) -> int:
+    """Remove what the store holds of a job: its state and its result.  Jobs that read them already can't any more."""
+    spark, gone = SparkSession.getActiveSession(), 0
+    for of_state in (True, False):
+        address, lasting = job.address(of_state)
+        gone += default_store(spark, lasting).remove(address)
+    return gone
