@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmat.datamatrix import DataMatrix
-from quillmat.operators import arithmetic, counts, design, filters, neighbors, reduce, stats, tables, transforms
+from quillmat.operators import arithmetic, counts, design, filters, neighbors, reduce, stats, tables, tiles, transforms
 from quillmat.order import numbered
 from quillmat.plans import expressions, jobs
 from quillmat.sources import readers
@@ -410,6 +410,39 @@ def j8(spark, d):
     return expressions.multiply(left, m.select(F.col("var_id").alias("i"), F.col("obs_id").alias("j"), "value"))
 
 
+@query("t8_blockify", PS + """, r AS (SELECT id AS var_id, row_number() OVER (ORDER BY id) - 1 AS i FROM var), c AS (SELECT id AS obs_id, row_number() OVER (ORDER BY id) - 1 AS j FROM obs),
+t AS (SELECT i // 128 AS bi, j // 128 AS bj, count(*) AS n, sum(value) AS total, sum(value * (i % 128 * 128 + j % 128)) AS placed FROM mat JOIN r USING (var_id) JOIN c USING (obs_id) GROUP BY 1, 2)
+SELECT CAST(bi AS INTEGER) AS bi, CAST(bj AS INTEGER) AS bj, n AS cells, CAST(total AS DOUBLE) AS total, CAST(placed AS DOUBLE) AS placed FROM t""")
+def t8(spark, d):
+    """Every tile: its stored cells, their sum, and the sum weighted by their places."""
+    t = tiles.blockify(ps(spark, d)).table
+    pair = F.arrays_zip(F.coalesce("places", F.sequence(F.lit(0), F.lit(tiles.EDGE**2 - 1))).alias("p"), F.col("vals").alias("v"))
+    stored = F.filter(pair, lambda c: c["v"] != 0)
+    return t.select("bi", "bj", F.size(stored).cast("long").alias("cells"), F.aggregate("vals", F.lit(0.0), lambda s, v: s + v).alias("total"), F.aggregate(stored, F.lit(0.0), lambda s, c: s + c["v"] * c["p"]).alias("placed"))
+
+
+@query("t8_unblockify", PS + " SELECT var_id, obs_id, value FROM mat")
+def t8_back(spark, d):
+    return tiles.unblockify(tiles.blockify(ps(spark, d))).select("var_id", "obs_id", F.col("value").cast("long").alias("value"))
+
+
+@query("m6_tile_product", ORACLE_SQL["j8_sparse_product"])
+def m6_tiles(spark, d):
+    """As j8, on tiles."""
+    a = tiles.blockify(ps(spark, d))
+    out = tiles.unblockify(tiles.multiply(tiles.transposed(a), a), "i", "j")
+    return out.select("i", "j", F.col("value").cast("long").alias("value"))
+
+
+@query("m6_tile_chain", PS + """, g AS (SELECT a.obs_id AS i, b.obs_id AS j, sum(a.value * b.value) AS value FROM mat a JOIN mat b USING (var_id) GROUP BY 1, 2)
+SELECT m.var_id AS i, g.j, CAST(sum(g.value * m.value) AS BIGINT) AS value FROM mat m JOIN g ON g.i = m.obs_id GROUP BY 1, 2""")
+def m6_chain(spark, d):
+    """As m4, on tiles: the narrow product first."""
+    a = tiles.blockify(ps(spark, d))
+    out = tiles.unblockify(tiles.multiply(a, tiles.multiply(tiles.transposed(a), a)), "i", "j")
+    return out.select("i", "j", F.col("value").cast("long").alias("value"))
+
+
 # --- aggregates
 
 
