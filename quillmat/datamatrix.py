@@ -62,10 +62,12 @@ class DataMatrix:
         return cells.select("var_id", "obs_id", total.alias("value"))
 
     def same_as(self, other: DataMatrix) -> bool:
-        """Whether all three tables hold the same rows; runs jobs."""
-        if (self.var_key, self.obs_key) != (other.var_key, other.obs_key) or self.terms or other.terms:
+        """Whether all three tables, and the tables of the symbolic terms one by one, hold the same rows; runs jobs."""
+        if (self.var_key, self.obs_key) != (other.var_key, other.obs_key) or [t.rank for t in self.terms] != [t.rank for t in other.terms]:
             return False
-        pairs = ((self.mat, other.mat), (self.var, other.var), (self.obs, other.obs))
+        pairs = [(self.mat, other.mat), (self.var, other.var), (self.obs, other.obs)]
+        for a, b in zip(self.terms, other.terms, strict=True):
+            pairs += [(a.left, b.left), (a.right, b.right)]
         return all(a.columns == b.columns and not a.exceptAll(b).head(1) and not b.exceptAll(a).head(1) for a, b in pairs)
 
     def transposed(self) -> DataMatrix:

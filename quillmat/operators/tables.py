@@ -183,3 +183,18 @@ def id_intersection(left: DataFrame, right: DataFrame) -> DataFrame:
 def distinct_values(t: DataFrame, column: str) -> DataFrame:
     """Distinct non-null values in order of first appearance."""
     return t.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min("ord").alias("ord"))
+
+
+def all_equal(t: DataFrame, column: str) -> bool:
+    """Whether all values of a column are one, nulls equal to nulls; so of an empty one."""
+    return t.select(column).distinct().limit(2).count() < 2
+
+
+def largest(t: DataFrame, column: str):
+    """The largest value that isn't null, or None."""
+    return t.agg(F.max(column)).first()[0]
+
+
+def product_of(t: DataFrame, column: str) -> float:
+    """The product of the values that aren't null; 1 of none."""
+    return float(t.agg(F.coalesce(F.product(column), F.lit(1.0))).first()[0])

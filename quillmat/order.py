@@ -21,8 +21,18 @@ def _with_offsets(at: DataFrame, to: str) -> DataFrame:
 
 
 def positioned(df: DataFrame, to: str = "ord") -> DataFrame:
-    """``df`` as read from files, with ``to`` = 0, 1, ... in the files' order: partition sizes are counted, then added up."""
-    return _with_offsets(df.withColumn("_at", F.monotonically_increasing_id()), to)
+    """``df`` as read from files, with ``to`` = 0, 1, ... in the order of the files' paths, then of their rows.
+
+    Spark deals out pieces of files as it likes, large ones first, but reads each piece in order; so pieces are counted, ordered by path and place in
+    the file (as many rows as pieces, so safely broadcast), and added up.
+    """
+    columns = df.columns
+    at = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")).withColumn("_at", F.monotonically_increasing_id())
+    pieces = at.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_least"))
+    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("_path", "_start", "_least", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    out = at.join(F.broadcast(pieces), ["_path", "_start"])
+    return out.select(*columns, (F.col("_offset") + F.col("_at") - F.col("_least")).cast("long").alias(to))
 
 
 def numbered(df: DataFrame, *by: Column | str, to: str = "ord") -> DataFrame:

@@ -14,7 +14,7 @@ from quillmat.order import numbered, positioned
 
 
 def load_csv(spark: SparkSession, path: str, *, sep: str = ",", header: bool = True, schema: str | None = None, **options) -> DataFrame:
-    """A delimited file as a table with ``ord`` 0, 1, ... in file order; give a schema to spare the pass that infers one."""
+    """A delimited file, or a folder of them in the order of their names, as a table with ``ord`` 0, 1, ... as they are read; give a schema to spare the pass that infers one."""
     reader = spark.read.options(sep=sep, header=header, **options)
     t = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     return positioned(t)
@@ -29,7 +29,9 @@ def _named(var: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, str]:
     """``var`` and a column that identifies its rows: the first of ``keys``, or where that repeats a new column ``key`` of all of them."""
     if len(keys) == 1 or not var.groupBy(keys[0]).count().filter("count > 1").head(1):
         return var, keys[0]
-    return var.withColumn("key", F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])), "key"
+    # a bar or backslash inside a part is escaped, so unlike parts never make one key
+    part = lambda k: F.regexp_replace(F.coalesce(F.col(k).cast("string"), F.lit("")), r"([|\\])", r"\\$1")
+    return var.withColumn("key", F.concat_ws("|", *map(part, keys))), "key"
 
 
 def load_mtx(spark: SparkSession, matrix: str, features: str, barcodes: str, *, sample: str) -> DataMatrix:

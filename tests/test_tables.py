@@ -68,3 +68,44 @@ def test_rows(spark):
     assert t.column_data(both, "w") == [None] * 10 + [1]
     assert t.column_data(t.distinct_values(t.create_table(spark, id=[1, 2, 3, 4], g=["q", None, "p", "q"]), "g"), "g") == ["q", "p"]
     assert [r.n for r in numbered(spark.range(100).repartition(7), F.col("id").desc(), to="n").orderBy(F.col("id").desc()).collect()] == list(range(100))
+
+
+def test_scalars_of_columns(spark):
+    from quillmat.operators import tables
+
+    t = spark.createDataFrame([(1, 2.0, None), (1, 3.0, None), (1, None, None)], "a long, b double, c string")
+    assert tables.all_equal(t, "a") and not tables.all_equal(t, "b") and tables.all_equal(t, "c") and tables.all_equal(t.limit(0), "b")
+    assert tables.largest(t, "b") == 3 and tables.largest(t, "c") is None and tables.product_of(t, "b") == 6 and tables.product_of(t.limit(0), "b") == 1
+
+
+def test_a_folder_of_files_is_numbered_by_name(spark, tmp_path):
+    from quillmat.sources import readers
+
+    for name, n in (("a", 3), ("b", 50_000), ("c", 10)):
+        (tmp_path / f"{name}.csv").write_text("id,x\n" + "".join(f"{name}{i},{i}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)
+    try:
+        t = readers.load_csv(spark, str(tmp_path), schema="id string, x long")
+        assert t.rdd.getNumPartitions() > 4 and t.columns == ["id", "x", "ord"]
+        assert [r.id for r in t.orderBy("ord").collect()] == [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(50_000)] + [f"c{i}" for i in range(10)]
+        assert t.agg({"ord": "max"}).first()[0] == 50_012
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_keys_of_several_parts_keep_apart(spark):
+    from quillmat.sources import readers
+
+    rows = [("a|b", ""), ("a", "b|"), ("a", "b"), ("a\\", "b"), ("a", "\\|b"), ("a|b", "x")]
+    var, key = readers._named(spark.createDataFrame(rows, "id string, kind string"), ("id", "kind"))
+    keys = {(r.id, r.kind): r[key] for r in var.collect()}
+    assert len(set(keys.values())) == len(rows) and keys["a", "b"] == "a|b"
+
+
+def test_same_as_looks_at_symbolic_terms(spark):
+    from quillmat.operators import design
+    from tests.test_matrix import matrix
+
+    d = matrix(spark)
+    one, two = design.normalize(d), design.normalize(d, "value")
+    assert one.same_as(one) and not one.same_as(two) and not one.same_as(d) and not d.same_as(two)
