@@ -672,7 +672,8 @@ def n8(spark, d):
 
 
 def leaf(m: DataFrame, rows: int, cols: int, name: str) -> expressions.Leaf:
-    return expressions.Leaf(m.select(F.col("var_id").alias("i"), F.col("obs_id").alias("j"), "value"), rows, cols, 0.05, name)
+    """A factor whose fill nobody gives: chains of three measure it."""
+    return expressions.Leaf(m.select(F.col("var_id").alias("i"), F.col("obs_id").alias("j"), "value"), rows, cols, None, name)
 
 
 @query("m4_chain_product", PS + """, g AS (SELECT a.obs_id AS i, b.obs_id AS j, sum(a.value * b.value) AS value FROM mat a JOIN mat b USING (var_id) GROUP BY 1, 2)
