@@ -50,12 +50,23 @@ def _bases(obs: DataFrame, key: str, h0: Design | None, h1: Design) -> tuple[Dat
     return x, q0, basis(rest)
 
 
-def _explained(data: DataMatrix, x: DataFrame, q: np.ndarray, name: str) -> DataFrame:
-    """(var_id, name): squared length of each variable's projection onto a basis."""
-    k = q.shape[0]
-    y = times(data, x, "x", k)
-    parts = [sum((F.lit(float(q[i, j])) * F.col("y")[i] for i in range(k)), F.lit(0.0)) for j in range(q.shape[1])]
-    return y.select("var_id", sum((p * p for p in parts), F.lit(0.0)).alias(name), *([parts[0].alias("_first")] if len(parts) == 1 and name == "_e1" else []))
+def _explained(data: DataMatrix, x: DataFrame, q0: np.ndarray, q1: np.ndarray) -> DataFrame:
+    """(var_id, ss, _e0, _e1, _first): each variable's squared length, those of its projections onto both bases, and the coordinate along the first vector of the second.
+
+    Of a plain sparse matrix all come from one join of its cells with the design and one sum.
+    """
+    k = q0.shape[0]
+    if data.terms:
+        y = times(data, x, "x", k).join(sum_squared(data), "var_id")
+    else:
+        value = F.col("value").cast("double")
+        sums = data.mat.join(x, "obs_id").groupBy("var_id").agg(F.sum(value * value).alias("ss"), *[F.sum(value * F.col("x")[i]).alias(f"_{i}") for i in range(k)])
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+        y = data.var_ids().join(sums, "var_id", "left").select("var_id", F.array(*[zero(f"_{i}") for i in range(k)]).alias("y"), zero("ss").alias("ss"))
+    along = lambda q: [sum((F.lit(float(q[i, j])) * F.col("y")[i] for i in range(k)), F.lit(0.0)) for j in range(q.shape[1])]
+    square = lambda parts: sum((p * p for p in parts), F.lit(0.0))
+    first, second = along(q0), along(q1)
+    return y.select("var_id", "ss", square(first).alias("_e0"), square(second).alias("_e1"), (second[0] if second else F.lit(0.0)).alias("_first"))
 
 
 def _safe_ratio(a, b):
@@ -102,7 +113,7 @@ def ftest(
     if v1 <= 0 or v2 <= 0:
         out = data.var_ids().select("var_id", F.lit(0.0).alias("F"), F.lit(1.0).alias("pValue"))
     else:
-        e = sum_squared(data).join(_explained(data, x, q0, "_e0"), "var_id").join(_explained(data, x, q1, "_e1").select("var_id", "_e1"), "var_id")
+        e = _explained(data, x, q0, q1)
         left = F.greatest(F.lit(0.0), F.col("ss") - F.col("_e0") - F.col("_e1"))
         out = e.select("var_id", (F.lit(v2 / v1) * _safe_ratio(F.col("_e1"), left)).alias("F"))
         out = out.withColumn("pValue", f_pvalue(v1, v2)("F"))
@@ -137,7 +148,7 @@ def ttest(
         k0 = len(null.columns) if null else 0
         if q1[k0, 0] < 0:
             q1 = -q1
-        e = sum_squared(data).join(_explained(data, x, q0, "_e0"), "var_id").join(_explained(data, x, q1, "_e1"), "var_id")
+        e = _explained(data, x, q0, q1)
         left = F.greatest(F.lit(0.0), F.col("ss") - F.col("_e0") - F.col("_e1"))
         # q1 is h1 beyond h0 over its length, and q1[k0] is one over that length
         out = e.select("var_id", _safe_ratio(F.col("_first"), F.sqrt(left / v2)).alias("t"), (F.col("_first") * F.lit(float(q1[k0, 0]) / alt.columns[0].scale)).alias("difference"))
