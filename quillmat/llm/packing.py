@@ -28,7 +28,7 @@ WINDOW, END = 2048, 1
 #: Rests are cut into pieces of so many tokens, since small ones even out; a group fills about so many windows.
 PIECE, GROUP = 512, 256
 #: Words and parts of words that a Python worker remembers (twice as many for a while), and their longest length.
-WORDS, WORD = 400_000, 48
+WORDS, WORD = 500_000, 48
 #: A space beside other white space isn't the start of a word of its own.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Letters, digits and white space up to the last code point that the short way knows, and what a byte-level vocabulary splits such text into before it merges.
