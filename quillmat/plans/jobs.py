@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmat.datamatrix import DataMatrix
-from quillmat.operators import counts, design, filters, neighbors, reduce, stats, tables, transforms
+from quillmat.operators import counts, design, filters, layouts, neighbors, reduce, stats, tables, transforms
 from quillmat.plans.store import default_store
 from quillmat.sources import readers
 
@@ -115,7 +115,7 @@ class Step:
 
 
 #: Part of every address; a change of what fits mean must change it.
-VERSION = "1"
+VERSION = "2"
 
 
 class Choice(Job):
@@ -473,7 +473,7 @@ def _placed(points: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> tuple[D
     return points.sparkSession.createDataFrame(list(zip(ids, y.tolist(), strict=True)), f"obs_id {points.schema['obs_id'].dataType.simpleString()}, x array<double>"), ids, x, y
 
 
-tsne = _layout("tsne", lambda points, dims, **k: _placed(points, lambda x: neighbors.tsne(x, dims=dims, **k))[0])
+tsne = _layout("tsne", layouts.tsne)
 
 
 def _fit_umap(points, dims=2, **k):
@@ -502,8 +502,7 @@ umap = step("umap", _umap, _fit_umap, base=lambda state, *_, **__: state()[0])
 
 
 def _force(points: DataFrame, dims: int, k: int = 10, **options) -> DataFrame:
-    placed = neighbors.force_layout(neighbors.adjacency(neighbors.knn(points, k), symmetric=True), dims=dims, **options)
-    return points.sparkSession.createDataFrame(list(placed.items()), f"obs_id {points.schema['obs_id'].dataType.simpleString()}, x array<double>")
+    return layouts.force_layout(points, neighbors.adjacency(neighbors.knn(points, k)), dims=dims, **options)
 
 
 force_layout = _layout("force_layout", _force)

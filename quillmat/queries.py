@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmat.datamatrix import DataMatrix
-from quillmat.operators import arithmetic, counts, design, filters, neighbors, reduce, stats, tables, tiles, transforms
+from quillmat.operators import arithmetic, counts, design, filters, layouts, neighbors, reduce, stats, tables, tiles, transforms
 from quillmat.order import numbered
 from quillmat.plans import expressions, jobs
 from quillmat.sources import readers
@@ -835,10 +835,9 @@ def g4(spark, d):
 
 @query("g5_force_layout")
 def g5(spark, d):
-    def place(base):
-        return neighbors.force_layout(neighbors.adjacency(neighbors.knn(base, 5), symmetric=True), niter=30)
-
-    return neighbors.laid_out(points(spark, d), place, 3).select("obs_id", *[F.col("x")[i].alias(n) for i, n in enumerate("xyz")])
+    p = points(spark, d)
+    out = layouts.force_layout(p, neighbors.adjacency(neighbors.knn(p, 5)), niter=30)
+    return out.select("obs_id", *[F.col("x")[i].alias(n) for i, n in enumerate("xyz")])
 
 
 @query("g6_embed_new_points", CROSS + f" SELECT e.obs_id, {Z('sum(b.x[1]::DOUBLE / greatest(1e-12, d2)) / sum(1 / greatest(1e-12, d2))')} AS x0, {Z('sum(b.x[2]::DOUBLE / greatest(1e-12, d2)) / sum(1 / greatest(1e-12, d2))')} AS x1 FROM e JOIN pt b ON b.id = nbr_id GROUP BY 1")
@@ -865,7 +864,7 @@ def g7(spark, d):
 
 @query("g8_tsne")
 def g8(spark, d):
-    return placed(spark, d, lambda x: neighbors.tsne(x, max_iter=150))
+    return layouts.tsne(points(spark, d), max_iter=150).select("obs_id", F.col("x")[0].alias("x"), F.col("x")[1].alias("y"))
 
 
 LOF = """, kd AS (SELECT obs_id, max(sqrt(d2)) AS kdist FROM e GROUP BY 1), l AS (SELECT e.obs_id, count(*) / sum(greatest(kdist, sqrt(d2))) AS lrd FROM e JOIN kd ON kd.obs_id = nbr_id GROUP BY 1)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmat.operators import counts, filters, neighbors, tables
+from quillmat.operators import counts, filters, layouts, neighbors, tables
 from quillmat.plans import expressions as ex
 from quillmat.plans import jobs
 from quillmat.sources import readers
@@ -64,7 +64,7 @@ def test_transfer_and_layouts(spark):
     new = spark.createDataFrame([(7, [3.0, 0.0, 0.0, 0.0]), (8, [-3.0, 0.0, 0.0, 0.0])], df.schema)
     assert {r.obs_id: r.label for r in neighbors.transfer_annotation(df, labels, new, k=5).collect()} == {7: "hi", 8: "lo"}
     edges = neighbors.adjacency(neighbors.knn(df, 3), symmetric=True)
-    one, two = (neighbors.force_layout(edges, niter=20, dims=2) for _ in range(2))
+    one, two = ({r.obs_id: r.x for r in layouts.force_layout(df, edges, niter=20, dims=2).collect()} for _ in range(2))
     assert one == two and len(one) == 60
     y = neighbors.tsne(np.vstack([np.zeros((20, 3)), np.full((20, 3), 9.0)]) + np.random.default_rng(0).normal(size=(40, 3)) * 0.1, perplexity=5, max_iter=250)
     between = np.linalg.norm(y[:20].mean(0) - y[20:].mean(0))
@@ -173,10 +173,10 @@ def test_repulsion_against_all_pairs():
         for n in (2, 20, 80, 1500):
             x = rng.normal(size=(n, dims)) * rng.uniform(0.1, 5, dims)
             u = x[:, None] - x[None]
-            want = (u / np.maximum((u**2).sum(2), 1e-2)[..., None]).sum(1) / np.sqrt(n)
-            assert np.allclose(neighbors.repulsion(x, theta=0), want)
-            assert np.linalg.norm(neighbors.repulsion(x, theta=0.5) - want) < 0.03 * np.linalg.norm(want) + 1e-9
-    assert np.isfinite(neighbors.repulsion(np.zeros((50, 2)))).all()
+            want = (u / np.maximum((u**2).sum(2), 1e-2)[..., None]).sum(1)
+            assert np.allclose(layouts.field(x, x, np.ones(len(x)), layouts.inverse, 0.0)[0], want)
+            assert np.linalg.norm(layouts.field(x, x, np.ones(len(x)), layouts.inverse, 0.5)[0] - want) < 0.03 * np.linalg.norm(want) + 1e-9
+    assert np.isfinite(layouts.field(np.zeros((50, 2)), np.zeros((50, 2)), np.ones(50), layouts.inverse, 0.7)[0]).all()
 
 
 def test_projection(spark):
