@@ -51,8 +51,8 @@ def set_key(s: np.ndarray) -> bytes:
     return np.array([s.sum(dtype=np.uint64), textbuf.mix(s ^ _SEEDS64[63]).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
-def sketches(docs: DataFrame, shingle: int, trees: int, keyed: bool = False) -> DataFrame:
-    """doc_id, n_shingles, sid (16 bytes that equal sets share; null for an empty set), roots and sig of every whole text; ``keyed`` adds its digest."""
+def sketches(docs: DataFrame, shingle: int, trees: int) -> DataFrame:
+    """doc_id, n_shingles, sid (16 bytes that equal sets share; null for an empty set), roots and sig of every whole text, and its digest."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in textbuf.chunks(batches, 1):
@@ -75,8 +75,8 @@ def sketches(docs: DataFrame, shingle: int, trees: int, keyed: bool = False) ->
                 ["doc_id", "n_shingles", "sid", "roots", "sig", *b.schema.names[2:]],
             )
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([digest().alias("digest")] if keyed else []))
-    return slim.mapInArrow(sketch, "doc_id long, n_shingles long, sid binary, roots array<long>, sig binary" + (", digest binary" if keyed else ""))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), digest().alias("digest"))
+    return slim.mapInArrow(sketch, "doc_id long, n_shingles long, sid binary, roots array<long>, sig binary, digest binary")
 
 
 def _leaves(classes: DataFrame, limit: int, depth: int) -> DataFrame:
@@ -405,21 +405,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, tre
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _labelled(docs: DataFrame, shingle: int, percent: int, trees: int, limit: int, depth: int, least: int, keyed: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, sid, root (null without a set) and component_id, and its digest if ``keyed``."""
+def _labelled(docs: DataFrame, shingle: int, percent: int, trees: int, limit: int, depth: int, least: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, sid, digest, root (null without a set) and component_id."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stored(sketches(own, shingle, trees, keyed))
+    base = stored(sketches(own, shingle, trees))
     named = base.filter(F.col("sid").isNotNull())
     least_id = cut(named.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("rows")))
     # one row of each class keeps its roots and signature
     first = named.join(least_id.select("sid", F.col("doc_id").alias("_least")), "sid").filter(F.col("doc_id").eqNullSafe(F.col("_least")))
-    classes = stored(first.dropDuplicates(["sid"]).select("sid", "doc_id", "n_shingles", "roots", "sig"))
+    classes = stored(first.dropDuplicates(["sid"]).select("sid", "doc_id", "digest", "n_shingles", "roots", "sig"))
     sigs = classes.select("sid", "sig", "n_shingles")
     leaves = _leaves(classes, limit, depth)
     pairs = cut(_candidates(leaves, sigs, limit, least, percent))
     crowded = leaves.filter(F.col("members") > limit).select("node", "sid")
     alike = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(crowded.select("sid")).distinct()
-    sets = stored(_texts_to_sets(own, alike.join(classes.select("sid", "doc_id"), "sid"), shingle))
+    sets = stored(_texts_to_sets(own, alike.join(classes.select("sid", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")), "sid"), shingle))
     links = cut(confirm(pairs, sets, percent))
     roots = cut(components(links))
     apart = cut(_apart(pairs, crowded, roots))
@@ -436,9 +436,9 @@ def _labelled(docs: DataFrame, shingle: int, percent: int, trees: int, limit: in
 
 
 def _texts_to_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(sid, set) for the classes in ``wanted(sid, doc_id)``: the texts of their doc_ids are shingled again."""
-    ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    texts = docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+    """(sid, set) for the classes in ``wanted(sid, _id, _digest)``: the rows of that doc_id and text are shingled again, so rows of one doc_id go apart."""
+    ids = wanted.select("_id", "_digest").distinct()
+    texts = docs.join(ids.hint("shuffle_hash"), same_row(docs, ids), "left_semi")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in textbuf.chunks(batches, 1):
@@ -456,7 +456,7 @@ def one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80, trees:
     stays beside the named one, that of the least digest.  Rows without words (null, empty or blank texts) are kept.  Very long texts as in
     :func:`near_duplicates`.  Ties: doc_id, then digest, decide.  Empty table: empty result.
     """
-    rows = _labelled(docs, shingle, percent, trees, limit, depth, least, keyed=True).filter("root is not null")
+    rows = _labelled(docs, shingle, percent, trees, limit, depth, least).filter("root is not null")
     per = cut(rows.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")))
     per = per.withColumn("unnamed", F.col("doc_id").isNull())
     key = F.struct("doc_id", "digest")

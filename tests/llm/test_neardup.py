@@ -2,6 +2,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmat.llm import neardup
 from quillmat.llm.components import components
@@ -64,6 +65,25 @@ def test_against_brute_force(spark, k, limit):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got.collect()) == brute(rows, k, 80)
 
 
+def test_texts_under_one_doc_id_go_apart(spark):
+    """A third of all rows under one doc_id, another without any: their sets are fetched by text, and no link is lost."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        words = [rng.choice("abcdefghijklmnop") + str(rng.randrange(30)) for _ in range(60)]
+        for j, doc_id in enumerate((7, None, 100 + i)):
+            rows.append((doc_id, " ".join([*words[:-1], f"end{j}"]), "en", "s"))
+    docs = documents(spark, rows)
+    made = neardup._texts_to_sets(docs.select("doc_id", "text"), docs.select(neardup.digest().alias("sid"), F.col("doc_id").cast("long").alias("_id"), neardup.digest().alias("_digest")), 5)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    by_id = [line for line in plan.splitlines() if "hashpartitioning(coalesce(" in line]
+    assert by_id and all("_digest" in line or "md5" in line for line in by_id)
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == 120 and {r.component_id for r in got} == {7} and [r.kept for r in got].count(True) == 40
+    kept = neardup.one_of_each(docs).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["7"] * 40 + ["None"] * 40
+
+
 def test_empty_and_rows_kept(spark):
     none = documents(spark, [(1, "a", "en", "s")]).limit(0)
     assert neardup.near_duplicates(none).count() == 0
