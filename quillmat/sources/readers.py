@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,15 +36,19 @@ def _named(var: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, str]:
 
 
 def load_mtx(spark: SparkSession, matrix: str, features: str, barcodes: str, *, sample: str) -> DataMatrix:
-    """One sample: ``matrix.mtx[.gz]`` with features (id, name, feature_type[, genome]) as rows and barcodes as columns.
+    """One sample: ``matrix.mtx[.gz]``, a file or a folder of its parts in the order of their names, with features (id, name, feature_type[, genome]) as rows and barcodes as columns.
 
     Entries are read in parallel.  Values are long or, in a file of reals, double; a pattern's are 1.  The variable key
     is ``id``, or ``key`` of id and feature type where ids repeat.
     """
-    banner = spark.read.text(matrix).first()["value"].lower().split()
+    text = spark.read.text(matrix)
+    lines = text.select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")).withColumn("_at", F.monotonically_increasing_id())
+    # Spark reads large files first, so the head is looked for where the first file by name begins
+    top = lines.filter(F.col("_path").endswith(urlsplit(min(text.inputFiles())).path) & (F.col("_start") == 0))
+    banner = top.first()["value"].lower().split()
     field = banner[3] if len(banner) > 3 and banner[0].startswith("%%") else "integer"
-    rows = spark.read.text(matrix).withColumn("_at", F.monotonically_increasing_id()).filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    size_line = rows.first()  # of the file's first task: the first line that is no comment
+    is_row = ~F.col("value").startswith("%") & (F.trim("value") != "")
+    rows, size_line = lines.filter(is_row), top.filter(is_row).first()
     size = [int(x) for x in size_line["value"].split()]
     names = ["id", "name", "feature_type", "genome"]
     fields = F.split("line", "\t")
