@@ -78,3 +78,14 @@ def test_a_product_of_tiles_moves_fewer_rows(spark):
     left = cut.mat.select(F.col("obs_id").alias("i"), F.col("var_id").alias("j"), "value")
     cells = moved(expressions.multiply(left, cut.mat.select(F.col("var_id").alias("i"), F.col("obs_id").alias("j"), "value")))
     assert moved(tiles.multiply(tiles.transposed(held), held).table) < cells / 20
+
+
+def test_cells_of_tiles_are_not_shuffled(spark):
+    """Identifiers meet whole tiles: cells are taken out of their tiles after the last exchange."""
+    cells = spark.range(400).select(F.concat(F.lit("p"), F.col("id") % 21).alias("var_id"), (F.col("id") * 7 % 17).alias("obs_id"), (F.col("id") % 5).cast("double").alias("value")).dropDuplicates(["var_id", "obs_id"])
+    var = spark.range(21).select(F.concat(F.lit("p"), "id").alias("id"), F.col("id").alias("ord"))
+    obs = spark.range(17).select("id", F.col("id").alias("ord"))
+    out = tiles.unblockify(tiles.blockify(DataMatrix(cells, var, obs), 4))
+    assert sorted(map(tuple, out.collect())) == sorted(tuple(r) for r in cells.filter("value <> 0").collect())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("Generate")]
