@@ -40,9 +40,13 @@ def matrix_product(first: DataMatrix, *others: DataMatrix) -> DataMatrix:
 
 
 def matrix_sum(first: DataMatrix, *others: DataMatrix) -> DataMatrix:
-    """The sum of matrices with the same identifiers; both tables are the first one's."""
+    """The sum of matrices with the same identifiers; both tables are the first one's.  A matrix that is given again is worked out once and multiplied."""
+    again = [o for o in others if o.mat is first.mat and o.var is first.var and o.obs is first.obs]
     mat, terms = first.mat.select("var_id", "obs_id", "value"), first.terms
-    for other in others:
+    if again:
+        mat = mat.withColumn("value", F.col("value") * F.lit(1 + len(again)))
+        terms = (*terms, *[t for o in again for t in o.terms])
+    for other in (o for o in others if not any(o is a for a in again)):
         _same_ids(first.var_ids(), other.var_ids(), "variables")
         _same_ids(first.obs_ids(), other.obs_ids(), "observations")
         mat, terms = mat.union(other.mat.select("var_id", "obs_id", "value")), (*terms, *other.terms)

@@ -75,3 +75,15 @@ def test_pairs_are_not_shuffled(spark):
     out = ex.multiply(x, x, many=0)
     assert out.count() == n * n and out.filter(F.col("value") != n).count() == 0
     assert moved(ex.multiply(x, x, many=0)) < moved(ex.multiply(x, x)) / 2
+
+
+def test_a_matrix_added_to_itself_is_worked_out_once(spark):
+    from quillmat.datamatrix import DataMatrix
+    from quillmat.operators import arithmetic
+
+    mat = spark.createDataFrame([(0, 1, 2), (1, 1, 3), (1, 1, 4)], "var_id long, obs_id long, value long")
+    ids = spark.range(2).select("id", F.col("id").alias("ord"))
+    data = DataMatrix(mat, ids, ids)
+    other = DataMatrix(mat.filter("value > 2"), ids, ids)
+    out = arithmetic.matrix_sum(data, other, data, data).mat
+    assert rows(out) == [(0, 1, 6), (1, 1, 28)] and out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
