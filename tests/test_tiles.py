@@ -89,3 +89,20 @@ def test_cells_of_tiles_are_not_shuffled(spark):
     assert sorted(map(tuple, out.collect())) == sorted(tuple(r) for r in cells.filter("value <> 0").collect())
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan[: plan.index("Generate")]
+
+
+def test_tiles_are_cut_from_sorted_cells_not_group_by_group(spark):
+    """Tiles go on from batch to batch, cells stand in several of them, and no Python call is made for each tile."""
+    rng = np.random.default_rng(2)
+    m = np.where(rng.random((12, 30)) < 0.4, rng.integers(-2, 9, (12, 30)), 0)
+    d = matrix(spark, m)
+    twice = DataMatrix(d.mat.union(d.mat).union(d.mat.filter("value > 6").selectExpr("var_id", "obs_id", "-2 * value AS value")), d.var, d.obs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for edge in (1, 4, 7, 64):
+            a = tiles.blockify(twice, edge)
+            assert np.array_equal(as_array(tiles.unblockify(a)), np.where(m > 6, 0, 2 * m))
+            assert a.table.count() == a.table.select("bi", "bj").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in a.table._jdf.queryExecution().optimizedPlan().toString()
