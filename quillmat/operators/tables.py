@@ -5,6 +5,7 @@ A table's first column is its identifier and ``ord`` its order, which every oper
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from quillmat.order import numbered
 
+#: Pairs of positions that a task of ``match_columns`` makes (beyond MOST_TASKS tasks they make more), and equal rows of one side that meet at once.
+PAIRS, SIDE, MOST_TASKS = 16_000_000, 1024, 20_000
+
 
 def create_table(spark: SparkSession, **columns: list) -> DataFrame:
     """A literal table; all columns must be equally long."""
@@ -144,12 +148,31 @@ def lookup(wanted: DataFrame, t: DataFrame, *, missing: str = "error") -> DataFr
 
 
 def match_columns(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Positions of rows that agree in several columns, nulls included: left_ord, right_ord."""
-    r = right.select(*[F.col(c).alias(f"_{c}") for c in on], F.col("ord").alias("right_ord"))
-    same = F.lit(True)
-    for c in on:
-        same = same & left[c].eqNullSafe(r[f"_{c}"])
-    return left.join(r, same).select(F.col("ord").alias("left_ord"), "right_ord")
+    """Positions of rows that agree in several columns, nulls included: left_ord, right_ord.
+
+    Pairs are counted when this is called.  Of more than PAIRS every task makes about that many, whatever the size of the tables that they come from:
+    rows are dealt out by what they agree in, and by blocks of about SIDE times SIDE pairs where more rows of a side agree.
+    """
+    l, r = (t.select(F.struct(*on).alias("_key"), F.col("ord").alias(to)) for t, to in ((left, "left_ord"), (right, "right_ord")))  # noqa: E741
+    count = lambda t, to: t.groupBy("_key").agg(F.count(F.lit(1)).alias(to))
+    n = count(l, "_n").join(count(r, "_m"), "_key", "full").select("_key", F.coalesce("_n", F.lit(0)).alias("_n"), F.coalesce("_m", F.lit(0)).alias("_m"))
+    made = n.agg(F.sum(F.col("_n").cast("double") * F.col("_m")).alias("pairs"), F.max(F.greatest("_n", "_m")).alias("most")).first()
+    if (made["pairs"] or 0) <= PAIRS:
+        return l.join(r, "_key").select("left_ord", "right_ord")
+    keys = ["_key"]
+    if made["most"] > SIDE:
+        blocks = lambda c: F.ceil(F.greatest(F.lit(1), F.col(c)) / SIDE).cast("int")
+        crowded = n.filter(F.greatest("_n", "_m") > SIDE).select("_key", blocks("_n").alias("_ns"), blocks("_m").alias("_ms"))
+
+        def dealt(t: DataFrame, at: str, own: str, others: str, block: str, copy: str) -> DataFrame:
+            """Each row in a block of its side, once for each block of the other."""
+            t = t.join(crowded, "_key", "left").withColumn(block, F.coalesce(F.pmod(F.xxhash64(at), own), F.lit(0)).cast("int"))
+            return t.withColumn(copy, F.explode(F.sequence(F.lit(0), F.coalesce(others, F.lit(1)) - 1))).drop("_ns", "_ms")
+
+        l, r = dealt(l, "left_ord", "_ns", "_ms", "_a", "_b"), dealt(r, "right_ord", "_ms", "_ns", "_b", "_a")  # noqa: E741
+        keys += ["_a", "_b"]
+    tasks = min(MOST_TASKS, max(math.ceil(made["pairs"] / PAIRS), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return l.repartition(tasks, *keys).join(r.repartition(tasks, *keys), keys).select("left_ord", "right_ord")
 
 
 def single(t: DataFrame, condition: Column) -> DataFrame:

@@ -109,3 +109,24 @@ def test_same_as_looks_at_symbolic_terms(spark):
     d = matrix(spark)
     one, two = design.normalize(d), design.normalize(d, "value")
     assert one.same_as(one) and not one.same_as(two) and not one.same_as(d) and not d.same_as(two)
+
+
+def test_matched_pairs_are_dealt_to_tasks(spark, monkeypatch):
+    """Pairs of rows that agree grow by the square of copies; a task makes about as many as it may, a crowd of equal rows is cut into blocks."""
+    left = spark.range(300).selectExpr("id AS k", "if(id < 120, 'hot', if(id < 130, null, string(id % 9))) AS x", "CAST(if(id < 130, null, id % 4) AS INT) AS y", "id AS ord")
+    right = spark.range(260).selectExpr("id AS k", "if(id < 90, 'hot', if(id < 105, null, string(id % 7))) AS x", "CAST(if(id < 105, null, id % 4) AS BIGINT) AS y", "id AS ord")
+    same = lambda a, b: a.x == b.x and a.y == b.y
+    want = sorted((a.ord, b.ord) for a in left.collect() for b in right.collect() if same(a, b))
+    assert sorted(map(tuple, t.match_columns(left, right, ["x", "y"]).collect())) == want
+    monkeypatch.setattr(t, "PAIRS", 500)
+    monkeypatch.setattr(t, "SIDE", 10)
+    monkeypatch.setattr(t, "MOST_TASKS", 64)
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            out = t.match_columns(left, right, ["x", "y"])
+            assert sorted(map(tuple, out.collect())) == want
+            assert max(out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) < len(want) / 4
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert t.match_columns(left.limit(0), right, ["x", "y"]).count() == 0
