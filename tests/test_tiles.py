@@ -106,3 +106,32 @@ def test_tiles_are_cut_from_sorted_cells_not_group_by_group(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "FlatMapGroups" not in a.table._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("cheap", [0, 10**9])
+def test_squares_of_a_product_with_its_inner_index_cut(spark, monkeypatch, cheap):
+    """Squares, cuts, few inner tiles at once and both ways to multiply change nothing; infinities are never multiplied by cells that aren't there."""
+    for name, v in (("SIDE", 2), ("TASKS", 200), ("LEAST", 2), ("INNER", 2), ("CELLS", 30), ("AT_ONCE", 20), ("CHEAP", cheap)):
+        monkeypatch.setattr(tiles, name, v)
+    rng = np.random.default_rng(3)
+    m = np.where(rng.random((12, 30)) < 0.4, rng.integers(-2, 9, (12, 30)), 0).astype(float)
+    d = matrix(spark, m)
+    a = tiles.held(tiles.blockify(d, 4))
+    assert np.array_equal(as_array(tiles.unblockify(tiles.multiply(tiles.transposed(a), a), "i", "j"), OBS, OBS, "i", "j"), m.T @ m)
+    assert np.array_equal(as_array(tiles.unblockify(tiles.multiply(a, tiles.transposed(a)), "i", "j"), VARS, VARS, "i", "j"), m @ m.T)
+    i, j = np.argwhere(m > 0)[0]
+    m[i, j] = np.inf
+    a = tiles.blockify(DataMatrix(d.mat.select("var_id", "obs_id", F.when((F.col("var_id") == VARS[i]) & (F.col("obs_id") == OBS[j]), float("inf")).otherwise(F.col("value")).alias("value")), d.var, d.obs), 4)
+    got = as_array(tiles.unblockify(tiles.multiply(tiles.transposed(a), a), "i", "j"), OBS, OBS, "i", "j")
+    with np.errstate(invalid="ignore"):
+        want = np.nansum(m.T[:, :, None] * m[None], 1)
+    assert np.array_equal(got, want)
+
+
+def test_tiles_of_a_long_result_are_not_shuffled(spark):
+    """Tiles of the factors travel to the squares of the result, not a tile for each pair that meets."""
+    a = tiles.blockify(matrix(spark), 1)
+    held = tiles.held(a)
+    gram = tiles.held(tiles.multiply(tiles.transposed(held), held))
+    out = tiles.multiply(held, gram).table
+    assert moved(out) < 12 * 30 * 30 / 2
