@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmat.datamatrix import DataMatrix, LowRank
 from quillmat.operators.counts import times_right
@@ -29,7 +30,7 @@ def _product(a: DataMatrix, b: DataMatrix) -> DataMatrix:
     # (A + BXᵗ)C = AC + B(CᵗX)ᵗ and A(C + BXᵗ) = AC + (AB)Xᵗ
     terms = [LowRank(t.left, times_right(b.transposed(), t.right, t.rank).select(F.col("var_id").alias("obs_id"), F.col("y").alias("x")), t.rank) for t in a.terms]
     terms += [LowRank(times_right(a, t.left.select(F.col("var_id").alias("obs_id"), F.col("b").alias("x")), t.rank).select("var_id", F.col("y").alias("b")), t.right, t.rank) for t in b.terms]
-    return DataMatrix(mat, a.var, b.obs, a.var_key, b.obs_key, tuple(terms))
+    return DataMatrix(mat, a.var, b.obs, a.var_key, b.obs_key, tuple(terms), once=mat)
 
 
 def matrix_product(first: DataMatrix, *others: DataMatrix) -> DataMatrix:
@@ -40,7 +41,8 @@ def matrix_product(first: DataMatrix, *others: DataMatrix) -> DataMatrix:
 
 
 def matrix_sum(first: DataMatrix, *others: DataMatrix) -> DataMatrix:
-    """The sum of matrices with the same identifiers; both tables are the first one's.  A matrix that is given again is worked out once and multiplied."""
+    """The sum of matrices with the same identifiers; both tables are the first one's.  A matrix that is given again is worked out once and multiplied;
+    cells of a product stand once, so they needn't meet."""
     again = [o for o in others if o.mat is first.mat and o.var is first.var and o.obs is first.obs]
     mat, terms = first.mat.select("var_id", "obs_id", "value"), first.terms
     if again:
@@ -50,4 +52,6 @@ def matrix_sum(first: DataMatrix, *others: DataMatrix) -> DataMatrix:
         _same_ids(first.var_ids(), other.var_ids(), "variables")
         _same_ids(first.obs_ids(), other.obs_ids(), "observations")
         mat, terms = mat.union(other.mat.select("var_id", "obs_id", "value")), (*terms, *other.terms)
+    if len(again) == len(others) and first.once is first.mat and isinstance(first.mat.schema["value"].dataType, T.LongType | T.DoubleType):
+        return replace(first, mat=mat, terms=terms, once=mat)
     return replace(first, mat=mat.groupBy("var_id", "obs_id").agg(F.sum("value").alias("value")), terms=terms)

@@ -87,3 +87,34 @@ def test_a_matrix_added_to_itself_is_worked_out_once(spark):
     other = DataMatrix(mat.filter("value > 2"), ids, ids)
     out = arithmetic.matrix_sum(data, other, data, data).mat
     assert rows(out) == [(0, 1, 6), (1, 1, 28)] and out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
+def test_a_product_added_to_itself_is_not_shuffled(spark):
+    """Cells of a product stand once; those of a matrix whose cells were changed since needn't."""
+    from dataclasses import replace
+
+    from quillmat.datamatrix import DataMatrix
+    from quillmat.operators import arithmetic
+
+    mat = spark.createDataFrame([(0, 1, 2), (1, 1, 3), (1, 0, 4)], "var_id long, obs_id long, value long")
+    ids = spark.range(2).select("id", F.col("id").alias("ord"))
+    gram = arithmetic.matrix_product(DataMatrix(mat, ids, ids), DataMatrix(mat, ids, ids))
+    out = arithmetic.matrix_sum(gram, gram).mat
+    want = [(0, 0, 16), (0, 1, 12), (1, 0, 24), (1, 1, 34)]
+    count = lambda t: t._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
+    assert rows(out) == want and count(out) == count(gram.mat)
+    twice = replace(gram, mat=gram.mat.union(gram.mat))
+    assert rows(arithmetic.matrix_sum(twice, twice).mat) == [(i, j, 2 * v) for i, j, v in want]
+
+
+def test_stripes_grow_with_the_cells(spark, monkeypatch):
+    """A row of the right side travels once for each stripe that asks for it, so many cells make few stripes."""
+    n = 60
+    x = spark.range(n * n).select((F.col("id") % n).alias("i"), F.floor(F.col("id") / n).alias("j"), F.lit(1).alias("value")).coalesce(1)
+    for name, v in (("STRIPE", 60), ("TASKS", 2)):
+        monkeypatch.setattr(stripes, name, v)
+    monkeypatch.setattr(stripes.striped, "__defaults__", (60, stripes.LONG))
+    asked = []
+    monkeypatch.setattr(stripes, "multiply", lambda cut, *a, f=stripes.multiply, **k: (asked.append(cut.count()), f(cut, *a, **k))[1])
+    assert ex.multiply(x, x, many=0).filter(F.col("value") == n).count() == n * n
+    assert asked[0] < n / 3
