@@ -104,6 +104,7 @@ def test_a_product_added_to_itself_is_not_shuffled(spark):
     count = lambda t: t._jdf.queryExecution().optimizedPlan().toString().count("Aggregate")
     assert rows(out) == want and count(out) == count(gram.mat)
     twice = replace(gram, mat=gram.mat.union(gram.mat))
+    assert gram.once is gram.mat and twice.once is None
     assert rows(arithmetic.matrix_sum(twice, twice).mat) == [(i, j, 2 * v) for i, j, v in want]
 
 
